@@ -41,6 +41,41 @@ def regex_spans(text, pattern: str) -> Column:
     return F.regexp_extract_all(_col(text), F.lit(java_pattern(pattern)), 0)
 
 
+# Any Unicode decimal digit: every built-in pattern except EMAIL needs one.
+DIGIT_RE = r"(?U)\d"
+
+
+def digit_flag(text) -> Column:
+    """One cheap scan per text; materialise it before :func:`regex_entities`."""
+    return F.coalesce(_col(text).rlike(DIGIT_RE), F.lit(False))
+
+
+def guard(entity_type: str, pattern: str, text, has_digit: Column | None = None) -> Column | None:
+    """A cheap necessary condition for any match of a built-in pattern.
+
+    Derived from the patterns themselves: EMAIL needs '@'; the others need a
+    digit, TIME also ':' and MONEY also '元'.  Custom or changed patterns get
+    no guard.  Only skips rows that cannot match, so results are unchanged.
+    """
+    if REGEX_REGISTRY.get(entity_type) != pattern:
+        return None
+    t = _col(text)
+    if entity_type == "EMAIL":
+        return t.contains("@")
+    dig = has_digit if has_digit is not None else t.rlike(DIGIT_RE)
+    if entity_type == "TIME":
+        return dig & t.contains(":")
+    if entity_type == "MONEY":
+        return dig & t.contains("元")
+    return dig
+
+
+def guarded(arr: Column, cond: Column | None, elem_type: str) -> Column:
+    if cond is None:
+        return arr
+    return F.when(cond, arr).otherwise(F.array().cast(f"array<{elem_type}>"))
+
+
 def _tag(entity_type: str):
     # A closure per type: two-argument lambdas would bind the index instead.
     def tag(span: Column) -> Column:
@@ -49,10 +84,17 @@ def _tag(entity_type: str):
     return tag
 
 
-def regex_entities(text, registry: Mapping[str, str] | None = None) -> Column:
-    """array<struct<span,type>> in (registry order, position) order."""
+def regex_entities(text, registry: Mapping[str, str] | None = None, has_digit: Column | None = None) -> Column:
+    """array<struct<span,type>> in (registry order, position) order.
+
+    ``has_digit``: a materialised :func:`digit_flag` column, so the guard scan
+    runs once per text rather than once per type.
+    """
     registry = REGEX_REGISTRY if registry is None else registry
-    parts = [F.transform(regex_spans(text, pat), _tag(t)) for t, pat in registry.items()]
+    parts = [
+        guarded(F.transform(regex_spans(text, pat), _tag(t)), guard(t, pat, text, has_digit), ENTITY_STRUCT)
+        for t, pat in registry.items()
+    ]
     if not parts:
         return F.array().cast(f"array<{ENTITY_STRUCT}>")
     arr = parts[0] if len(parts) == 1 else F.concat(*parts)
@@ -135,26 +177,39 @@ def placeholder(index: Column) -> Column:
     )
 
 
-def literal_replace(text, pairs: Column) -> Column:
-    """Sequential literal replacement over ``pairs`` (array<struct<span, repl>>).
+def placeholder_pairs(pairs: Column) -> Column:
+    """array<struct<span, repl>> → array<struct<span, repl, ph>> without empty spans.
 
-    For each pair in order every literal occurrence of ``span`` becomes a
-    unique placeholder, then each placeholder becomes ``repl``.  The first
-    pair with a given span wins; a shorter earlier span can break a longer
-    later one.  Empty spans are skipped (Spark's ``replace`` would no-op,
-    Python's would insert between characters).
+    Empty spans are dropped (Spark's ``replace`` would no-op, Python's would
+    insert between characters).  Materialise this in its own projection so
+    both folds of :func:`fold_pairs` read it instead of recomputing it.
     """
     pairs = F.filter(pairs, lambda p: F.char_length(p["span"]) > 0)
-    indexed = F.transform(
+    return F.transform(
         pairs,
         lambda p, i: F.struct(
             p["span"].alias("span"), p["repl"].alias("repl"), placeholder(i).alias("ph")
         ),
     )
+
+
+def fold_pairs(text, indexed: Column) -> Column:
+    """Sequential literal replacement over placeholder pairs.
+
+    For each pair in order every literal occurrence of ``span`` becomes its
+    unique placeholder, then each placeholder becomes ``repl``.  The first
+    pair with a given span wins; a shorter earlier span can break a longer
+    later one.
+    """
     phase1 = F.aggregate(indexed, _col(text), lambda acc, p: F.replace(acc, p["span"], p["ph"]))
     return F.aggregate(indexed, phase1, lambda acc, p: F.replace(acc, p["ph"], p["repl"]))
 
 
+def literal_replace(text, pairs: Column) -> Column:
+    """One-expression form of :func:`placeholder_pairs` + :func:`fold_pairs`."""
+    return fold_pairs(text, placeholder_pairs(pairs))
+
+
 def chained_replace(text, pairs: Column) -> Column:
     """Plain chained ``replace`` (no placeholders): a→b then b→c turns a into c."""
     pairs = F.filter(pairs, lambda p: F.char_length(p["span"]) > 0)
@@ -176,3 +231,21 @@ def rebuild_with_tokens(text, lookup: Column) -> Column:
     mapped = F.transform(toks, lambda t: F.coalesce(F.element_at(lookup, t), t))
     pieces = F.zip_with(gaps, mapped, lambda g, t: F.concat(g, F.coalesce(t, F.lit(""))))
     return F.array_join(pieces, "")
+
+
+def posexplode_rows(df, keep_cols, arr: Column, pos_name: str = "pos", val_name: str = "value"):
+    """``keep…, pos, value`` per array element (pos as long).
+
+    Uses the outer generator plus a filter on its own output: a plain
+    ``posexplode`` makes Catalyst infer ``size(arr) > 0`` and push it below
+    projections and exchanges, which would evaluate ``arr`` (often a set of
+    regex scans) twice.  A filter on generator output cannot be pushed down.
+    """
+    out = df.select(*keep_cols, F.posexplode_outer(arr).alias(pos_name, val_name))
+    return out.filter(F.col(pos_name).isNotNull()).withColumn(pos_name, F.col(pos_name).cast("long"))
+
+
+def explode_rows(df, keep_cols, arr: Column, val_name: str = "value"):
+    """``keep…, value`` per array element; same pushdown guard as :func:`posexplode_rows`."""
+    out = df.select(*keep_cols, F.posexplode_outer(arr).alias("_p", val_name))
+    return out.filter(F.col("_p").isNotNull()).drop("_p")

@@ -12,7 +12,7 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import regex_spans
+from ..functions.columns import digit_flag, guard, guarded, posexplode_rows, regex_spans
 from ..functions.patterns import REGEX_REGISTRY, TYPE_ALIASES, java_pattern
 
 ENTITY_COLUMNS = ("seq", "type", "start", "end", "span", "prob")
@@ -34,9 +34,8 @@ def detect_type(
 ) -> DataFrame:
     """One row per match of one type: ``ids…, seq, span``; seq = match order."""
     pat = pattern if pattern is not None else REGEX_REGISTRY[entity_type]
-    return df.select(
-        *id_cols, F.posexplode(regex_spans(text_col, pat)).alias("seq", "span")
-    ).withColumn("seq", F.col("seq").cast("long"))
+    arr = guarded(regex_spans(text_col, pat), guard(entity_type, pat, text_col), "string")
+    return posexplode_rows(df, id_cols, arr, "seq", "span")
 
 
 def _offsets_tag(entity_type: str):
@@ -67,19 +66,16 @@ def with_offset_entities(
     """
     reg = REGEX_REGISTRY if registry is None else registry
     names = [f"_t{i}" for i in range(len(reg))]
-    stage1 = df.select(
-        *keep_cols,
-        *[
-            F.struct(
-                F.regexp_extract_all(F.col(text_col), F.lit(java_pattern(p)), 0).alias("m"),
-                F.transform(F.split(F.col(text_col), java_pattern(p), -1), F.char_length).alias("g"),
-            ).alias(n)
-            for n, p in zip(names, reg.values())
-        ],
-    )
+    flagged = df.select(*keep_cols, *([text_col] if text_col not in keep_cols else []), digit_flag(text_col).alias("_dig"))
+    cols = []
+    for n, (t, p) in zip(names, reg.items()):
+        g = guard(t, p, text_col, F.col("_dig"))
+        cols.append(guarded(F.regexp_extract_all(F.col(text_col), F.lit(java_pattern(p)), 0), g, "string").alias(n + "m"))
+        cols.append(guarded(F.transform(F.split(F.col(text_col), java_pattern(p), -1), F.char_length), g, "int").alias(n + "g"))
+    stage1 = flagged.select(*keep_cols, *cols)
     parts = []
     for n, t in zip(names, reg.keys()):
-        m, g = F.col(n)["m"], F.col(n)["g"]
+        m, g = F.col(n + "m"), F.col(n + "g")
         starts = _prefix_starts(g, F.transform(m, F.char_length))
         parts.append(F.zip_with(m, starts, _offsets_tag(t)))
     arr = parts[0] if len(parts) == 1 else F.concat(*parts)
@@ -99,9 +95,9 @@ def detect_regex_entities(
     (registry order, position).
     """
     arr = with_offset_entities(df, text_col, id_cols, registry)
-    return arr.select(*id_cols, F.posexplode("ents").alias("seq", "e")).select(
+    return posexplode_rows(arr, id_cols, F.col("ents"), "seq", "e").select(
         *id_cols,
-        F.col("seq").cast("long").alias("seq"),
+        "seq",
         F.col("e.type").alias("type"),
         F.col("e.start").alias("start"),
         F.col("e.end").alias("end"),

@@ -27,14 +27,19 @@ def _tokenize(ents: Column, salt: str) -> Column:
     )
 
 
-def entity_column(text: str | Column, registry: Mapping[str, str] | None = None, model_col: str | None = None) -> Column:
+def entity_column(
+    text: str | Column,
+    registry: Mapping[str, str] | None = None,
+    model_col: str | None = None,
+    has_digit: Column | None = None,
+) -> Column:
     """R1 detection list: model entities first (if any), then regex entities.
 
     Exact (span, type) repeats are dropped (first kept): a repeated span is a
     no-op in the literal fold, so this only shortens the array.
     """
     reg = REGEX_REGISTRY if registry is None else registry
-    arr = C.regex_entities(text, reg)
+    arr = C.regex_entities(text, reg, has_digit)
     if model_col is not None:
         model = F.transform(
             F.coalesce(F.col(model_col), F.array().cast(f"array<{C.ENTITY_STRUCT}>")),
@@ -50,6 +55,37 @@ def mask_literal_column(text: str | Column, ents: Column, salt: str) -> Column:
     return F.when(F.size(ents) == 0, C._col(text)).otherwise(C.literal_replace(text, pairs))
 
 
+# Overrides up to this many rows (counted) are inlined as a literal map.
+LITERAL_MAP_MAX = 10_000
+
+
+def _key(span: Column, entity_type: Column) -> Column:
+    return F.concat_ws("\u0000", entity_type, span)
+
+
+def token_pairs(ents: Column, salt: str, lookup: Column | None = None) -> Column:
+    """Entities → placeholder pairs (span, token, ph), ready for the fold.
+
+    ``lookup`` (map<type\0span, token>) supplies the tokens of collision
+    losers; everything else gets the plain hash token.
+    """
+
+    def tok(e: Column) -> Column:
+        plain = C.token(e["type"], e["span"], salt)
+        return plain if lookup is None else F.coalesce(F.element_at(lookup, _key(e["span"], e["type"])), plain)
+
+    return C.placeholder_pairs(
+        F.transform(ents, lambda e: F.struct(e["span"].alias("span"), tok(e).alias("repl")))
+    )
+
+
+def _literal_lookup(overrides: DataFrame) -> Column:
+    rows = overrides.select("original", "entity_type", "token").collect()  # counted ≤ LITERAL_MAP_MAX
+    keys = [F.lit(f"{r['entity_type']}\u0000{r['original']}") for r in rows]
+    vals = [F.lit(r["token"]) for r in rows]
+    return F.map_from_arrays(F.array(*keys).cast("array<string>"), F.array(*vals).cast("array<string>"))
+
+
 def mask_text(
     docs: DataFrame,
     text_col: str,
@@ -58,12 +94,19 @@ def mask_text(
     registry: Mapping[str, str] | None = None,
     model_col: str | None = None,
     custom_words: DataFrame | None = None,
+    overrides: DataFrame | None = None,
 ) -> DataFrame:
     """``ids…, masked, n_entities, entities`` per text.
 
     ``entities`` (array<struct<span,type>>) is kept so the vault delta can be
     derived without re-running detection.  With ``custom_words`` the ordered
     dictionary (R9) is applied to each text first.
+
+    ``overrides`` (original, entity_type, token) are the collision losers of
+    :func:`vault.plan_tokens`.  Counted first: up to ``LITERAL_MAP_MAX`` rows
+    they become a literal map in the projection (still no shuffle); beyond
+    that each text's overridden entities are found by a join on the small
+    exploded entity rows and the per-text map is joined back by key.
     """
     src = docs
     txt = F.col(text_col)
@@ -73,12 +116,32 @@ def mask_text(
         src = apply_custom_words(docs, text_col, custom_words, out_col="_cw_text")
         txt = F.col("_cw_text")
     keep = [model_col] if model_col else []
-    with_ents = src.select(*id_cols, *keep, txt.alias("_text")).withColumn(
-        "entities", entity_column(F.col("_text"), registry, model_col)
-    )
-    return with_ents.select(
+    with_ents = src.select(*id_cols, *keep, txt.alias("_text"), C.digit_flag(txt).alias("_dig")).withColumn(
+        "entities", entity_column(F.col("_text"), registry, model_col, F.col("_dig"))
+    ).drop("_dig")
+    lookup = None
+    if overrides is not None:
+        n_over = overrides.count()
+        if n_over == 0:
+            overrides = None
+        elif n_over <= LITERAL_MAP_MAX:
+            lookup = _literal_lookup(overrides)
+            overrides = None
+    if overrides is not None:
+        ents = C.posexplode_rows(with_ents, id_cols, F.col("entities"), "_seq", "e")
+        hits = ents.join(
+            overrides.select(F.col("original").alias("_o"), F.col("entity_type").alias("_t"), "token"),
+            (F.col("e.span") == F.col("_o")) & (F.col("e.type") == F.col("_t")),
+        )
+        per_text = hits.groupBy(*id_cols).agg(
+            F.map_from_entries(F.collect_list(F.struct(_key(F.col("_o"), F.col("_t")), F.col("token")))).alias("_lookup")
+        )
+        with_ents = with_ents.join(per_text, list(id_cols), "left")
+        lookup = F.col("_lookup")
+    with_pairs = with_ents.withColumn("_pairs", token_pairs(F.col("entities"), salt, lookup))
+    return with_pairs.select(
         *id_cols,
-        mask_literal_column(F.col("_text"), F.col("entities"), salt).alias("masked"),
+        F.when(F.size("_pairs") == 0, F.col("_text")).otherwise(C.fold_pairs("_text", F.col("_pairs"))).alias("masked"),
         F.size("entities").cast("long").alias("n_entities"),
         "entities",
     )
@@ -86,8 +149,8 @@ def mask_text(
 
 def entities_of(masked: DataFrame, id_cols: Sequence[str]) -> DataFrame:
     """Exploded ``ids…, seq, span, type`` from the ``entities`` array of ``mask_text``."""
-    return masked.select(*id_cols, F.posexplode("entities").alias("seq", "e")).select(
-        *id_cols, F.col("seq").cast("long").alias("seq"), F.col("e.span").alias("span"), F.col("e.type").alias("type")
+    return C.posexplode_rows(masked, id_cols, F.col("entities"), "seq", "e").select(
+        *id_cols, "seq", F.col("e.span").alias("span"), F.col("e.type").alias("type")
     )
 
 

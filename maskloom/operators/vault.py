@@ -29,10 +29,25 @@ def empty_vault(spark: SparkSession) -> DataFrame:
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Broadcast hint only after a counted size check; otherwise leave the join
-    to the planner (sort-merge, AQE skew splitting)."""
+    to the planner (sort-merge, AQE skew splitting).  Use for stored tables,
+    where the count is answered from file metadata."""
     return F.broadcast(df) if df.count() <= max_rows else df
 
 
+def vault_side(df: DataFrame) -> DataFrame:
+    """The vault side of a join, without a hint.
+
+    A derived vault is not counted up front (that would compute it twice).
+    The static planner broadcasts it only under
+    ``spark.sql.autoBroadcastJoinThreshold`` from size estimates, and AQE
+    re-plans a sort-merge join into a broadcast one only when the shuffled
+    side measured at run time is under
+    ``spark.sql.adaptive.autoBroadcastJoinThreshold``; past that it stays a
+    sort-merge join whose skewed partitions AQE splits.
+    """
+    return df
+
+
 def load_vault(spark: SparkSession, path: str | None) -> DataFrame:
     """Read a vault; a missing path gives an empty vault with the schema."""
     if not path:
@@ -116,6 +131,34 @@ def resolve_collisions(delta: DataFrame, salt: str, vault: DataFrame | None = No
     raise RuntimeError("token collisions not resolved after %d rounds" % max_rounds)
 
 
+def plan_tokens(entities: DataFrame, salt: str, vault: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """V1 + V3 + V8 for one batch: ``(assignments, delta)``.
+
+    ``delta`` holds the new vault rows with collision-free tokens (checked
+    against the vault and each other); ``assignments`` is every distinct
+    (original, entity_type) of the batch with its final token.  Only
+    distinct entity pairs are shuffled, never texts.
+    """
+    if vault is None:
+        new = distinct_entities(entities).select(
+            C.token(F.col("entity_type"), F.col("original"), salt).alias("token"), "original", "entity_type"
+        )
+        delta = resolve_collisions(new, salt)
+        return delta, delta
+    delta = resolve_collisions(vault_delta(entities, salt, vault), salt, vault)
+    known = distinct_entities(entities).join(
+        vault.select("token", "original", "entity_type"), ["original", "entity_type"], "inner"
+    ).select("token", "original", "entity_type")
+    return known.unionByName(delta), delta
+
+
+def overrides_of(assignments: DataFrame, salt: str) -> DataFrame:
+    """Assignments whose token is not the plain hash (collision losers)."""
+    return assignments.filter(
+        F.col("token") != C.token(F.col("entity_type"), F.col("original"), salt)
+    ).select("original", "entity_type", "token")
+
+
 def token_collisions(vault: DataFrame) -> DataFrame:
     """V8 (audit): tokens that map to more than one (original, type)."""
     return (
@@ -136,16 +179,16 @@ def masked_entities(masked: DataFrame, text_col: str, id_cols: Sequence[str], va
     Unknown tokens are omitted; one row per distinct token per text with its
     first-seen rank (``first_pos``).
     """
-    toks = masked.select(*id_cols, F.posexplode(C.token_spans(text_col)).alias("pos", "token"))
+    toks = C.posexplode_rows(masked, id_cols, C.token_spans(text_col), "pos", "token")
     first = toks.groupBy(*id_cols, "token").agg(F.min("pos").cast("long").alias("first_pos"))
-    v = broadcast_if_small(vault.select("token", "original", "entity_type"))
+    v = vault_side(vault.select("token", "original", "entity_type"))
     return first.join(v, "token", "inner").select(*id_cols, "first_pos", "token", "original", "entity_type")
 
 
 def token_coverage(masked: DataFrame, text_col: str, id_cols: Sequence[str], vault: DataFrame) -> DataFrame:
     """V5: per text, tokens found vs tokens the vault resolves."""
-    toks = masked.select(*id_cols, F.explode(C.token_spans(text_col)).alias("token"))
-    v = broadcast_if_small(vault.select(F.col("token").alias("_vt")).distinct())
+    toks = C.explode_rows(masked, id_cols, C.token_spans(text_col), "token")
+    v = vault_side(vault.select(F.col("token").alias("_vt")).distinct())
     j = toks.join(v, toks.token == v._vt, "left")
     return j.groupBy(*id_cols).agg(
         F.count("token").cast("long").alias("n_found"), F.count("_vt").cast("long").alias("n_resolved")

@@ -14,6 +14,7 @@ from ..functions import columns as C
 from ..functions.patterns import REGEX_REGISTRY
 from ..operators import detect, mask, restore, vault
 from . import duck as D
+from ..session import stored
 from .inputs import DUCK_CORPUS, DUCK_DOCS, SALT, corpus, documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,11 +44,35 @@ def masked_corpus(spark: SparkSession, sf: str) -> DataFrame:
     return mask.mask_text(corpus(spark, sf), "text", CORPUS_KEYS, SALT)
 
 
-def corpus_vault(spark: SparkSession, sf: str) -> DataFrame:
-    ents = mask.entities_of(masked_corpus(spark, sf), CORPUS_KEYS)
+def corpus_vault(spark: SparkSession, sf: str, masked: DataFrame | None = None) -> DataFrame:
+    ents = mask.entities_of(masked if masked is not None else masked_corpus(spark, sf), CORPUS_KEYS)
     return vault.assign_tokens(ents, SALT).select("token", "original", "entity_type")
 
 
+def mask_job(docs: DataFrame, keys: list[str], prior_vault: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The full mask job: (masked texts, new vault rows).
+
+    Pass 1 detects entities and plans collision-free tokens over the distinct
+    (span, type) pairs only; pass 2 masks the texts with those tokens.  Both
+    outputs are stored as Parquet tables in the shared scratch folder.
+    """
+    flagged = docs.select(*keys, "text", C.digit_flag("text").alias("_dig"))
+    ents = C.explode_rows(
+        flagged.select(*keys, mask.entity_column(F.col("text"), has_digit=F.col("_dig")).alias("l")), keys, F.col("l"), "e"
+    )
+    ents = ents.select(*keys, F.col("e.span").alias("span"), F.col("e.type").alias("type"))
+    assignments, delta = vault.plan_tokens(ents, SALT, prior_vault)
+    v = stored(delta, "vault")
+    over = vault.overrides_of(assignments, SALT)
+    m = stored(mask.mask_text(docs, "text", keys, SALT, overrides=over), "masked")
+    return m, v
+
+
+def mask_run(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """A mask job over the corpus: what a later restore job reads."""
+    return mask_job(corpus(spark, sf), CORPUS_KEYS)
+
+
 # ---------------------------------------------------------------------------
 # shared DuckDB building blocks
 # ---------------------------------------------------------------------------
@@ -121,10 +146,11 @@ ORACLE["detect_regex_entities"] = (
     FROM (SELECT src, doc_id, {D.entity_list('text')} AS l FROM {DUCK_CORPUS} c) x""",
 )
 def q_strategy_token(spark, sf):
-    arr = corpus(spark, sf).select(*CORPUS_KEYS, C.regex_entities("text").alias("l"))
-    return arr.select(*CORPUS_KEYS, F.posexplode("l").alias("seq", "e")).select(
+    flagged = corpus(spark, sf).select(*CORPUS_KEYS, "text", C.digit_flag("text").alias("_dig"))
+    arr = flagged.select(*CORPUS_KEYS, C.regex_entities("text", has_digit=F.col("_dig")).alias("l"))
+    return C.posexplode_rows(arr, CORPUS_KEYS, F.col("l"), "seq", "e").select(
         *CORPUS_KEYS,
-        F.col("seq").cast("long").alias("seq"),
+        "seq",
         F.col("e.type").alias("type"),
         F.col("e.span").alias("span"),
         C.token(F.col("e.type"), F.col("e.span"), SALT).alias("token"),
@@ -142,7 +168,8 @@ def q_mask_literal(spark, sf):
       len(list_distinct({D.entity_list('text')}))::BIGINT AS n_entities FROM {DUCK_DOCS} d""",
 )
 def q_mask_text(spark, sf):
-    return mask.mask_text(documents(spark, sf), "text", ["doc_id"], SALT).select("doc_id", "masked", "n_entities")
+    m, _ = mask_job(documents(spark, sf), ["doc_id"])
+    return m.select("doc_id", "masked", "n_entities")
 
 
 def _duck_span_mask(t: str) -> str:
@@ -247,7 +274,8 @@ def q_token_collisions(spark, sf):
     FROM (SELECT src, doc_id, {D.token_list('masked')} AS l FROM {DUCK_MASKED} m) x""",
 )
 def q_extract_tokens(spark, sf):
-    return restore.extract_tokens(masked_corpus(spark, sf), "masked", CORPUS_KEYS)
+    m, _ = mask_run(spark, sf)
+    return restore.extract_tokens(m, "masked", CORPUS_KEYS)
 
 
 _DUCK_RESTORED = f"""(WITH m AS {DUCK_MASKED}, v AS {DUCK_VAULT},
@@ -262,8 +290,8 @@ _DUCK_RESTORED = f"""(WITH m AS {DUCK_MASKED}, v AS {DUCK_VAULT},
 
 @register("unmask_text", f"SELECT src, doc_id, restored FROM {_DUCK_RESTORED} x")
 def q_unmask_text(spark, sf):
-    m = masked_corpus(spark, sf)
-    return restore.unmask_text(m, "masked", CORPUS_KEYS, corpus_vault(spark, sf))
+    m, v = mask_run(spark, sf)
+    return restore.unmask_text(m, "masked", CORPUS_KEYS, v)
 
 
 @register(
@@ -272,7 +300,8 @@ def q_unmask_text(spark, sf):
     FROM {_DUCK_RESTORED} x""",
 )
 def q_round_trip(spark, sf):
-    restored = q_unmask_text(spark, sf)
+    m, v = mask_run(spark, sf)
+    restored = restore.unmask_text(m, "masked", CORPUS_KEYS, v)
     return restore.round_trip_summary(restore.round_trip_flags(corpus(spark, sf), restored, "text", CORPUS_KEYS))
 
 
@@ -285,7 +314,8 @@ def q_round_trip(spark, sf):
     FROM t JOIN v ON v.token = t.token GROUP BY t.src, t.doc_id, t.token, v.original, v.entity_type""",
 )
 def q_masked_entities(spark, sf):
-    return vault.masked_entities(masked_corpus(spark, sf), "masked", CORPUS_KEYS, corpus_vault(spark, sf))
+    m, v = mask_run(spark, sf)
+    return vault.masked_entities(m, "masked", CORPUS_KEYS, v)
 
 
 @register(
@@ -296,4 +326,5 @@ def q_masked_entities(spark, sf):
     FROM t LEFT JOIN v ON v.token = t.token GROUP BY t.src, t.doc_id""",
 )
 def q_token_coverage(spark, sf):
-    return vault.token_coverage(masked_corpus(spark, sf), "masked", CORPUS_KEYS, corpus_vault(spark, sf))
+    m, v = mask_run(spark, sf)
+    return vault.token_coverage(m, "masked", CORPUS_KEYS, v)

@@ -10,8 +10,18 @@ from pyspark.sql import functions as F
 
 SALT = "s"  # test salt; production callers pass a secret
 
-# Documents are few and large: spread them so one big Parquet file does not
-# become one task.  Round-robin over a count proportional to the cores.
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin only when the scan has fewer splits than task slots.
+
+    A table stored as one Parquet row group is one task however large its
+    texts are.  On a cluster reading many files the scan already has more
+    splits than slots and this is a no-op (no shuffle); the decision uses the
+    planned split count, not the data.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,7 +30,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, text`` from ``documents``."""
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def pii_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +48,7 @@ def pii_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("@mail.example.com，IP 10.0."), (F.col("o_orderkey") % 250).cast("string"),
         F.lit("."), (F.col("o_custkey") % 250).cast("string"),
     )
-    return o.select(F.col("o_orderkey").alias("doc_id"), text.alias("text"))
+    return spread(o.select(F.col("o_orderkey").alias("doc_id"), text.alias("text")))
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:

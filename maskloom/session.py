@@ -50,3 +50,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder for written intermediates."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def stored(df, name: str):
+    """Write ``df`` as a Parquet table in the shared scratch folder and read it back.
+
+    Used where one job's output is the next job's input (masked texts and
+    vault written by a mask run, read by a restore run): it cuts lineage,
+    survives executor loss, and gives the planner file-size statistics.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
