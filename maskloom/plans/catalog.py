@@ -328,3 +328,183 @@ def q_masked_entities(spark, sf):
 def q_token_coverage(spark, sf):
     m, v = mask_run(spark, sf)
     return vault.token_coverage(m, "masked", CORPUS_KEYS, v)
+
+
+# ---------------------------------------------------------------------------
+# Chunking and the model-based detection data path
+# ---------------------------------------------------------------------------
+
+from ..functions.patterns import chunk_pattern  # noqa: E402
+from ..operators import ner  # noqa: E402
+from . import standin  # noqa: E402
+
+NER_ALLOWED = ["PER", "LOC", "ORG", "PHONE", "ID", "BANK", "EMAIL", "IP", "TIME"]
+
+
+def doc_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    return ner.chunk_text(documents(spark, sf), "text", ["doc_id"])
+
+
+def doc_responses(spark: SparkSession, sf: str) -> DataFrame:
+    """Model responses per chunk, derived from the chunks by the stand-in rule."""
+    return doc_chunks(spark, sf).select(
+        "doc_id", "chunk_idx", "offset", "chunk", standin.spark_response(F.col("chunk")).alias("response")
+    )
+
+
+def doc_ner_entities(spark: SparkSession, sf: str) -> DataFrame:
+    return ner.batch_entities(doc_responses(spark, sf), ["doc_id"])
+
+
+_CHUNK_RE = chunk_pattern()
+DUCK_CHUNKS = f"""(SELECT doc_id, unnest(range(0, len(l)))::BIGINT AS chunk_idx, unnest(l) AS chunk,
+    unnest(list_transform(l, lambda x, i: coalesce(list_sum(list_transform(l[1:i-1], lambda y: length(y))), 0)))::BIGINT AS "offset"
+  FROM (SELECT doc_id, regexp_extract_all(text, {D.q(_CHUNK_RE)}, 0) AS l FROM documents) a)"""
+DUCK_RESPONSES = f"""(SELECT doc_id, chunk_idx, "offset", chunk, {standin.duck_response('chunk')} AS response FROM {DUCK_CHUNKS} c)"""
+_BODY = r"CASE WHEN regexp_matches(response, '\[[\s\S]*\]') THEN regexp_extract(response, '\[[\s\S]*\]', 0) ELSE response END"
+DUCK_PARSED = f"""(SELECT doc_id, chunk_idx, "offset", chunk, unnest(range(0, len(l)))::BIGINT AS ent_idx, unnest(l) AS j
+  FROM (SELECT doc_id, chunk_idx, "offset", chunk,
+          list_filter(CASE WHEN json_valid(body) AND ltrim(body) LIKE '[%' THEN from_json(body, '["JSON"]') END,
+                      lambda j: json_type(j) = 'OBJECT' AND json_exists(j, '$.span') AND json_exists(j, '$.type')) AS l
+        FROM (SELECT doc_id, chunk_idx, "offset", chunk, {_BODY} AS body FROM {DUCK_RESPONSES} r) b) c)"""
+_HAS_SE = "(json_exists(j, '$.start') AND json_exists(j, '$.end'))"
+DUCK_FIELDS = f"""(SELECT doc_id, chunk_idx, "offset", chunk, ent_idx,
+    json_extract_string(j, '$.span') AS span, json_extract_string(j, '$.type') AS type,
+    CASE WHEN {_HAS_SE} THEN json_extract(j, '$.start')::INTEGER END AS start,
+    CASE WHEN {_HAS_SE} THEN json_extract(j, '$.end')::INTEGER END AS "end",
+    CASE WHEN json_exists(j, '$.prob') THEN json_extract(j, '$.prob')::DOUBLE END AS prob,
+    json_exists(j, '$.prob') AS has_prob, NOT {_HAS_SE} AS miss
+  FROM {DUCK_PARSED} p)"""
+DUCK_FILLED = f"""(SELECT doc_id, chunk_idx, "offset", chunk, ent_idx, span, type,
+    CASE WHEN miss THEN instr(chunk, span) - 1 ELSE start END::INTEGER AS start,
+    CASE WHEN miss THEN instr(chunk, span) - 1 + length(span) ELSE "end" END::INTEGER AS "end",
+    CASE WHEN has_prob THEN prob ELSE 0.95 END AS prob
+  FROM {DUCK_FIELDS} f WHERE NOT miss OR instr(chunk, span) > 0)"""
+DUCK_REBASED = f"""(SELECT doc_id, chunk_idx, ent_idx, span, type, (start + "offset")::INTEGER AS start,
+    ("end" + "offset")::INTEGER AS "end", prob,
+    (row_number() OVER (PARTITION BY doc_id ORDER BY chunk_idx, ent_idx) - 1)::BIGINT AS seq
+  FROM {DUCK_FILLED} f)"""
+DUCK_DEDUP = f"""(SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY first_seq) - 1)::BIGINT AS seq,
+    type, start, "end", span, prob
+  FROM (SELECT *, min(seq) OVER (PARTITION BY doc_id, span, type) AS first_seq,
+               row_number() OVER (PARTITION BY doc_id, span, type ORDER BY prob DESC, seq) AS rk
+        FROM {DUCK_REBASED} r) g WHERE rk = 1)"""
+
+
+@register(
+    "chunk_text",
+    f"SELECT doc_id, chunk_idx, chunk, length(chunk)::BIGINT AS n_chars FROM {DUCK_CHUNKS} c",
+)
+def q_chunk_text(spark, sf):
+    return doc_chunks(spark, sf).select("doc_id", "chunk_idx", "chunk", "n_chars")
+
+
+@register("chunk_offsets", f'SELECT doc_id, chunk_idx, "offset" FROM {DUCK_CHUNKS} c')
+def q_chunk_offsets(spark, sf):
+    return doc_chunks(spark, sf).select("doc_id", "chunk_idx", "offset")
+
+
+@register(
+    "build_requests",
+    f"""SELECT doc_id, chunk_idx, 0::BIGINT AS msg_idx, 'system' AS role, {D.q(ner.SYSTEM_PROMPT)} AS content FROM {DUCK_CHUNKS} a
+    UNION ALL SELECT doc_id, chunk_idx, 1::BIGINT AS msg_idx, 'user' AS role,
+      replace({D.q(ner.USER_PROMPT)}, '{{text}}', chunk) AS content FROM {DUCK_CHUNKS} b""",
+)
+def q_build_requests(spark, sf):
+    req = ner.build_requests(doc_chunks(spark, sf), ["doc_id", "chunk_idx"])
+    return C.posexplode_rows(req, ["doc_id", "chunk_idx"], F.col("messages"), "msg_idx", "m").select(
+        "doc_id", "chunk_idx", "msg_idx", F.col("m.role").alias("role"), F.col("m.content").alias("content")
+    )
+
+
+@register("score_chunks")
+def q_score_chunks(spark, sf):
+    """Rows-only: the Arrow-batched model hook over every chunk (stand-in model)."""
+    return ner.score_chunks(doc_chunks(spark, sf), standin.python_model, ["doc_id", "chunk_idx"])
+
+
+@register(
+    "parse_responses",
+    f"""SELECT doc_id, chunk_idx, ent_idx, span, type, start, "end", prob, has_prob FROM {DUCK_FIELDS} f""",
+)
+def q_parse_responses(spark, sf):
+    return ner.parse_responses(doc_responses(spark, sf), ["doc_id", "chunk_idx"]).select(
+        "doc_id", "chunk_idx", "ent_idx", "span", "type", "start", "end", "prob", "has_prob"
+    )
+
+
+@register("fill_offsets", f'SELECT doc_id, chunk_idx, ent_idx, span, type, start, "end" FROM {DUCK_FILLED} f')
+def q_fill_offsets(spark, sf):
+    parsed = ner.parse_responses(doc_responses(spark, sf), ["doc_id", "chunk_idx"])
+    return ner.fill_offsets(parsed).select("doc_id", "chunk_idx", "ent_idx", "span", "type", "start", "end")
+
+
+@register("default_prob", f"SELECT doc_id, chunk_idx, ent_idx, span, prob FROM {DUCK_FILLED} f")
+def q_default_prob(spark, sf):
+    parsed = ner.parse_responses(doc_responses(spark, sf), ["doc_id", "chunk_idx"])
+    return ner.default_prob(ner.fill_offsets(parsed)).select("doc_id", "chunk_idx", "ent_idx", "span", "prob")
+
+
+@register("rebase_offsets", f'SELECT doc_id, chunk_idx, ent_idx, span, start, "end" FROM {DUCK_REBASED} r')
+def q_rebase_offsets(spark, sf):
+    parsed = ner.parse_responses(doc_responses(spark, sf), ["doc_id", "chunk_idx"])
+    return ner.rebase_offsets(ner.default_prob(ner.fill_offsets(parsed))).select(
+        "doc_id", "chunk_idx", "ent_idx", "span", "start", "end"
+    )
+
+
+@register("dedup_entities", f'SELECT doc_id, seq, type, start, "end", span, prob FROM {DUCK_DEDUP} d')
+def q_dedup_entities(spark, sf):
+    return doc_ner_entities(spark, sf)
+
+
+@register(
+    "batch_entities",
+    f"""SELECT d.doc_id, count(e.span)::BIGINT AS n_entities FROM documents d LEFT JOIN {DUCK_DEDUP} e ON e.doc_id = d.doc_id
+    GROUP BY d.doc_id""",
+)
+def q_batch_entities(spark, sf):
+    ents = doc_ner_entities(spark, sf).groupBy("doc_id").agg(F.count("*").cast("long").alias("n"))
+    docs = documents(spark, sf).select("doc_id")
+    return docs.join(ents, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_entities"))
+
+
+@register(
+    "corpus_entities",
+    f"""SELECT span, type, doc_id AS first_doc_id, start, "end", best_prob AS prob, n_occurrences
+    FROM (SELECT *, row_number() OVER (PARTITION BY span, type ORDER BY prob DESC, doc_id, seq) AS rk,
+                 max(prob) OVER (PARTITION BY span, type) AS best_prob,
+                 count(*) OVER (PARTITION BY span, type)::BIGINT AS n_occurrences
+          FROM {DUCK_DEDUP} d) x WHERE rk = 1""",
+)
+def q_corpus_entities(spark, sf):
+    return ner.corpus_entities(doc_ner_entities(spark, sf), ["doc_id"])
+
+
+_DUCK_ALIAS = "CASE " + " ".join(
+    f"WHEN type = {D.q(k)} THEN {D.q(v)}" for k, v in detect.TYPE_ALIASES.items()
+) + " ELSE type END"
+DUCK_NER_FILTERED = f"""(SELECT doc_id, seq, {_DUCK_ALIAS} AS type, start, "end", span, prob FROM {DUCK_DEDUP} d
+  WHERE ({_DUCK_ALIAS}) IN ({', '.join(D.q(t) for t in NER_ALLOWED)}))"""
+
+
+@register("filter_types", f'SELECT doc_id, seq, type, start, "end", span, prob FROM {DUCK_NER_FILTERED} f')
+def q_filter_types(spark, sf):
+    return detect.filter_types(doc_ner_entities(spark, sf), NER_ALLOWED)
+
+
+DUCK_DOC_REGEX = f"""(SELECT doc_id, unnest(range(0, len(l)))::BIGINT AS seq, unnest(l) AS e
+  FROM (SELECT doc_id, {D.offset_entity_list('text')} AS l FROM documents) x)"""
+
+
+@register(
+    "merge_detections",
+    f"""SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY src, seq) - 1)::BIGINT AS seq,
+      type, start, "end", span, prob
+    FROM (SELECT doc_id, 0 AS src, seq, type, start, "end", span, prob FROM {DUCK_NER_FILTERED} n
+          UNION ALL SELECT doc_id, 1 AS src, seq, e.type, e.start::INTEGER, e.end::INTEGER, e.span, 1.0::DOUBLE FROM {DUCK_DOC_REGEX} r) u""",
+)
+def q_merge_detections(spark, sf):
+    model = detect.filter_types(doc_ner_entities(spark, sf), NER_ALLOWED)
+    regex = detect.detect_regex_entities(documents(spark, sf), "text", ["doc_id"])
+    return detect.merge_detections(model, regex, ["doc_id"])
