@@ -95,6 +95,9 @@ def mask_text(
     model_col: str | None = None,
     custom_words: DataFrame | None = None,
     overrides: DataFrame | None = None,
+    keep_cols: Sequence[str] = (),
+    out_col: str = "masked",
+    with_entities: bool = True,
 ) -> DataFrame:
     """``ids…, masked, n_entities, entities`` per text.
 
@@ -108,6 +111,8 @@ def mask_text(
     that each text's overridden entities are found by a join on the small
     exploded entity rows and the per-text map is joined back by key.
     """
+    lookup = override_lookup(overrides)
+    keep = [c for c in keep_cols if c not in id_cols]
     src = docs
     txt = F.col(text_col)
     if custom_words is not None:
@@ -115,18 +120,14 @@ def mask_text(
 
         src = apply_custom_words(docs, text_col, custom_words, out_col="_cw_text")
         txt = F.col("_cw_text")
-    keep = [model_col] if model_col else []
-    with_ents = src.select(*id_cols, *keep, txt.alias("_text"), C.digit_flag(txt).alias("_dig")).withColumn(
+    model = [model_col] if model_col else []
+    with_ents = src.select(*id_cols, *keep, *model, txt.alias("_text"), C.digit_flag(txt).alias("_dig")).withColumn(
         "entities", entity_column(F.col("_text"), registry, model_col, F.col("_dig"))
     ).drop("_dig")
-    lookup = None
-    if overrides is not None:
-        n_over = overrides.count()
-        if n_over == 0:
-            overrides = None
-        elif n_over <= LITERAL_MAP_MAX:
-            lookup = _literal_lookup(overrides)
-            overrides = None
+    if isinstance(lookup, DataFrame):
+        overrides, lookup = lookup, None
+    else:
+        overrides = None
     if overrides is not None:
         ents = C.posexplode_rows(with_ents, id_cols, F.col("entities"), "_seq", "e")
         hits = ents.join(
@@ -139,14 +140,36 @@ def mask_text(
         with_ents = with_ents.join(per_text, list(id_cols), "left")
         lookup = F.col("_lookup")
     with_pairs = with_ents.withColumn("_pairs", token_pairs(F.col("entities"), salt, lookup))
+    extra = [F.size("entities").cast("long").alias("n_entities"), F.col("entities")] if with_entities else []
     return with_pairs.select(
         *id_cols,
-        F.when(F.size("_pairs") == 0, F.col("_text")).otherwise(C.fold_pairs("_text", F.col("_pairs"))).alias("masked"),
-        F.size("entities").cast("long").alias("n_entities"),
-        "entities",
+        *keep,
+        F.when(F.size("_pairs") == 0, F.col("_text")).otherwise(C.fold_pairs("_text", F.col("_pairs"))).alias(out_col),
+        *extra,
     )
 
 
+def override_lookup(overrides: DataFrame | None):
+    """Counted decision for collision overrides: ``None`` (none), a literal
+    map column (≤ ``LITERAL_MAP_MAX`` rows), or the DataFrame itself (join path)."""
+    if overrides is None:
+        return None
+    n_over = overrides.count()
+    if n_over == 0:
+        return None
+    if n_over <= LITERAL_MAP_MAX:
+        return _literal_lookup(overrides)
+    return overrides
+
+
+def mask_column(text: Column, salt: str, lookup: Column | None = None,
+                registry: Mapping[str, str] | None = None) -> Column:
+    """R1 as one expression (detect → token → literal fold) for use inside
+    other expressions, e.g. per paragraph in ``transform``."""
+    pairs = token_pairs(entity_column(text, registry), salt, lookup)
+    return F.when(F.size(pairs) == 0, text).otherwise(C.fold_pairs(text, pairs))
+
+
 def entities_of(masked: DataFrame, id_cols: Sequence[str]) -> DataFrame:
     """Exploded ``ids…, seq, span, type`` from the ``entities`` array of ``mask_text``."""
     return C.posexplode_rows(masked, id_cols, F.col("entities"), "seq", "e").select(

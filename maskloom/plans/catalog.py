@@ -508,3 +508,121 @@ def q_merge_detections(spark, sf):
     model = detect.filter_types(doc_ner_entities(spark, sf), NER_ALLOWED)
     regex = detect.detect_regex_entities(documents(spark, sf), "text", ["doc_id"])
     return detect.merge_detections(model, regex, ["doc_id"])
+
+
+# ---------------------------------------------------------------------------
+# Content lists and Markdown
+# ---------------------------------------------------------------------------
+
+from ..functions.patterns import PARAGRAPH_SEP_RE  # noqa: E402
+from ..operators import documents as docops  # noqa: E402
+from .inputs import DUCK_MARKDOWN, content_items, markdown_docs  # noqa: E402
+
+ITEM_KEYS = ["doc_id", "item_idx"]
+
+
+def items_mask_job(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(original items, stored masked items, stored vault) — one content-list mask job.
+
+    Pass 1 feeds the vault from the entities of every ``text`` and ``title``;
+    pass 2 masks each field with the entities found in that field.
+    """
+    items = content_items(spark, sf)
+    fields = items.select(*ITEM_KEYS, F.array("text", "title").alias("_f"))
+    per_field = C.explode_rows(fields, ITEM_KEYS, F.col("_f"), "text").filter(F.col("text").isNotNull())
+    flagged = per_field.select(*ITEM_KEYS, "text", C.digit_flag("text").alias("_dig"))
+    ents = C.explode_rows(
+        flagged.select(*ITEM_KEYS, mask.entity_column(F.col("text"), has_digit=F.col("_dig")).alias("l")),
+        ITEM_KEYS, F.col("l"), "e",
+    ).select(*ITEM_KEYS, F.col("e.span").alias("span"), F.col("e.type").alias("type"))
+    assignments, delta = vault.plan_tokens(ents, SALT)
+    v = stored(delta, "vault_items")
+    m = stored(docops.mask_document(items, SALT, vault.overrides_of(assignments, SALT)), "masked_items")
+    return items, m, v
+
+
+def markdown_mask_job(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """(stored masked Markdown, stored vault) — one Markdown mask job."""
+    md = markdown_docs(spark, sf)
+    flagged = md.select("doc_id", "md", C.digit_flag("md").alias("_dig"))
+    ents = C.explode_rows(
+        flagged.select("doc_id", mask.entity_column(F.col("md"), has_digit=F.col("_dig")).alias("l")), ["doc_id"], F.col("l"), "e"
+    ).select("doc_id", F.col("e.span").alias("span"), F.col("e.type").alias("type"))
+    assignments, delta = vault.plan_tokens(ents, SALT)
+    v = stored(delta, "vault_md")
+    m = stored(docops.mask_markdown(md, "md", ["doc_id"], SALT, vault.overrides_of(assignments, SALT)), "masked_md")
+    return m, v
+
+
+DUCK_ITEMS = """(SELECT doc_id, (i - 1)::INTEGER AS item_idx, CASE WHEN i = 1 THEN 'title' ELSE 'text' END AS type,
+    CASE WHEN i = 1 THEN NULL ELSE line END AS text, CASE WHEN i = 1 THEN line END AS title, 1 AS page
+  FROM (SELECT doc_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS i
+        FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) a) b)"""
+DUCK_MASKED_ITEMS = f"""(SELECT doc_id, item_idx, type,
+    {D.literal_fold('text', D.entity_list('text'), SALT)} AS text,
+    {D.literal_fold('title', D.entity_list('title'), SALT)} AS title, page
+  FROM {DUCK_ITEMS} i)"""
+
+
+@register("mask_document", f"SELECT doc_id, item_idx, type, text, title, page FROM {DUCK_MASKED_ITEMS} m")
+def q_mask_document(spark, sf):
+    _, m, _ = items_mask_job(spark, sf)
+    return m
+
+
+@register(
+    "document_text",
+    f"""SELECT doc_id, string_agg(
+        CASE WHEN coalesce(length(text), 0) > 0 THEN text || chr(10) || chr(10) ELSE '' END ||
+        CASE WHEN coalesce(length(title), 0) > 0 THEN title || chr(10) || chr(10) ELSE '' END, '' ORDER BY item_idx) AS all_text
+    FROM {DUCK_ITEMS} i GROUP BY doc_id""",
+)
+def q_document_text(spark, sf):
+    return docops.document_text(content_items(spark, sf))
+
+
+@register(
+    "render_markdown",
+    f"""SELECT doc_id, string_agg(CASE WHEN type = 'title' THEN '# ' || coalesce(title, '') || chr(10) || chr(10)
+        ELSE coalesce(text, '') || chr(10) || chr(10) END, '' ORDER BY item_idx) AS markdown
+    FROM {DUCK_MASKED_ITEMS} m GROUP BY doc_id""",
+)
+def q_render_markdown(spark, sf):
+    _, m, _ = items_mask_job(spark, sf)
+    return docops.render_markdown(m)
+
+
+@register("unmask_document", f"SELECT doc_id, item_idx, type, text, title, page FROM {DUCK_ITEMS} i")
+def q_unmask_document(spark, sf):
+    _, m, v = items_mask_job(spark, sf)
+    return docops.unmask_document(m, v)
+
+
+@register(
+    "paragraphs",
+    f"""SELECT doc_id, para_idx, text FROM (
+      SELECT doc_id, unnest(range(0, len(l)))::BIGINT AS para_idx, unnest(l) AS text
+      FROM (SELECT doc_id, string_split_regex(md, {D.q(PARAGRAPH_SEP_RE)}) AS l FROM {DUCK_MARKDOWN} m) a) b
+    WHERE regexp_matches(text, '\\S')""",
+)
+def q_paragraphs(spark, sf):
+    return docops.paragraphs(markdown_docs(spark, sf), "md", ["doc_id"])
+
+
+@register(
+    "mask_markdown",
+    f"""SELECT doc_id, CASE WHEN md IS NULL THEN NULL ELSE array_to_string(list_transform(
+        string_split_regex(md, {D.q(PARAGRAPH_SEP_RE)}),
+        lambda p, i: {D.literal_fold('p', D.entity_list('p'), SALT)} ||
+                     coalesce(regexp_extract_all(md, {D.q(PARAGRAPH_SEP_RE)}, 0)[i], '')), '') END AS masked
+    FROM {DUCK_MARKDOWN} m""",
+)
+def q_mask_markdown(spark, sf):
+    m, _ = markdown_mask_job(spark, sf)
+    return m
+
+
+@register("unmask_markdown", f"SELECT doc_id, md AS restored FROM {DUCK_MARKDOWN} m")
+def q_unmask_markdown(spark, sf):
+    m, v = markdown_mask_job(spark, sf)
+    return docops.unmask_markdown(m, "masked", ["doc_id"], v)
