@@ -626,3 +626,155 @@ def q_mask_markdown(spark, sf):
 def q_unmask_markdown(spark, sf):
     m, v = markdown_mask_job(spark, sf)
     return docops.unmask_markdown(m, "masked", ["doc_id"], v)
+
+
+# ---------------------------------------------------------------------------
+# strategies
+# ---------------------------------------------------------------------------
+
+from ..functions.patterns import NUMBERED_TYPES, TYPE_TEMPLATES  # noqa: E402
+from ..operators import strategies as S  # noqa: E402
+from .inputs import DUCK_PII, pii_texts, table  # noqa: E402
+
+OVERRIDE_TEMPLATES = {"PER": "张某", "BANK": "卡号"}
+_NUM_SQL = ", ".join(D.q(t) for t in NUMBERED_TYPES)
+
+
+def _strategy_sql(repl_sql: str) -> str:
+    """Corpus masked with a per-entity replacement ``repl_sql`` over e.s / e.ty."""
+    pairs = f"list_transform(list_distinct_ordered, lambda e: {{'s': e.s, 'r': {repl_sql}}})"
+    return (
+        f"SELECT src, doc_id, {D.placeholder_fold('text', pairs.replace('list_distinct_ordered', D.entity_list('text')))} AS masked "
+        f"FROM {DUCK_CORPUS} c"
+    )
+
+
+def _strategy_query(strategy: S.Strategy):
+    def run(spark, sf):
+        return S.mask_with_strategy(corpus(spark, sf), "text", CORPUS_KEYS, strategy)
+
+    return run
+
+
+register("strategy_replacement", _strategy_sql("'***'"))(_strategy_query(S.replacement()))
+register("strategy_hash", _strategy_sql("substr(md5(e.s || ''), 1, 8)"))(_strategy_query(S.hashed()))
+register("strategy_type", _strategy_sql(D.template("e.ty", TYPE_TEMPLATES)))(_strategy_query(S.type_based()))
+register(
+    "strategy_type_override", _strategy_sql(D.template("e.ty", S.templates_with(OVERRIDE_TEMPLATES)))
+)(_strategy_query(S.type_based(S.templates_with(OVERRIDE_TEMPLATES))))
+_DISPATCH = S.dispatch(
+    {"PHONE": S.hashed("k", 6), "BANK": S.replacement("****"), "EMAIL": S.type_based()}, S.token_strategy(SALT)
+)
+register(
+    "strategy_dispatch",
+    _strategy_sql(
+        "CASE WHEN e.ty = 'PHONE' THEN substr(md5(e.s || 'k'), 1, 6) WHEN e.ty = 'BANK' THEN '****' "
+        f"WHEN e.ty = 'EMAIL' THEN {D.template('e.ty', TYPE_TEMPLATES)} ELSE {D.token('e.ty', 'e.s', SALT)} END"
+    ),
+)(_strategy_query(_DISPATCH))
+
+
+def corpus_occurrences(spark: SparkSession, sf: str) -> DataFrame:
+    """Entity occurrences in corpus order: documents (model + regex, merged)
+    then the order records (regex).  ``src, doc_id, seq, span, type``."""
+    docs = q_merge_detections(spark, sf).select(F.lit("doc").alias("src"), "doc_id", "seq", "span", "type")
+    pii = pii_texts(spark, sf)
+    flagged = pii.select("doc_id", "text", C.digit_flag("text").alias("_dig"))
+    arr = flagged.select("doc_id", C.regex_entities("text", has_digit=F.col("_dig")).alias("l"))
+    ords = C.posexplode_rows(arr, ["doc_id"], F.col("l"), "seq", "e").select(
+        F.lit("ord").alias("src"), "doc_id", "seq", F.col("e.span").alias("span"), F.col("e.type").alias("type")
+    )
+    return docs.unionByName(ords)
+
+
+def custom_dictionary(spark: SparkSession, sf: str) -> DataFrame:
+    """Custom words from ``customer``: each customer's mail address → a label."""
+    c = table(spark, sf, "customer")
+    return c.select(
+        F.concat(F.lit("u"), F.col("c_custkey").cast("string"), F.lit("@mail.example.com")).alias("original"),
+        F.concat(F.lit("客户"), F.col("c_custkey").cast("string")).alias("replacement"),
+        F.col("c_custkey").alias("priority"),
+    )
+
+
+DUCK_OCC = f"""(SELECT src, doc_id, seq, span, type, row_number() OVER (ORDER BY src, doc_id, seq) AS gpos FROM (
+    SELECT 'doc' AS src, doc_id, seq, span, type FROM ({ORACLE['merge_detections']}) m
+    UNION ALL SELECT 'ord' AS src, doc_id, unnest(range(0, len(l)))::BIGINT AS seq,
+      unnest(list_transform(l, lambda e: e.s)) AS span, unnest(list_transform(l, lambda e: e.ty)) AS type
+    FROM (SELECT doc_id, {D.entity_list('text')} AS l FROM {DUCK_PII} p) x) u)"""
+DUCK_CW = """(SELECT 'u' || CAST(c_custkey AS VARCHAR) || '@mail.example.com' AS original,
+    '客户' || CAST(c_custkey AS VARCHAR) AS replacement, c_custkey AS priority FROM customer)"""
+DUCK_CTX_FIRST = f"""(SELECT *, row_number() OVER (PARTITION BY ftype ORDER BY fpos) AS n FROM (
+    SELECT span, min(gpos) AS fpos, arg_min(type, gpos) AS ftype FROM {DUCK_OCC} o WHERE type IN ({_NUM_SQL}) GROUP BY span) f)"""
+
+
+@register(
+    "strategy_context",
+    f"""SELECT o.src, o.doc_id, o.seq, o.span, o.type,
+      CASE WHEN n.fpos IS NOT NULL AND o.gpos >= n.fpos THEN {D.template('n.ftype', TYPE_TEMPLATES)} || ' ' || CAST(n.n AS VARCHAR)
+           ELSE {D.template('o.type', TYPE_TEMPLATES)} END AS masked
+    FROM {DUCK_OCC} o LEFT JOIN {DUCK_CTX_FIRST} n ON n.span = o.span""",
+)
+def q_strategy_context(spark, sf):
+    return S.context_masks(corpus_occurrences(spark, sf), CORPUS_KEYS)
+
+
+@register(
+    "rebuild_counters",
+    f"SELECT ftype AS entity_type, max(n)::BIGINT AS counter FROM {DUCK_CTX_FIRST} n GROUP BY ftype",
+)
+def q_rebuild_counters(spark, sf):
+    mapping = S.context_mapping(corpus_occurrences(spark, sf), CORPUS_KEYS)
+    return S.rebuild_counters(stored(mapping.select("original", "entity_type", "mask_text"), "context_mapping"))
+
+
+@register(
+    "strategy_custom",
+    f"""SELECT o.src, o.doc_id, o.seq, o.span, o.type,
+      coalesce(cw.replacement, '__CUSTOM_' || substr(sha256(o.span), 1, 8) || '__') AS masked
+    FROM {DUCK_OCC} o LEFT JOIN {DUCK_CW} cw ON cw.original = o.span""",
+)
+def q_strategy_custom(spark, sf):
+    return S.custom_masks(corpus_occurrences(spark, sf), custom_dictionary(spark, sf)).select(
+        *CORPUS_KEYS, "seq", "span", "type", "masked"
+    )
+
+
+DUCK_HYBRID = f"""(WITH f AS (SELECT span, min(gpos) AS fpos, arg_min(type, gpos) AS ftype FROM {DUCK_OCC} o GROUP BY span),
+  g AS (SELECT * FROM f WHERE span NOT IN (SELECT original FROM {DUCK_CW} c)),
+  nn AS (SELECT *, row_number() OVER (PARTITION BY ftype ORDER BY fpos) AS n FROM g WHERE ftype IN ({_NUM_SQL}))
+  SELECT original, NULL::VARCHAR AS entity_type, NULL::BIGINT AS ordinal, replacement AS mask_text, true AS is_custom,
+         0 AS k1, '' AS k2, priority AS k3, 0::BIGINT AS k4 FROM {DUCK_CW} c
+  UNION ALL SELECT span, ftype, n::BIGINT, {D.template('ftype', TYPE_TEMPLATES)} || ' ' || CAST(n AS VARCHAR), false,
+         1, '', fpos, 0 FROM nn
+  UNION ALL SELECT span, ftype, NULL::BIGINT, {D.template('ftype', TYPE_TEMPLATES)}, false, 1, '', fpos, 0
+    FROM g WHERE ftype NOT IN ({_NUM_SQL}))"""
+
+
+def hybrid_table(spark: SparkSession, sf: str) -> DataFrame:
+    return S.hybrid_mapping(corpus_occurrences(spark, sf), CORPUS_KEYS, custom_dictionary(spark, sf))
+
+
+@register(
+    "strategy_hybrid",
+    f"SELECT original, entity_type, ordinal, mask_text, is_custom FROM {DUCK_HYBRID} h",
+)
+def q_strategy_hybrid(spark, sf):
+    return hybrid_table(spark, sf).select("original", "entity_type", "ordinal", "mask_text", "is_custom")
+
+
+@register(
+    "reverse_mapping",
+    f"""SELECT mask_text, arg_max(original, (k1, k3)) AS original, count(DISTINCT original)::BIGINT AS n_originals
+    FROM {DUCK_HYBRID} h GROUP BY mask_text""",
+)
+def q_reverse_mapping(spark, sf):
+    h = hybrid_table(spark, sf)
+    cw = custom_dictionary(spark, sf).select("original", F.col("priority").alias("_p"))
+    fp = F.col("first_pos")
+    ordered = h.join(cw, "original", "left").withColumn(
+        "seq",
+        F.when(F.col("is_custom"), F.struct(F.lit(0).alias("k"), F.lit("").alias("a"), F.col("_p").cast("long").alias("b"), F.lit(0).cast("long").alias("c")))
+        .otherwise(F.struct(F.lit(1).alias("k"), fp["src"].alias("a"), fp["doc_id"].cast("long").alias("b"), fp["seq"].cast("long").alias("c"))),
+    )
+    return S.reverse_mapping(ordered)

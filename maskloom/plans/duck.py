@@ -84,3 +84,17 @@ def literal_fold(t: str, ents: str, salt: str) -> str:
 
 def token_list(t: str) -> str:
     return f"regexp_extract_all({t}, {q(TOKEN_RE)}, 0)"
+
+
+def placeholder_fold(t: str, pairs: str) -> str:
+    """Two-phase literal replacement for ``pairs`` = list<struct(s, r)>:
+    every span → a private-use placeholder, then placeholders → replacements."""
+    idx = f"list_transform({pairs}, lambda p, i: {{'s': p.s, 'r': p.r, 'ph': chr(57344) || i::VARCHAR || chr(57345)}})"
+    init = "{'s': %s, 'r': '', 'ph': ''}"
+    phase1 = f"list_reduce({idx}, lambda acc, p: {{'s': replace(acc.s, p.s, p.ph), 'r': '', 'ph': ''}}, {init % t}).s"
+    return f"list_reduce({idx}, lambda acc, p: {{'s': replace(acc.s, p.ph, p.r), 'r': '', 'ph': ''}}, {init % phase1}).s"
+
+
+def template(ty: str, templates: dict) -> str:
+    whens = " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in templates.items() if k != "DEFAULT")
+    return f"(CASE {ty} {whens} ELSE {q(templates['DEFAULT'])} END)"
