@@ -778,3 +778,134 @@ def q_reverse_mapping(spark, sf):
         .otherwise(F.struct(F.lit(1).alias("k"), fp["src"].alias("a"), fp["doc_id"].cast("long").alias("b"), fp["seq"].cast("long").alias("c"))),
     )
     return S.reverse_mapping(ordered)
+
+
+# ---------------------------------------------------------------------------
+# Custom-word dictionaries
+# ---------------------------------------------------------------------------
+
+from ..operators import words as W  # noqa: E402
+
+REMASK_WORDS = [("成交", "交易"), ("订单", "单据")]  # a caller's small dictionary
+
+
+def _segment_words(spark, sf, segment: str, label: str) -> DataFrame:
+    c = table(spark, sf, "customer").filter(F.col("c_mktsegment") == segment)
+    return c.select(
+        F.concat(F.lit("u"), F.col("c_custkey").cast("string"), F.lit("@mail.example.com")).alias("original"),
+        F.concat(F.lit(label), F.col("c_custkey").cast("string")).alias("replacement"),
+        F.col("c_custkey").alias("priority"),
+    )
+
+
+def _duck_segment_words(segment: str, label: str) -> str:
+    return (
+        f"(SELECT 'u' || CAST(c_custkey AS VARCHAR) || '@mail.example.com' AS original, "
+        f"{D.q(label)} || CAST(c_custkey AS VARCHAR) AS replacement, c_custkey AS priority "
+        f"FROM customer WHERE c_mktsegment = {D.q(segment)})"
+    )
+
+
+def _updates(spark, sf) -> DataFrame:
+    n = table(spark, sf, "nation")
+    nations = n.select(
+        F.col("n_name").alias("original"), F.concat(F.lit("国家"), F.col("n_nationkey").cast("string")).alias("replacement"),
+        (F.lit(100_000_000) + F.col("n_nationkey")).cast("long").alias("priority"),
+    )
+    return _segment_words(spark, sf, "BUILDING", "建筑客户").unionByName(nations)
+
+
+_DUCK_UPDATES = f"""({_duck_segment_words('BUILDING', '建筑客户')} UNION ALL
+  SELECT n_name AS original, '国家' || CAST(n_nationkey AS VARCHAR) AS replacement, (100000000 + n_nationkey)::BIGINT AS priority FROM nation)"""
+
+
+@register(
+    "upsert_words",
+    f"""WITH w AS {DUCK_CW}, u AS (SELECT original, arg_max(replacement, priority) AS r, min(priority) AS p
+        FROM {_DUCK_UPDATES} x WHERE length(original) > 0 AND length(replacement) > 0 GROUP BY original),
+      b AS (SELECT coalesce(max(priority), 0) AS m FROM w)
+    SELECT coalesce(w.original, u.original) AS original, coalesce(u.r, w.replacement) AS replacement,
+      coalesce(w.priority, (SELECT m FROM b) + u.p)::BIGINT AS priority
+    FROM w FULL OUTER JOIN u ON u.original = w.original""",
+)
+def q_upsert_words(spark, sf):
+    return W.upsert_words(custom_dictionary(spark, sf), _updates(spark, sf))
+
+
+@register(
+    "remove_words",
+    f"""SELECT w.original, w.replacement, w.priority FROM {DUCK_CW} w
+    WHERE w.original NOT IN (SELECT 'u' || CAST(c_custkey AS VARCHAR) || '@mail.example.com' FROM customer WHERE c_acctbal < 0)""",
+)
+def q_remove_words(spark, sf):
+    neg = table(spark, sf, "customer").filter(F.col("c_acctbal") < 0).select(
+        F.concat(F.lit("u"), F.col("c_custkey").cast("string"), F.lit("@mail.example.com")).alias("original")
+    )
+    return W.remove_words(custom_dictionary(spark, sf), neg)
+
+
+@register(
+    "list_words",
+    f"SELECT original, replacement, (row_number() OVER (ORDER BY priority) - 1)::BIGINT AS position FROM {DUCK_CW} w",
+)
+def q_list_words(spark, sf):
+    return W.list_words(custom_dictionary(spark, sf))
+
+
+@register(
+    "sync_words",
+    f"""WITH l AS {_duck_segment_words('BUILDING', 'B')}, s AS {DUCK_CW}, b AS (SELECT coalesce(max(priority), 0) AS m FROM l)
+    SELECT coalesce(l.original, s.original) AS original, coalesce(l.replacement, s.replacement) AS replacement,
+      coalesce(l.priority, (SELECT m FROM b) + s.priority)::BIGINT AS priority
+    FROM l FULL OUTER JOIN s ON s.original = l.original""",
+)
+def q_sync_words(spark, sf):
+    return W.sync_words(_segment_words(spark, sf, "BUILDING", "B"), custom_dictionary(spark, sf))
+
+
+@register(
+    "merge_words",
+    f"""WITH t AS (SELECT *, 0 AS layer FROM {_duck_segment_words('BUILDING', 'S')} a
+        UNION ALL SELECT *, 1 AS layer FROM {DUCK_CW} b
+        UNION ALL SELECT *, 2 AS layer FROM {_duck_segment_words('MACHINERY', 'M')} c)
+    SELECT original, arg_max(replacement, {{'l': layer, 'p': priority}}) AS replacement,
+      min({{'l': layer, 'p': priority}}).l AS layer, min({{'l': layer, 'p': priority}}).p AS layer_priority
+    FROM t GROUP BY original""",
+)
+def q_merge_words(spark, sf):
+    return W.merge_words([
+        _segment_words(spark, sf, "BUILDING", "S"), custom_dictionary(spark, sf), _segment_words(spark, sf, "MACHINERY", "M"),
+    ]).select("original", "replacement", F.col("layer").cast("int").alias("layer"), "layer_priority")
+
+
+@register(
+    "apply_custom_words",
+    f"""SELECT doc_id, list_reduce((SELECT list({{'s': original, 'r': replacement}} ORDER BY priority) FROM {DUCK_CW} w),
+      lambda acc, p: {{'s': replace(acc.s, p.s, p.r), 'r': ''}}, {{'s': text, 'r': ''}}).s AS text
+    FROM {DUCK_PII} p""",
+)
+def q_apply_custom_words(spark, sf):
+    return W.apply_custom_words(pii_texts(spark, sf), "text", custom_dictionary(spark, sf))
+
+
+def _remask_words(spark) -> DataFrame:
+    return spark.createDataFrame([(o, r, i) for i, (o, r) in enumerate(REMASK_WORDS)], W.WORDS_SCHEMA)
+
+
+@register(
+    "remask_incremental",
+    f"""SELECT p.doc_id, CASE WHEN o.o_orderstatus = 'F' THEN
+        {'replace(' * len(REMASK_WORDS)}{D.literal_fold('p.text', D.entity_list('p.text'), SALT)}{''.join(f", {D.q(a)}, {D.q(b)})" for a, b in REMASK_WORDS)}
+      ELSE {D.literal_fold('p.text', D.entity_list('p.text'), SALT)} END AS masked
+    FROM {DUCK_PII} p JOIN orders o ON o.o_orderkey = p.doc_id""",
+)
+def q_remask_incremental(spark, sf):
+    pii = pii_texts(spark, sf)
+    done = table(spark, sf, "orders").filter(F.col("o_orderstatus") == "F").select(F.col("o_orderkey").alias("doc_id"))
+    previous, _ = mask_job(pii.join(done, "doc_id", "left_semi"), ["doc_id"])  # an earlier run's stored output
+
+    def full_mask(df):
+        m, _ = mask_job(df, ["doc_id"])
+        return m
+
+    return W.remask_incremental(pii, "text", ["doc_id"], previous, _remask_words(spark), full_mask)
