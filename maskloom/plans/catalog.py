@@ -909,3 +909,242 @@ def q_remask_incremental(spark, sf):
         return m
 
     return W.remask_incremental(pii, "text", ["doc_id"], previous, _remask_words(spark), full_mask)
+
+
+# ---------------------------------------------------------------------------
+# Files and the stored vault
+# ---------------------------------------------------------------------------
+
+from ..session import scratch_path  # noqa: E402
+from ..sources import files as FS  # noqa: E402
+
+# How the test manifest names each document's file, by language (a rule over
+# the table, so every document gets a name): text, upper-case Markdown, PDF,
+# and a name without a dot that only mentions its type.
+_LANG_SUFFIX = {"en": ".txt", "fr": ".MD", "de": ".pdf", "es": "_docx"}
+
+
+def manifest(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents").select("doc_id", "text", "lang", "source")
+    suffix = F.lit("")
+    expr = None
+    for k, v in _LANG_SUFFIX.items():
+        expr = F.when(F.col("lang") == k, F.lit(v)) if expr is None else expr.when(F.col("lang") == k, F.lit(v))
+    suffix = expr.otherwise(F.lit(".bin"))
+    name = F.concat(F.lit("report_"), F.col("doc_id").cast("string"), suffix)
+    return d.select("doc_id", "text", F.concat(F.lit("/in/"), F.col("source"), F.lit("/"), name).alias("path"), name.alias("name"))
+
+
+_DUCK_SUFFIX = "CASE " + " ".join(f"WHEN lang = {D.q(k)} THEN {D.q(v)}" for k, v in _LANG_SUFFIX.items()) + " ELSE '.bin' END"
+DUCK_MANIFEST = f"""(SELECT doc_id, text, '/in/' || source || '/' || name AS path, name FROM (
+    SELECT doc_id, text, source, 'report_' || CAST(doc_id AS VARCHAR) || {_DUCK_SUFFIX} AS name FROM documents) a)"""
+_DBASE = "regexp_extract(path, '([^/\\\\]*)$', 1)"
+_DSTRIP = f"regexp_replace({_DBASE}, '^\\.+', '')"
+_DEXT = f"lower(CASE WHEN instr({_DSTRIP}, '.') > 0 THEN string_split({_DSTRIP}, '.')[-1] ELSE '' END)"
+_DPROBE = "CASE " + " ".join(f"WHEN instr(lower({_DBASE}), {D.q(e)}) > 0 THEN {D.q(e)}" for e in FS.ROUTE_PROBE_ORDER) + " ELSE '' END"
+_DROUTE_EXT = f"(CASE WHEN {_DEXT} <> '' THEN {_DEXT} ELSE {_DPROBE} END)"
+
+
+@register(
+    "route_files",
+    f"""SELECT doc_id, path, {_DROUTE_EXT} AS ext,
+      CASE WHEN {_DROUTE_EXT} IN ('pdf') THEN 'pdf' WHEN {_DROUTE_EXT} IN ({', '.join(D.q(e) for e in FS.OFFICE_EXTENSIONS)}) THEN 'office'
+           WHEN {_DROUTE_EXT} IN ('txt', 'md') THEN 'text' ELSE 'unknown' END AS route
+    FROM {DUCK_MANIFEST} m""",
+)
+def q_route_files(spark, sf):
+    return FS.route_files(manifest(spark, sf)).select("doc_id", "path", "ext", "route")
+
+
+@register(
+    "admit_files",
+    f"""SELECT doc_id, name, (instr(name, '.') > 0 AND lower(string_split(name, '.')[-1]) IN
+      ({', '.join(D.q(e) for e in FS.ADMITTED_EXTENSIONS)})) AS admitted FROM {DUCK_MANIFEST} m""",
+)
+def q_admit_files(spark, sf):
+    return FS.admit_files(manifest(spark, sf)).select("doc_id", "name", "admitted")
+
+
+_DSTEM = f"(CASE WHEN instr({_DSTRIP}, '.') > 0 THEN regexp_replace({_DBASE}, '\\.[^.]*$', '') ELSE {_DBASE} END)"
+
+
+@register(
+    "output_names",
+    f"""SELECT doc_id, stem, stem || '_masked.md' AS masked_md, stem || '_masked_content_list.json' AS masked_json,
+      stem || '_unmasked.md' AS unmasked_md, stem || '_unmasked_content_list.json' AS unmasked_json,
+      replace(stem || '_masked.md', '_masked.md', '') || '_unmasked.md' AS restore_md_web,
+      CASE WHEN stem || '_masked' LIKE '%\\_masked' ESCAPE '\\' THEN replace(stem || '_masked', '_masked', '') ELSE stem || '_masked' END
+        || '_unmasked.md' AS restore_md_gui
+    FROM (SELECT doc_id, {_DSTEM} AS stem FROM {DUCK_MANIFEST} m) s""",
+)
+def q_output_names(spark, sf):
+    return FS.output_names(manifest(spark, sf)).select(
+        "doc_id", "stem", "masked_md", "masked_json", "unmasked_md", "unmasked_json", "restore_md_web", "restore_md_gui"
+    )
+
+
+_WRITTEN: dict[tuple[str, str], str] = {}
+
+
+def written_inputs(spark: SparkSession, sf: str) -> str:
+    """The documents as uploaded files: one text file per manifest name,
+    created once per session and scale (a copy made once, then only read)."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _WRITTEN:
+        path = scratch_path(spark, "inputs")
+        FS.write_text_files(manifest(spark, sf), path, "name")
+        _WRITTEN[key] = path
+    return _WRITTEN[key]
+
+
+@register(
+    "scan_text_files",
+    f"SELECT name, 0 AS item_idx, 'text' AS type, text, NULL::VARCHAR AS title, 1 AS page FROM {DUCK_MANIFEST} m WHERE text IS NOT NULL",
+)
+def q_scan_text_files(spark, sf):
+    return FS.scan_text_files(spark, written_inputs(spark, sf))
+
+
+@register(
+    "decode_bytes",
+    f"SELECT name, text || chr(10) AS text, 'utf-8' AS encoding FROM {DUCK_MANIFEST} m WHERE text IS NOT NULL",
+)
+def q_decode_bytes(spark, sf):
+    files = spark.read.format("binaryFile").load(written_inputs(spark, sf))
+    out = FS.decode_bytes(files)
+    return out.select(F.regexp_extract("path", r"name=([^/]*)/[^/]*$", 1).alias("name"), "text", "encoding")
+
+
+def text_route_items(spark: SparkSession, sf: str) -> DataFrame:
+    """R8 front half: route the manifest, read the text-routed files."""
+    routed = FS.route_files(manifest(spark, sf)).filter(F.col("route") == "text").select("name")
+    items = FS.scan_text_files(spark, written_inputs(spark, sf))
+    return items.join(routed, "name", "left_semi")
+
+
+def file_mask_job(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, str]:
+    """Route → read → mask items → render → name → write Markdown and
+    content lists.  Returns (masked items, vault, content-list folder)."""
+    items = text_route_items(spark, sf)
+    ents = C.explode_rows(items.select("name", "item_idx", mask.entity_column(F.col("text")).alias("l")),
+                          ["name", "item_idx"], F.col("l"), "e").select(F.col("e.span").alias("span"), F.col("e.type").alias("type"))
+    assignments, delta = vault.plan_tokens(ents, SALT)
+    v = stored(delta, "vault_files")
+    masked = stored(docops.mask_document(items, SALT, vault.overrides_of(assignments, SALT), keys=("name", "item_idx")), "masked_files")
+    names = FS.output_names(masked.select("name"), "name")
+    lists = FS.content_lists(masked, ["name"]).join(names.select("name", F.col("masked_json").alias("out_name")), "name")
+    out_dir = scratch_path(spark, "outputs")
+    FS.write_named(lists.select("out_name", "items"), out_dir + "/lists")
+    md = docops.render_markdown(masked, ["name"]).join(names.select("name", F.col("masked_md").alias("out_name")), "name")
+    FS.write_named(md.select("out_name", "markdown"), out_dir + "/markdown")
+    return masked, v, out_dir
+
+
+_DUCK_TEXT_ROUTE = f"(SELECT * FROM {DUCK_MANIFEST} m WHERE {_DROUTE_EXT.replace('path', 'm.path')} IN ('txt', 'md') AND text IS NOT NULL)"
+
+
+@register(
+    "process_documents_mask",
+    f"""SELECT name, {_DSTEM.replace('path', 't.path')} || '_masked.md' AS out_name,
+      {D.literal_fold('text', D.entity_list('text'), SALT)} || chr(10) || chr(10) AS markdown
+    FROM {_DUCK_TEXT_ROUTE} t""",
+)
+def q_process_documents_mask(spark, sf):
+    _, _, out_dir = file_mask_job(spark, sf)
+    md = spark.read.schema("out_name string, markdown string").json(out_dir + "/markdown")
+    names = FS.output_names(text_route_items(spark, sf).select("name"), "name")
+    return md.join(names.select("name", F.col("masked_md").alias("out_name")), "out_name").select("name", "out_name", "markdown")
+
+
+@register(
+    "scan_content_list",
+    f"""SELECT {_DSTEM.replace('path', 't.path')} || '_masked_content_list.json' AS out_name, 0 AS item_idx, 'text' AS type,
+      {D.literal_fold('text', D.entity_list('text'), SALT)} AS text, NULL::VARCHAR AS title, 1 AS page
+    FROM {_DUCK_TEXT_ROUTE} t""",
+)
+def q_scan_content_list(spark, sf):
+    _, _, out_dir = file_mask_job(spark, sf)
+    return FS.scan_content_list(spark, out_dir + "/lists")
+
+
+@register(
+    "process_documents_unmask",
+    f"""SELECT name, {_DSTEM.replace('path', 't.path')} || '_unmasked.md' AS out_name, text || chr(10) || chr(10) AS markdown
+    FROM {_DUCK_TEXT_ROUTE} t""",
+)
+def q_process_documents_unmask(spark, sf):
+    """Prefer the saved masked content list (S6), restore (U3), render (K1)."""
+    _, v, out_dir = file_mask_job(spark, sf)
+    lists = FS.scan_content_list(spark, out_dir + "/lists").withColumn(
+        "name", F.regexp_replace("out_name", "_masked_content_list\\.json$", "")
+    )
+    originals = text_route_items(spark, sf).withColumn("stem", FS.stem(F.col("name")))
+    lists = lists.join(originals.select("name", "stem").withColumnRenamed("name", "_n").withColumnRenamed("stem", "name"), "name").drop("name").withColumnRenamed("_n", "name")
+    chosen = FS.choose_unmask_source(originals.drop("stem"), lists.drop("out_name"), ["name"])
+    restored = docops.unmask_document(chosen.drop("source"), v, keys=("name", "item_idx"))
+    names = FS.output_names(restored.select("name").distinct(), "name")
+    md = docops.render_markdown(restored, ["name"]).join(names.select("name", F.col("unmasked_md").alias("out_name")), "name")
+    return md.select("name", "out_name", "markdown")
+
+
+@register("choose_unmask_source")
+def q_choose_unmask_source(spark, sf):
+    """Rows-only: saved masked lists exist for every text-routed file; the
+    rest of the manifest falls back to its original items."""
+    _, _, out_dir = file_mask_job(spark, sf)
+    lists = FS.scan_content_list(spark, out_dir + "/lists").withColumn(
+        "name", F.regexp_replace("out_name", "_masked_content_list\\.json$", "")
+    ).drop("out_name")
+    originals = FS.scan_text_files(spark, written_inputs(spark, sf)).withColumn("name", FS.stem(F.col("name")))
+    return FS.choose_unmask_source(originals, lists, ["name"])
+
+
+@register("write_content_list")
+def q_write_content_list(spark, sf):
+    """Rows-only: the written content-list dataset read back."""
+    _, _, out_dir = file_mask_job(spark, sf)
+    return spark.read.schema(f"out_name string, items {FS.ITEM_SCHEMA}").json(out_dir + "/lists")
+
+
+@register("write_entities")
+def q_write_entities(spark, sf):
+    """Rows-only: per-document NER results written as JSON and read back."""
+    path = scratch_path(spark, "entities")
+    FS.write_entities(doc_ner_entities(spark, sf), path)
+    return spark.read.schema("doc_id long, output array<struct<type:string,start:int,end:int,span:string,prob:double>>").json(path)
+
+
+@register("load_vault", f"SELECT token, original, entity_type FROM {DUCK_VAULT} v")
+def q_load_vault(spark, sf):
+    _, v = mask_run(spark, sf)
+    return vault.load_vault(spark, v.inputFiles()[0].rsplit("/", 1)[0])
+
+
+@register("save_vault", f"SELECT token, original, entity_type FROM {DUCK_VAULT} v")
+def q_save_vault(spark, sf):
+    """Two runs appending to one vault: documents first, then the corpus delta."""
+    path = scratch_path(spark, "vault_saved")
+    docs = documents(spark, sf)
+    _, first = mask_job(docs, ["doc_id"])
+    vault.save_vault(first, path)
+    prior = vault.load_vault(spark, path)
+    _, second = mask_job(corpus(spark, sf), CORPUS_KEYS, prior_vault=prior)
+    vault.save_vault(second, path)
+    return vault.load_vault(spark, path)
+
+
+@register("clear_vault", f"SELECT token, original, entity_type FROM {DUCK_VAULT} v WHERE 1 = 0")
+def q_clear_vault(spark, sf):
+    _, v = mask_run(spark, sf)
+    path = scratch_path(spark, "vault_cleared")
+    vault.save_vault(v, path)
+    return vault.clear_vault(spark, path)
+
+
+@register(
+    "export_vault",
+    f"SELECT token, to_json({{'original_text': original, 'entity_type': entity_type}})::VARCHAR AS value FROM {DUCK_VAULT} v",
+)
+def q_export_vault(spark, sf):
+    _, v = mask_run(spark, sf)
+    return vault.export_vault(v)
