@@ -240,3 +240,68 @@ def reverse_mapping(mapping: DataFrame, order_col: str = "seq") -> DataFrame:
 
 def is_custom_token(col: Column) -> Column:
     return col.rlike("^" + CUSTOM_PREFIX + "[0-9a-f]{8}__$")
+
+
+# ---------------------------------------------------------------------------
+# masking with a stored mapping, and M8: restoring it
+# ---------------------------------------------------------------------------
+
+def mask_with_mapping(docs: DataFrame, text_col: str, id_cols: Sequence[str], occurrences: DataFrame,
+                      mapping: DataFrame, out_col: str = "masked") -> DataFrame:
+    """Replace each text's entity occurrences (in ``seq`` order) by their
+    stored mask (``mapping``: original → mask_text).  The per-text
+    replacement list is built from small entity rows (join on the text,
+    regroup by text key) and joined back to the texts once."""
+    occ = occurrences.select(*id_cols, "seq", "span").join(
+        mapping.select(F.col("original").alias("span"), F.col("mask_text").alias("repl")), "span", "inner"
+    )
+    per_text = occ.groupBy(*id_cols).agg(
+        F.array_sort(F.collect_list(F.struct("seq", "span", "repl"))).alias("_o")
+    )
+    j = docs.select(*id_cols, F.col(text_col).alias("_t")).join(per_text, list(id_cols), "left")
+    pairs = C.placeholder_pairs(F.transform(F.coalesce("_o", F.array().cast("array<struct<seq:long,span:string,repl:string>>")),
+                                            lambda o: F.struct(o["span"].alias("span"), o["repl"].alias("repl"))))
+    return j.select(*id_cols, F.when(F.size(pairs) == 0, F.col("_t")).otherwise(C.fold_pairs("_t", pairs)).alias(out_col))
+
+
+def numbered_mask_re(templates: Mapping[str, str] | None = None) -> str:
+    t = TYPE_TEMPLATES if templates is None else templates
+    import re as _re
+
+    alts = "|".join(_re.escape(t[ty]) for ty in NUMBERED_TYPES if t.get(ty))
+    return f"(?:{alts}) [0-9]+"
+
+
+def unmask_hybrid(masked: DataFrame, text_col: str, id_cols: Sequence[str], reverse: DataFrame,
+                  custom_words: DataFrame | None = None, templates: Mapping[str, str] | None = None,
+                  out_col: str = "restored") -> DataFrame:
+    """M8: put originals back for every mask that maps to exactly one
+    original (V6 ``n_originals == 1``); shared masks (bare templates) stay.
+
+    Numbered masks are found with one regex (greedy digits, so ``某人 1``
+    never eats the start of ``某人 10``), resolved by a join and rebuilt in
+    one split/zip pass.  Custom replacements are then reversed with the
+    dictionary operator, longest first (``客户1`` cannot break ``客户12``).
+    """
+    from .words import apply_custom_words
+
+    pat = numbered_mask_re(templates)
+    inj = reverse.filter(F.col("n_originals") == 1).select("mask_text", "original")
+    toks = C.explode_rows(masked, id_cols, F.array_distinct(F.regexp_extract_all(F.col(text_col), F.lit(pat), 0)), "mask_text")
+    lookup = toks.join(inj, "mask_text", "inner").groupBy(*id_cols).agg(
+        F.map_from_entries(F.array_distinct(F.collect_list(F.struct("mask_text", "original")))).alias("_lk")
+    )
+    j = masked.select(*id_cols, F.col(text_col).alias("_t")).join(lookup, list(id_cols), "left")
+    lk = F.coalesce(F.col("_lk"), F.create_map().cast("map<string,string>"))
+    gaps = F.split(F.col("_t"), pat, -1)
+    found = F.transform(F.regexp_extract_all(F.col("_t"), F.lit(pat), 0), lambda m: F.coalesce(F.element_at(lk, m), m))
+    rebuilt = F.array_join(F.zip_with(gaps, found, lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))), "")
+    out = j.select(*id_cols, F.when(F.col("_t").isNull(), F.col("_t")).otherwise(rebuilt).alias(out_col))
+    if custom_words is None:
+        return out
+    back = custom_words.join(inj.select(F.col("mask_text").alias("replacement"), "original"), ["replacement", "original"], "left_semi")
+    reverse_words = back.select(
+        F.col("replacement").alias("original"), F.col("original").alias("replacement"),
+        (-F.char_length("replacement") * F.lit(1 << 40) + F.col("priority")).cast("long").alias("priority"),
+    )
+    return apply_custom_words(out, out_col, reverse_words, out_col=out_col, keep_cols=[*id_cols, out_col])

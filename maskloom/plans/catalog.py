@@ -1148,3 +1148,61 @@ def q_clear_vault(spark, sf):
 def q_export_vault(spark, sf):
     _, v = mask_run(spark, sf)
     return vault.export_vault(v)
+
+
+# ---------------------------------------------------------------------------
+# Streaming mask job over ``pages``
+# ---------------------------------------------------------------------------
+
+from ..streaming.masking_stream import run_mask_stream  # noqa: E402
+
+
+@register(
+    "stream_mask",
+    f"""SELECT page_id, {D.literal_fold('html', D.entity_list('html'), SALT)} AS masked,
+      len(list_distinct({D.entity_list('html')}))::BIGINT AS n_entities FROM pages""",
+)
+def q_stream_mask(spark, sf):
+    """Raw web pages arrive as a stream (the table's Parquet files); every
+    page is masked and the vault grows per micro-batch."""
+    base = scratch_path(spark, "stream")
+    run_mask_stream(
+        spark, f"{sf.rstrip('/')}/pages*.parquet", "page_id long, url string, html string",
+        "html", ["page_id"], SALT, base + "/masked", base + "/vault", base + "/checkpoint",
+    )
+    return spark.read.parquet(base + "/masked").select("page_id", "masked", "n_entities")
+
+
+# ---------------------------------------------------------------------------
+# M8: restore a hybrid-masked corpus
+# ---------------------------------------------------------------------------
+
+
+def hybrid_run(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """(stored hybrid-masked corpus, stored reverse mapping)."""
+    occ = corpus_occurrences(spark, sf)
+    cw = custom_dictionary(spark, sf)
+    mapping = stored(S.hybrid_mapping(occ, CORPUS_KEYS, cw), "hybrid_mapping")
+    masked = stored(S.mask_with_mapping(corpus(spark, sf), "text", CORPUS_KEYS, occ, mapping), "hybrid_masked")
+    fp = F.col("first_pos")
+    ordered = mapping.join(cw.select("original", F.col("priority").alias("_p")), "original", "left").withColumn(
+        "seq",
+        F.when(F.col("is_custom"), F.struct(F.lit(0).alias("k"), F.lit("").alias("a"), F.col("_p").cast("long").alias("b"), F.lit(0).cast("long").alias("c")))
+        .otherwise(F.struct(F.lit(1).alias("k"), fp["src"].alias("a"), fp["doc_id"].cast("long").alias("b"), fp["seq"].cast("long").alias("c"))),
+    )
+    return masked, stored(S.reverse_mapping(ordered), "hybrid_reverse")
+
+
+_DUCK_HYB_EXPECT = f"""(SELECT o.src, o.doc_id, list({{'s': o.span,
+      'r': CASE WHEN h.is_custom OR h.ordinal IS NOT NULL THEN o.span ELSE h.mask_text END}} ORDER BY o.seq) AS pairs
+    FROM {DUCK_OCC} o JOIN {DUCK_HYBRID} h ON h.original = o.span GROUP BY o.src, o.doc_id)"""
+
+
+@register(
+    "unmask_hybrid",
+    f"""SELECT c.src, c.doc_id, CASE WHEN p.pairs IS NULL THEN c.text ELSE {D.placeholder_fold('c.text', 'p.pairs')} END AS restored
+    FROM {DUCK_CORPUS} c LEFT JOIN {_DUCK_HYB_EXPECT} p ON p.src = c.src AND p.doc_id = c.doc_id""",
+)
+def q_unmask_hybrid(spark, sf):
+    masked, reverse = hybrid_run(spark, sf)
+    return S.unmask_hybrid(masked, "masked", CORPUS_KEYS, reverse, custom_dictionary(spark, sf))
