@@ -86,9 +86,20 @@ PDF_EXTENSIONS: tuple[str, ...] = ("pdf",)
 OFFICE_EXTENSIONS: tuple[str, ...] = ("doc", "docx", "ppt", "pptx", "xls", "xlsx")
 
 
+# Faster forms with exactly the same matches, used at execution time.
+# MONEY: the five alternatives differ only in the suffix; a digit part can
+# only end right before a suffix (whose first characters 元 万 亿 美 欧 are
+# distinct and are neither digits nor '.'), so the digits never need to be
+# given back: match them once, possessively, then choose the suffix.
+FASTER_EQUIVALENT: dict[str, str] = {
+    REGEX_REGISTRY["MONEY"]: r"\d++(?:\.\d++)?+(?:元|万元|亿元|美元|欧元)",
+}
+
+
 def java_pattern(pattern: str) -> str:
-    """Pattern with the Unicode-class flag Java needs to match Python's ``\\d``."""
-    return JAVA_UNICODE_FLAG + pattern
+    """Pattern with the Unicode-class flag Java needs to match Python's ``\\d``
+    (and the faster equivalent form where one is known)."""
+    return JAVA_UNICODE_FLAG + FASTER_EQUIVALENT.get(pattern, pattern)
 
 
 def chunk_pattern(max_chunk_size: int = DEFAULT_CHUNK_SIZE) -> str:

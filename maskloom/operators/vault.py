@@ -95,39 +95,46 @@ def vault_delta(entities: DataFrame, salt: str, vault: DataFrame) -> DataFrame:
 def resolve_collisions(delta: DataFrame, salt: str, vault: DataFrame | None = None, max_rounds: int = 64) -> DataFrame:
     """V8 (fix): re-token collision losers until every token is unique.
 
-    A loser is a new row whose token is already used by the vault, or by
-    another new row that sorts first on (type, original).  Losers get
-    ``hash(salt|type|span#k)`` in round k.  Each round is a distributed job over
-    the still-unsettled rows; its result is checkpointed (reliable, in the
-    shared checkpoint folder) so lineage does not grow.  The loop stops when
-    no loser is left; the round bound only guards against a broken hash.
+    Contested tokens are found with an aggregate (a token used by more than
+    one new pair) and a semi-join against the vault's tokens; every other row
+    is settled as is.  Only contested rows enter the rounds: per token the
+    pair that sorts first on (type, original) keeps it unless the vault
+    already has it, the others get ``hash(salt|type|span#k)`` in round k.
+    Each round's rows are checkpointed (reliable, shared folder).  The round
+    bound only guards against a broken hash; it raises, never truncates.
     """
-    w = Window.partitionBy("token").orderBy("entity_type", "original")
-    taken = vault.select(F.col("token").alias("_t")).distinct() if vault is not None else None
     cur = delta.select("token", "original", "entity_type")
-    settled: list[DataFrame] = []
+    dup = cur.groupBy("token").agg(F.count("*").alias("_n")).filter(F.col("_n") > 1).select("token")
+    vault_tokens = vault.select("token").distinct() if vault is not None else None
+    contested = dup if vault_tokens is None else dup.unionByName(cur.select("token").join(vault_tokens, "token", "left_semi"))
+    contested = contested.distinct()
+    settled = [cur.join(contested, "token", "left_anti")]
+    todo = cur.join(contested, "token", "left_semi").checkpoint(eager=True)
+    taken = vault_tokens.select(F.col("token").alias("_t")) if vault_tokens is not None else None
+    w = Window.partitionBy("token").orderBy("entity_type", "original")
     for k in range(1, max_rounds + 1):
-        ranked = cur.withColumn("_r", F.row_number().over(w))
+        if todo.isEmpty():
+            out = settled[0]
+            for s_ in settled[1:]:
+                out = out.unionByName(s_)
+            return out
+        ranked = todo.withColumn("_r", F.row_number().over(w))
         if taken is not None:
-            ranked = ranked.join(taken, ranked.token == taken._t, "left").withColumn(
+            ranked = ranked.join(taken, ranked.token == taken._t, "left_outer").withColumn(
                 "_r", F.when(F.col("_t").isNotNull(), F.lit(2)).otherwise(F.col("_r"))
             ).drop("_t")
         ranked = ranked.checkpoint(eager=True)
         winners = ranked.filter(F.col("_r") == 1).drop("_r")
-        losers = ranked.filter(F.col("_r") > 1).drop("_r")
         settled.append(winners)
-        if losers.isEmpty():
-            out = settled[0]
-            for s_ in settled[1:]:
-                out = out.unionByName(s_)
-            return out
         new_taken = winners.select(F.col("token").alias("_t"))
-        taken = new_taken if taken is None else taken.unionByName(new_taken)
-        cur = losers.select(
+        # a re-tokened loser may also hit a token settled without contest
+        clean_tokens = settled[0].select(F.col("token").alias("_t"))
+        taken = new_taken.unionByName(clean_tokens) if taken is None else taken.unionByName(new_taken).unionByName(clean_tokens)
+        todo = ranked.filter(F.col("_r") > 1).drop("_r").select(
             C.token_with_nonce(F.col("entity_type"), F.col("original"), salt, F.lit(k)).alias("token"),
             "original",
             "entity_type",
-        )
+        ).checkpoint(eager=True)
     raise RuntimeError("token collisions not resolved after %d rounds" % max_rounds)
 
 
@@ -139,13 +146,15 @@ def plan_tokens(entities: DataFrame, salt: str, vault: DataFrame | None = None)
     (original, entity_type) of the batch with its final token.  Only
     distinct entity pairs are shuffled, never texts.
     """
+    from ..session import stored
+
     if vault is None:
         new = distinct_entities(entities).select(
             C.token(F.col("entity_type"), F.col("original"), salt).alias("token"), "original", "entity_type"
         )
-        delta = resolve_collisions(new, salt)
+        delta = resolve_collisions(stored(new, "new_entities"), salt)
         return delta, delta
-    delta = resolve_collisions(vault_delta(entities, salt, vault), salt, vault)
+    delta = resolve_collisions(stored(vault_delta(entities, salt, vault), "new_entities"), salt, vault)
     known = distinct_entities(entities).join(
         vault.select("token", "original", "entity_type"), ["original", "entity_type"], "inner"
     ).select("token", "original", "entity_type")
