@@ -50,22 +50,29 @@ def corpus_vault(spark: SparkSession, sf: str, masked: DataFrame | None = None)
 
 
 def mask_job(docs: DataFrame, keys: list[str], prior_vault: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """The full mask job: (masked texts, new vault rows).
-
-    Pass 1 detects entities and plans collision-free tokens over the distinct
-    (span, type) pairs only; pass 2 masks the texts with those tokens.  Both
-    outputs are stored as Parquet tables in the shared scratch folder.
+    """The full mask job: (masked texts, new vault rows), both stored as
+    Parquet tables in the shared scratch folder.
+
+    One detection pass: texts are masked with the plain hash tokens and their
+    entity arrays stored alongside.  The vault is planned from those stored
+    entities (distinct pairs only).  Texts holding a collision loser — a tiny
+    set, counted — are masked again from their source with the override
+    tokens and replace their first version.
     """
-    flagged = docs.select(*keys, "text", C.digit_flag("text").alias("_dig"))
-    ents = C.explode_rows(
-        flagged.select(*keys, mask.entity_column(F.col("text"), has_digit=F.col("_dig")).alias("l")), keys, F.col("l"), "e"
-    )
-    ents = ents.select(*keys, F.col("e.span").alias("span"), F.col("e.type").alias("type"))
+    first = stored(mask.mask_text(docs, "text", keys, SALT), "masked_first")
+    ents = mask.entities_of(first, keys)
     assignments, delta = vault.plan_tokens(ents, SALT, prior_vault)
     v = stored(delta, "vault")
-    over = vault.overrides_of(assignments, SALT)
-    m = stored(mask.mask_text(docs, "text", keys, SALT, overrides=over), "masked")
-    return m, v
+    over = stored(vault.overrides_of(assignments, SALT), "overrides")
+    if over.isEmpty():
+        return first, v
+    hits = ents.join(
+        over.select(F.col("original").alias("span"), F.col("entity_type").alias("type")), ["span", "type"], "left_semi"
+    ).select(*keys).distinct()
+    hits = vault.broadcast_if_small(stored(hits, "override_hits"))
+    redo = mask.mask_text(docs.join(hits, keys, "left_semi"), "text", keys, SALT, overrides=over)
+    patched = first.join(hits, keys, "left_anti").unionByName(redo)
+    return stored(patched, "masked"), v
 
 
 def mask_run(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
