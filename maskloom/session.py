@@ -31,19 +31,23 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's shared checkpoint folder, setting a local one only when unset.
+    """Return the cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as
-    is; a machine-local folder is only created for local runs such as tests.
+    It is read from the session; a machine-local folder is created only when
+    it is unset *and* the master is local (tests, the bench).  On a cluster
+    an unset folder is an error: written intermediates must survive the loss
+    of any executor, so they cannot live on one machine's disk.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (e.g. on the cluster file system)")
         d = tempfile.mkdtemp(prefix="maskloom-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
-    return spark.sparkContext.getCheckpointDir() or d
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(d)
+    return sc.getCheckpointDir() or d
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
