@@ -70,9 +70,8 @@ def mask_job(docs: DataFrame, keys: list[str], prior_vault: DataFrame | None = N
         over.select(F.col("original").alias("span"), F.col("entity_type").alias("type")), ["span", "type"], "left_semi"
     ).select(*keys).distinct()
     hits = vault.broadcast_if_small(stored(hits, "override_hits"))
-    redo = mask.mask_text(docs.join(hits, keys, "left_semi"), "text", keys, SALT, overrides=over)
-    patched = first.join(hits, keys, "left_anti").unionByName(redo)
-    return stored(patched, "masked"), v
+    redo = stored(mask.mask_text(docs.join(hits, keys, "left_semi"), "text", keys, SALT, overrides=over), "masked_redo")
+    return first.join(hits, keys, "left_anti").unionByName(redo), v
 
 
 def mask_run(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
