@@ -166,8 +166,8 @@ def default_prob(entities: DataFrame, prob: float = DEFAULT_PROB) -> DataFrame:
 
 def rebase_offsets(entities: DataFrame, offset_col: str = "offset") -> DataFrame:
     """Chunk offsets → text offsets."""
-    return entities.withColumn("start", F.col("start") + F.col(offset_col)).withColumn(
-        "end", F.col("end") + F.col(offset_col)
+    return entities.withColumn("start", (F.col("start") + F.col(offset_col)).cast("int")).withColumn(
+        "end", (F.col("end") + F.col(offset_col)).cast("int")
     )
 
 

@@ -19,6 +19,9 @@ def con():
     return c
 
 
+_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
+
+
 @pytest.mark.parametrize("key", sorted(E.oracle_sql()))
 def test_matches_oracle(spark, con, key):
     df = E.queries()[key](spark, SF)
@@ -26,6 +29,9 @@ def test_matches_oracle(spark, con, key):
     res = con.sql(E.oracle_sql()[key])
     drows = res.fetchall()
     assert sorted(df.columns) == sorted(res.columns)
+    stypes = {f.name: _TYPES.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in df.schema.fields}
+    dtypes = dict(zip(res.columns, (str(t) for t in res.types)))
+    assert stypes == dtypes
     assert len(srows) == len(drows)
     assert digest(df.columns, srows)[0] == digest(res.columns, drows)[0]
 
