@@ -103,11 +103,13 @@ def resolve_collisions(delta: DataFrame, salt: str, vault: DataFrame | None = No
     Each round's rows are checkpointed (reliable, shared folder).  The round
     bound only guards against a broken hash; it raises, never truncates.
     """
+    from ..session import stored
+
     cur = delta.select("token", "original", "entity_type")
     dup = cur.groupBy("token").agg(F.count("*").alias("_n")).filter(F.col("_n") > 1).select("token")
     vault_tokens = vault.select("token").distinct() if vault is not None else None
     contested = dup if vault_tokens is None else dup.unionByName(cur.select("token").join(vault_tokens, "token", "left_semi"))
-    contested = contested.distinct()
+    contested = broadcast_if_small(stored(contested.distinct(), "contested"))
     settled = [cur.join(contested, "token", "left_anti")]
     todo = cur.join(contested, "token", "left_semi").checkpoint(eager=True)
     taken = vault_tokens.select(F.col("token").alias("_t")) if vault_tokens is not None else None
@@ -142,9 +144,10 @@ def plan_tokens(entities: DataFrame, salt: str, vault: DataFrame | None = None)
     """V1 + V3 + V8 for one batch: ``(assignments, delta)``.
 
     ``delta`` holds the new vault rows with collision-free tokens (checked
-    against the vault and each other); ``assignments`` is every distinct
-    (original, entity_type) of the batch with its final token.  Only
-    distinct entity pairs are shuffled, never texts.
+    against the vault and each other), stored as Parquet in the shared
+    scratch folder; ``assignments`` is every distinct (original,
+    entity_type) of the batch with its final token.  Only distinct entity
+    pairs are shuffled, never texts.
     """
     from ..session import stored
 
@@ -152,9 +155,9 @@ def plan_tokens(entities: DataFrame, salt: str, vault: DataFrame | None = None)
         new = distinct_entities(entities).select(
             C.token(F.col("entity_type"), F.col("original"), salt).alias("token"), "original", "entity_type"
         )
-        delta = resolve_collisions(stored(new, "new_entities"), salt)
+        delta = stored(resolve_collisions(stored(new, "new_entities"), salt), "vault_delta")
         return delta, delta
-    delta = resolve_collisions(stored(vault_delta(entities, salt, vault), "new_entities"), salt, vault)
+    delta = stored(resolve_collisions(stored(vault_delta(entities, salt, vault), "new_entities"), salt, vault), "vault_delta")
     known = distinct_entities(entities).join(
         vault.select("token", "original", "entity_type"), ["original", "entity_type"], "inner"
     ).select("token", "original", "entity_type")

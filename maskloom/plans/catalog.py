@@ -62,8 +62,8 @@ def mask_job(docs: DataFrame, keys: list[str], prior_vault: DataFrame | None = N
     first = stored(mask.mask_text(docs, "text", keys, SALT), "masked_first")
     ents = mask.entities_of(first, keys)
     assignments, delta = vault.plan_tokens(ents, SALT, prior_vault)
-    v = stored(delta, "vault")
-    over = stored(vault.overrides_of(assignments, SALT), "overrides")
+    v = delta
+    over = stored(vault.overrides_of(assignments, SALT), "overrides")  # tiny
     if over.isEmpty():
         return first, v
     hits = ents.join(
@@ -542,7 +542,7 @@ def items_mask_job(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame,
         ITEM_KEYS, F.col("l"), "e",
     ).select(*ITEM_KEYS, F.col("e.span").alias("span"), F.col("e.type").alias("type"))
     assignments, delta = vault.plan_tokens(ents, SALT)
-    v = stored(delta, "vault_items")
+    v = delta
     m = stored(docops.mask_document(items, SALT, vault.overrides_of(assignments, SALT)), "masked_items")
     return items, m, v
 
@@ -555,7 +555,7 @@ def markdown_mask_job(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFram
         flagged.select("doc_id", mask.entity_column(F.col("md"), has_digit=F.col("_dig")).alias("l")), ["doc_id"], F.col("l"), "e"
     ).select("doc_id", F.col("e.span").alias("span"), F.col("e.type").alias("type"))
     assignments, delta = vault.plan_tokens(ents, SALT)
-    v = stored(delta, "vault_md")
+    v = delta
     m = stored(docops.mask_markdown(md, "md", ["doc_id"], SALT, vault.overrides_of(assignments, SALT)), "masked_md")
     return m, v
 
@@ -1035,7 +1035,7 @@ def file_mask_job(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, s
     ents = C.explode_rows(items.select("name", "item_idx", mask.entity_column(F.col("text")).alias("l")),
                           ["name", "item_idx"], F.col("l"), "e").select(F.col("e.span").alias("span"), F.col("e.type").alias("type"))
     assignments, delta = vault.plan_tokens(ents, SALT)
-    v = stored(delta, "vault_files")
+    v = delta
     masked = stored(docops.mask_document(items, SALT, vault.overrides_of(assignments, SALT), keys=("name", "item_idx")), "masked_files")
     names = FS.output_names(masked.select("name"), "name")
     lists = FS.content_lists(masked, ["name"]).join(names.select("name", F.col("masked_json").alias("out_name")), "name")
