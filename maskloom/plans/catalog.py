@@ -648,11 +648,8 @@ _NUM_SQL = ", ".join(D.q(t) for t in NUMBERED_TYPES)
 
 def _strategy_sql(repl_sql: str) -> str:
     """Corpus masked with a per-entity replacement ``repl_sql`` over e.s / e.ty."""
-    pairs = f"list_transform(list_distinct_ordered, lambda e: {{'s': e.s, 'r': {repl_sql}}})"
-    return (
-        f"SELECT src, doc_id, {D.placeholder_fold('text', pairs.replace('list_distinct_ordered', D.entity_list('text')))} AS masked "
-        f"FROM {DUCK_CORPUS} c"
-    )
+    pairs = f"list_transform({D.entity_list('text')}, lambda e: {{'s': e.s, 'r': {repl_sql}}})"
+    return f"SELECT src, doc_id, {D.placeholder_fold('text', pairs)} AS masked FROM {DUCK_CORPUS} c"
 
 
 def _strategy_query(strategy: S.Strategy):
