@@ -1,7 +1,7 @@
 """Column-expression building blocks.
 
 Every helper returns a ``Column`` built only from built-in Spark functions,
-so whole pipelines stay inside the JVM (no Python in the row path).
+so whole plans stay inside the JVM (no Python in the row path).
 """
 
 from __future__ import annotations
