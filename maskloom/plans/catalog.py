@@ -687,7 +687,8 @@ def corpus_occurrences(spark: SparkSession, sf: str) -> DataFrame:
     ords = C.posexplode_rows(arr, ["doc_id"], F.col("l"), "seq", "e").select(
         F.lit("ord").alias("src"), "doc_id", "seq", F.col("e.span").alias("span"), F.col("e.type").alias("type")
     )
-    return docs.unionByName(ords)
+    # consumed twice (mapping, then per occurrence): detect once, read twice
+    return stored(docs.unionByName(ords), "occurrences")
 
 
 def custom_dictionary(spark: SparkSession, sf: str) -> DataFrame:
