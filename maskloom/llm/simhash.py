@@ -254,22 +254,44 @@ def components(edges: DataFrame) -> DataFrame:
     return cur.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """``doc_id, fp, component_id``, one row per row of ``docs``."""
+def _components(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, fp`` of the rows; ``fp, root, component_id`` of the distinct fingerprints."""
     fps = stored(fingerprints(docs, k), "fingerprints")
     distinct = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct_fps")
     root = components(links(distinct))
-    member = distinct.join(root, distinct["fp"] == root["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    linked = member.where(F.col("root") != F.col("fp")).select("root").distinct()
-    # only components of several fingerprints need their smallest document gathered
-    many = member.join(linked, "root", "left_semi")
-    lows = many.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = stored(
-        member.join(lows, "root", "left").select("fp", F.coalesce("component_id", "low").alias("component_id")), "components"
+    member = stored(
+        distinct.join(root, distinct["fp"] == root["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root")), "members"
     )
+    # only components of several fingerprints need their smallest document gathered
+    many = member.where(F.col("root") != F.col("fp")).select("root").distinct()
+    lows = member.join(many, "root", "left_semi").groupBy("root").agg(F.min("low").alias("component_id"))
+    named = member.join(lows, "root", "left").select("fp", "root", F.coalesce("component_id", "low").alias("component_id"))
+    return fps, stored(named, "components")
+
+
+def near_duplicates(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
+    """``doc_id, fp, component_id``, one row per row of ``docs``."""
+    fps, named = _components(docs, k)
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def one_per_group(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
+    """The rows of ``docs`` that represent their component: its smallest doc_id,
+    once.  A component without any doc_id keeps one of its rows."""
+    fps, named = _components(docs, k)
+    keep = named.where("component_id is not null").select(F.col("component_id").alias("__keep")).distinct()
+    kept = docs.join(keep, docs["doc_id"] == F.col("__keep"), "left_semi")
+    if not fps.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id"])  # a doc_id that several rows share
+    if not named.where("component_id is null").isEmpty():
+        bare = docs.where("doc_id is null").withColumn("__row", F.monotonically_increasing_id())
+        bare = stored(bare, "rows_without_id")
+        mine = fingerprints(bare.select(F.col("__row").alias("doc_id"), "text"), k)
+        one = mine.join(named.where("component_id is null"), "fp").groupBy("root").agg(F.min(mine["doc_id"]).alias("__row"))
+        kept = kept.unionByName(bare.join(one.select("__row"), "__row", "left_semi").drop("__row"))
+    return kept
+
+
 def fingerprint_hex(fp: Column) -> Column:
     """16 lowercase hex digits."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
