@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import shutil
 import tempfile
 from collections.abc import Callable, Iterator
@@ -30,9 +31,9 @@ def ship(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if sc.applicationId not in _SHIPPED:
         package = Path(__file__).resolve().parents[1]
-        with tempfile.TemporaryDirectory() as d:
-            sc.addPyFile(shutil.make_archive(f"{d}/{package.name}", "zip", package.parent, package.name))
-            sc.parallelize([0], 1).count()  # the driver serves the file from its own copy from here on
+        d = tempfile.mkdtemp(prefix="maskloom-package-")  # the driver's own copy, served as long as it lives
+        atexit.register(shutil.rmtree, d, ignore_errors=True)
+        sc.addPyFile(shutil.make_archive(f"{d}/{package.name}", "zip", package.parent, package.name))
         _SHIPPED.add(sc.applicationId)
 
 
