@@ -248,13 +248,17 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _count(spans: Column, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
 def pii_digest(docs: DataFrame) -> DataFrame:
     """Per row: ``doc_id``, counts of the base kinds, ``base_sha256``, ``spans``."""
     s = with_spans(docs.select("doc_id", F.col("text").cast("string").alias("text")))
     all_ = F.col("pii_spans")
     return s.select(
         "doc_id",
-        *[F.size(F.filter(all_, lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE_KINDS],
+        *[_count(all_, k).alias(f"n_{k}") for k in BASE_KINDS],
         F.sha2(_joined(F.filter(all_, lambda x: x["kind"].isin(*BASE_KINDS))), 256).alias("base_sha256"),
         _joined(all_).alias("spans"),
     )
