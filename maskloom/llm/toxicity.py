@@ -28,12 +28,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
 from .common import SpanHash, doc_bucket, lower_ascii, pieces, text_bytes, text_codes
 
 NGRAMS = (4, 6)
 BITS = 18
 SAMPLE = 4000
 MIN_Z = 4.5
+#: Features the model may use: those of the largest significance.
+FEATURES = 1 << 13
 THRESHOLD = 0.3
 HELD_OUT = (4, 2)
 _SIZE = 1 << BITS
@@ -76,11 +79,11 @@ def _sample_batches(used: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_bytes(batch.column(0))
-            rows: list[list[int]] = []
+            rows: list[np.ndarray] = []
             for i, j in pieces(offsets):
                 ids, docs = _features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 ids, docs = _distinct(ids[used[ids]], docs[used[ids]])
-                rows += [x.tolist() for x in np.split(ids, np.searchsorted(docs, np.arange(1, j - i)))]
+                rows += np.split(ids, np.searchsorted(docs, np.arange(1, j - i)))
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(rows, pa.list_(pa.int32()))], ["toxic", "features"])
 
     return run
@@ -104,26 +107,33 @@ def _score_batches(model, text_at: int):
 
 
 def log_count_ratios(clean: np.ndarray, toxic: np.ndarray, n_clean: int, n_toxic: int) -> np.ndarray:
-    """Smoothed log ratios of the per-class document rates, zero where not significant."""
+    """Smoothed log ratios of the per-class document rates, zero where not significant
+    or not among the ``FEATURES`` most significant."""
     p, q = (toxic + 0.5) / (n_toxic + 1), (clean + 0.5) / (n_clean + 1)
     both = (toxic + clean + 1) / (n_toxic + n_clean + 2)
     z = (p - q) / np.sqrt(both * (1 - both) * (1 / (n_toxic + 1) + 1 / (n_clean + 1)))
-    return np.where(np.abs(z) >= MIN_Z, np.log(p / q), 0.0)
-
-
-def _fit(rows: list[list[int]], y: np.ndarray, r: np.ndarray, l2: float = 1e-3, rounds: int = 400) -> tuple[np.ndarray, float]:
-    """Logistic regression on the scaled binary features (full-batch Adam); weights include ``r``."""
-    size = np.fromiter(map(len, rows), np.int64, len(rows))
-    col = np.fromiter((x for row in rows for x in row), np.int64, int(size.sum()))
-    row, x = np.repeat(np.arange(len(rows)), size), r[col]
+    z = np.abs(z)
+    least = max(MIN_Z, np.partition(z, -FEATURES)[-FEATURES])
+    return np.where(z >= least, np.log(p / q), 0.0)
+
+
+def _fit(size: np.ndarray, col: np.ndarray, y: np.ndarray, r: np.ndarray, l2: float = 1e-3, rounds: int = 400) -> tuple[np.ndarray, float]:
+    """Logistic regression on the scaled binary features ``col`` of rows of ``size`` features
+    each (full-batch Adam); the weights returned include ``r``."""
+    rows = len(size)
+    used, col = np.unique(col, return_inverse=True)
+    all_r, r = r, r[used]
+    row, x = np.repeat(np.arange(rows), size), r[col]
     w, m, v = np.zeros(len(r) + 1), np.zeros(len(r) + 1), np.zeros(len(r) + 1)
     for t in range(1, rounds + 1):
-        z = np.bincount(row, w[col] * x, minlength=len(rows)) + w[-1]
+        z = np.bincount(row, w[col] * x, minlength=rows) + w[-1]
         e = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y) / len(y)
         g = np.append(np.bincount(col, e[row] * x, minlength=len(r)) + l2 * w[:-1], e.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
-    return w[:-1] * r, float(w[-1])
+    weights = np.zeros(len(all_r))
+    weights[used] = w[:-1] * r
+    return weights, float(w[-1])
 
 
 def held_out(doc_id: Column) -> Column:
@@ -136,7 +146,9 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
         labels.where("toxic is not null").where(~held_out(F.col("doc_id")))
         .groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     )
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(~held_out(F.col("doc_id")) & F.col("text").isNotNull()).join(known, "doc_id")
+    known = stored(known, "toxicity_labels")
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(~held_out(F.col("doc_id")) & F.col("text").isNotNull())
+    rows = texts.join(known, "doc_id")
     counts = rows.select("text", "toxic").mapInArrow(_count_batches, "feature int, clean long, toxic long")
     counts = counts.groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()
     total = {x["toxic"]: x["count"] for x in known.groupBy("toxic").count().collect()}
@@ -150,10 +162,12 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     r = log_count_ratios(*dense, *n)
     share = [min(1.0, SAMPLE / x) for x in n]
     pick = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.when(F.col("toxic") == 1, share[1] * 1e6).otherwise(share[0] * 1e6)
-    sample = rows.where(pick).select("text", "toxic").mapInArrow(_sample_batches(r != 0), "toxic int, features array<int>").toArrow()
-    if not sample.num_rows or len(set(sample["toxic"].to_pylist())) < 2:
+    chosen = stored(known.where(pick), "toxicity_sample")  # some 2 * SAMPLE rows: small enough to go to the texts
+    sample = texts.join(chosen, "doc_id").select("text", "toxic").mapInArrow(_sample_batches(r != 0), "toxic int, features array<int>").toArrow()
+    if not sample.num_rows or len(sample["toxic"].unique()) < 2:
         return np.zeros(_SIZE), bias
-    w, b = _fit(sample["features"].to_pylist(), sample["toxic"].to_numpy(), r)
+    features = sample["features"].combine_chunks()
+    w, b = _fit(np.diff(features.offsets.to_numpy()), features.values.to_numpy(), sample["toxic"].to_numpy(), r)
     return w, b + float(np.log(share[0] / share[1]))
 
 
