@@ -280,7 +280,7 @@ def one_per_group(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     once.  A component without any doc_id keeps one of its rows."""
     fps, named = _components(docs, k)
     keep = named.where("component_id is not null").select(F.col("component_id").alias("__keep")).distinct()
-    kept = docs.join(keep, docs["doc_id"] == F.col("__keep"), "left_semi")
+    kept = docs.join(keep.hint("merge"), docs["doc_id"] == F.col("__keep"), "left_semi")  # as many rows as documents
     if not fps.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
         kept = kept.dropDuplicates(["doc_id"])  # a doc_id that several rows share
     if not named.where("component_id is null").isEmpty():
