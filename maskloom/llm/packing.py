@@ -20,6 +20,7 @@ doc_ids are packed row by row.  Empty input: no bins.
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from heapq import heappop, heappush
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -52,7 +53,7 @@ def best_fit(lengths: list[int], costs: dict[int, float], largest: int) -> list[
         k = bisect_left(spaces, n)
         if k < len(spaces):
             space = spaces[k]
-            b = open_[space].pop()
+            b = heappop(open_[space])  # the oldest of them
             if not open_[space]:
                 del open_[space], spaces[k]
         else:
@@ -67,7 +68,7 @@ def best_fit(lengths: list[int], costs: dict[int, float], largest: int) -> list[
             if left not in open_:
                 insort(spaces, left)
                 open_[left] = []
-            open_[left].append(b)
+            heappush(open_[left], b)
     return bins
 
 

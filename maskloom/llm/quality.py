@@ -28,6 +28,7 @@ MAX_REPEAT_PERCENT = 50
 MIN_GROUP = 100
 FENCE = 3
 EXACT_BITS = 5
+LAST = 2
 #: Signals and the distance from the quartiles that is always allowed.
 SLACK = {"symbols": 10, "shouts": 10, "capitals": 100, "dup_lines": 400, "repeats": 250, "word_length": 100}
 #: Signals whose low values are suspicious as well.
@@ -123,22 +124,25 @@ def sketches(measured: DataFrame) -> DataFrame:
 def thresholds(sketch: DataFrame) -> DataFrame:
     """``lang, source`` and ``low_<signal>`` / ``high_<signal>`` of every group, from the
     finest level with ``MIN_GROUP`` documents."""
-    levels = {"group": ["lang", "source"], "lang": ["lang"], "all": []}
-    groups = sketch.select("lang", "source").distinct()
-    fences = None
-    for rank, (level, keys) in enumerate(levels.items()):
-        merged = sketch.groupBy(*keys, "signal", "bucket").agg(F.sum("n").alias("n"))
-        w = Window.partitionBy(*keys, "signal")
-        run = merged.withColumns({"upto": F.sum("n").over(w.orderBy("bucket")), "size": F.sum("n").over(w)})
-        quartile = lambda q: F.min(F.when(F.col("upto") * 4 >= F.col("size") * q, F.col("bucket")))
-        f = run.groupBy(*keys, "signal").agg(quartile(1).alias("q1"), quartile(3).alias("q3"), F.first("size").alias("size"))
-        on = [groups[k].eqNullSafe(f[k]) for k in keys]
-        own = groups.crossJoin(f) if not on else groups.join(f, on[0] if len(on) == 1 else on[0] & on[1])
-        own = own.select(groups["lang"], groups["source"], "signal", "q1", "q3", "size", F.lit(rank).alias("rank"))
-        fences = own if fences is None else fences.unionByName(own)
-    last = len(levels) - 1
-    usable = fences.where((F.col("size") >= MIN_GROUP) | (F.col("rank") == last))
-    best = usable.groupBy("lang", "source", "signal").agg(F.min(F.struct("rank", "q1", "q3")).alias("f"))
+    # a sketch row counts for its group, its language and the whole: level and the key columns of that level
+    def levels(lang: Column, source: Column) -> Column:
+        none = F.lit(None).cast("string")
+        keys = [(0, lang, source), (1, lang, none), (LAST, none, none)]
+        return F.explode(F.array(*[F.struct(F.lit(i).alias("level"), a.alias("l"), b.alias("s")) for i, a, b in keys]))
+
+    key = ["level", "l", "s"]
+    lang, source = F.col("lang").cast("string"), F.col("source").cast("string")
+    each = sketch.select("signal", "bucket", "n", levels(lang, source).alias("k")).select("k.*", "signal", "bucket", "n")
+    merged = each.groupBy(*key, "signal", "bucket").agg(F.sum("n").alias("n"))
+    w = Window.partitionBy(*key, "signal")
+    run = merged.withColumns({"upto": F.sum("n").over(w.orderBy("bucket")), "size": F.sum("n").over(w)})
+    quartile = lambda q: F.min(F.when(F.col("upto") * 4 >= F.col("size") * q, F.col("bucket")))
+    fences = run.groupBy(*key, "signal").agg(quartile(1).alias("q1"), quartile(3).alias("q3"), F.first("size").alias("size"))
+    fences = fences.where((F.col("size") >= MIN_GROUP) | (F.col("level") == LAST))
+    groups = sketch.select("lang", "source").distinct().select("lang", "source", levels(lang, source).alias("k")).select("lang", "source", "k.*")
+    on = [groups[c].eqNullSafe(fences[c]) for c in key]
+    usable = groups.join(fences, on[0] & on[1] & on[2]).select("lang", "source", groups["level"], "signal", "q1", "q3")
+    best = usable.groupBy("lang", "source", "signal").agg(F.min(F.struct("level", "q1", "q3")).alias("f"))
     slack = F.create_map(*[F.lit(x) for kv in SLACK.items() for x in kv])[F.col("signal")]
     reach = F.lit(FENCE) * (F.col("f.q3") - F.col("f.q1")) + slack
     lines = best.select("lang", "source", "signal", (F.col("f.q1") - reach).alias("low"), (F.col("f.q3") + reach).alias("high"))
