@@ -22,9 +22,15 @@ def registry_with(
     extra: Mapping[str, str] | None = None, base: Mapping[str, str] | None = None
 ) -> dict[str, str]:
     """Add or overwrite patterns.  A new type is appended to the order, an
-    existing type keeps its place with the new pattern (plain ``dict`` update)."""
+    existing type keeps its place with the new pattern (plain ``dict`` update).
+
+    A type name must be ASCII letters (an alias is looked up first): the token
+    grammar holds no other name, so its tokens could not be restored."""
     reg = dict(REGEX_REGISTRY if base is None else base)
     for t, p in (extra or {}).items():
+        name = TYPE_ALIASES.get(t, t)
+        if not (name.isascii() and name.isalpha()):
+            raise ValueError(f"entity type {t!r} cannot be written in a token; use ASCII letters")
         reg[t] = p
     return reg
 

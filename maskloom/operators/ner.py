@@ -113,7 +113,8 @@ def parse_responses(responses: DataFrame, key_cols: Sequence[str], response_col:
     body = F.when(
         F.col(response_col).rlike(r"(?s)\[.*\]"), F.regexp_extract(F.col(response_col), r"(?s)\[.*\]", 0)
     ).otherwise(F.col(response_col))
-    elems = F.from_json(body, "array<string>")
+    # inside an object, so that text behind the array makes the whole malformed
+    elems = F.from_json(F.concat(F.lit('{"a":'), body, F.lit("}")), "a array<string>")["a"]
     objs = F.transform(
         F.filter(elems, lambda x: F.ltrim(x).startswith("{")),
         lambda x: F.struct(

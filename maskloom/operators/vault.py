@@ -110,29 +110,20 @@ def resolve_collisions(delta: DataFrame, salt: str, vault: DataFrame | None = No
     vault_tokens = vault.select("token").distinct() if vault is not None else None
     contested = dup if vault_tokens is None else dup.unionByName(cur.select("token").join(vault_tokens, "token", "left_semi"))
     contested = broadcast_if_small(stored(contested.distinct(), "contested"))
-    settled = [cur.join(contested, "token", "left_anti")]
+    # every token that is already given away: the vault's and those settled without contest
+    done = stored(cur.join(contested, "token", "left_anti"), "settled")
     todo = cur.join(contested, "token", "left_semi").checkpoint(eager=True)
-    taken = vault_tokens.select(F.col("token").alias("_t")) if vault_tokens is not None else None
+    taken = done.select("token") if vault_tokens is None else done.select("token").unionByName(vault_tokens)
     w = Window.partitionBy("token").orderBy("entity_type", "original")
     for k in range(1, max_rounds + 1):
         if todo.isEmpty():
-            out = settled[0]
-            for s_ in settled[1:]:
-                out = out.unionByName(s_)
-            return out
-        ranked = todo.withColumn("_r", F.row_number().over(w))
-        if taken is not None:
-            ranked = ranked.join(taken, ranked.token == taken._t, "left_outer").withColumn(
-                "_r", F.when(F.col("_t").isNotNull(), F.lit(2)).otherwise(F.col("_r"))
-            ).drop("_t")
-        ranked = ranked.checkpoint(eager=True)
-        winners = ranked.filter(F.col("_r") == 1).drop("_r")
-        settled.append(winners)
-        new_taken = winners.select(F.col("token").alias("_t"))
-        # a re-tokened loser may also hit a token settled without contest
-        clean_tokens = settled[0].select(F.col("token").alias("_t"))
-        taken = new_taken.unionByName(clean_tokens) if taken is None else taken.unionByName(new_taken).unionByName(clean_tokens)
-        todo = ranked.filter(F.col("_r") > 1).drop("_r").select(
+            return done
+        free = todo.join(taken, "token", "left_anti").withColumn("_r", F.row_number().over(w))
+        winners = free.filter(F.col("_r") == 1).drop("_r").checkpoint(eager=True)
+        losers = todo.join(winners, ["original", "entity_type"], "left_anti")
+        done = done.unionByName(winners)
+        taken = taken.unionByName(winners.select("token"))
+        todo = losers.select(
             C.token_with_nonce(F.col("entity_type"), F.col("original"), salt, F.lit(k)).alias("token"),
             "original",
             "entity_type",

@@ -17,10 +17,11 @@ from pyspark.sql import functions as F
 WORDS_SCHEMA = "original string, replacement string, priority long"
 
 # Dictionaries up to this many words (counted) fold as a literal array inside
-# the projection; larger ones (up to WORDS_BROADCAST_MAX, counted) are shipped
-# to each task as an automaton.
+# the projection; larger ones are shipped to each task in ranges, as
+# automata.
 WORDS_LITERAL_MAX = 256
-WORDS_BROADCAST_MAX = 2_000_000
+#: Words of a larger dictionary that are shipped to the tasks at a time.
+WORDS_RANGE = 200_000
 
 
 def _valid(words: DataFrame) -> DataFrame:
@@ -101,8 +102,9 @@ def apply_custom_words(docs: DataFrame, text_col: str, words: DataFrame, out_col
     """Chained literal replace of every word, in priority order.
 
     Size is counted first.  Small: a literal array folded with ``replace``
-    inside the projection.  Larger but bounded: each task builds an
-    Aho-Corasick automaton from the broadcast dictionary and visits, in
+    inside the projection.  Larger: ranges of ``WORDS_RANGE`` words, in
+    priority order, are applied one after the other; each task builds an
+    Aho-Corasick automaton from the broadcast range and visits, in
     dictionary order, only the words present in the current text, rescanning
     after every change (so words created by a replacement are caught too).
     """
@@ -117,17 +119,29 @@ def apply_custom_words(docs: DataFrame, text_col: str, words: DataFrame, out_col
         folded = F.aggregate(pairs, F.col(text_col), lambda acc, p: F.replace(acc, p["span"], p["repl"]))
         cols = [c for c in keep if c != out_col]
         return docs.select(*cols, folded.alias(out_col))
-    if n > WORDS_BROADCAST_MAX:
-        raise ValueError(f"custom dictionary has {n} words; more than {WORDS_BROADCAST_MAX} cannot be shipped to tasks")
-    return _apply_with_automaton(docs, text_col, valid, out_col, keep)
-
-
-def _apply_with_automaton(docs: DataFrame, text_col: str, valid: DataFrame, out_col: str, keep: list[str]) -> DataFrame:
+    # a chained replace composes: words 1..k, then the next k, and so on, each range shipped alone
+    for words_, repls in _ranges(valid, WORDS_RANGE):
+        docs = _apply_with_automaton(docs, text_col, words_, repls, out_col, keep)
+        text_col = out_col
+    return docs
+
+
+def _ranges(valid: DataFrame, size: int) -> Iterator[tuple[list[str], list[str]]]:
+    """The dictionary in priority order, ``size`` words at a time."""
+    words_, repls = [], []
+    for r in valid.orderBy("priority").select("original", "replacement").toLocalIterator():
+        words_.append(r["original"])
+        repls.append(r["replacement"])
+        if len(words_) == size:
+            yield words_, repls
+            words_, repls = [], []
+    if words_:
+        yield words_, repls
+
+
+def _apply_with_automaton(docs: DataFrame, text_col: str, words_: list[str], repls_: list[str], out_col: str, keep: list[str]) -> DataFrame:
     spark = docs.sparkSession
-    ordered = valid.orderBy("priority").select("original", "replacement").toPandas()  # counted, bounded
-    bc = spark.sparkContext.broadcast(
-        (ordered["original"].tolist(), ordered["replacement"].tolist())
-    )
+    bc = spark.sparkContext.broadcast((words_, repls_))
     cols = [c for c in keep if c != out_col]
     schema = docs.select(*cols, F.col(text_col).alias(out_col)).schema
 
@@ -183,13 +197,13 @@ def remask_incremental(docs: DataFrame, text_col: str, id_cols: Sequence[str], p
                        words: DataFrame, mask_fn) -> DataFrame:
     """A text that already has a masked output gets only the custom
     words applied to that output (when there are custom words); every other
-    text goes through the full mask ``mask_fn(df) -> df(ids…, masked)``."""
-    has_words = words.limit(1).count() > 0
+    text (without custom words: every text) goes through the full mask ``mask_fn(df) -> df(ids…, masked)``."""
+    if words.isEmpty():
+        return mask_fn(docs).select(*id_cols, "masked")
     prev = previous.select(*id_cols, F.col("masked").alias("_prev"))
     j = docs.join(prev, list(id_cols), "left")
     redo = j.filter(F.col("_prev").isNull()).drop("_prev")
     fresh = mask_fn(redo).select(*id_cols, "masked")
     again = j.filter(F.col("_prev").isNotNull()).select(*id_cols, F.col("_prev").alias("masked"))
-    if has_words:
-        again = apply_custom_words(again, "masked", words, out_col="masked", keep_cols=list(id_cols))
+    again = apply_custom_words(again, "masked", words, out_col="masked", keep_cols=list(id_cols))
     return fresh.unionByName(again)

@@ -906,10 +906,10 @@ def _remask_words(spark) -> DataFrame:
 def q_remask_incremental(spark, sf):
     pii = pii_texts(spark, sf)
     done = table(spark, sf, "orders").filter(F.col("o_orderstatus") == "F").select(F.col("o_orderkey").alias("doc_id"))
-    previous, _ = mask_job(pii.join(done, "doc_id", "left_semi"), ["doc_id"])  # an earlier run's stored output
+    previous, earlier = mask_job(pii.join(done, "doc_id", "left_semi"), ["doc_id"])  # an earlier run's stored output
 
     def full_mask(df):
-        m, _ = mask_job(df, ["doc_id"])
+        m, _ = mask_job(df, ["doc_id"], earlier)
         return m
 
     return W.remask_incremental(pii, "text", ["doc_id"], previous, _remask_words(spark), full_mask)
@@ -1035,7 +1035,7 @@ def file_mask_job(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, s
     assignments, delta = vault.plan_tokens(ents, SALT)
     v = delta
     masked = stored(docops.mask_document(items, SALT, vault.overrides_of(assignments, SALT), keys=("name", "item_idx")), "masked_files")
-    names = FS.output_names(masked.select("name"), "name")
+    names = FS.output_names(masked.select("name").distinct(), "name")
     lists = FS.content_lists(masked, ["name"]).join(names.select("name", F.col("masked_json").alias("out_name")), "name")
     out_dir = scratch_path(spark, "outputs")
     FS.write_named(lists.select("out_name", "items"), out_dir + "/lists")
@@ -1056,7 +1056,7 @@ _DUCK_TEXT_ROUTE = f"(SELECT * FROM {DUCK_MANIFEST} m WHERE {_DROUTE_EXT.replace
 def q_process_documents_mask(spark, sf):
     _, _, out_dir = file_mask_job(spark, sf)
     md = spark.read.schema("out_name string, markdown string").json(out_dir + "/markdown")
-    names = FS.output_names(text_route_items(spark, sf).select("name"), "name")
+    names = FS.output_names(text_route_items(spark, sf).select("name").distinct(), "name")
     return md.join(names.select("name", F.col("masked_md").alias("out_name")), "out_name").select("name", "out_name", "markdown")
 
 

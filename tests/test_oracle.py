@@ -1,6 +1,7 @@
 """Every registered query against its DuckDB oracle at sf0.01 (the driver's gate)."""
 
 import os
+import re
 
 import duckdb
 import pytest
@@ -43,5 +44,6 @@ def test_entry_smoke(spark):
 
 
 def test_every_query_has_oracle_or_is_listed():
-    rows_only = set(E.queries()) - set(E.oracle_sql())
+    # the training-data queries have their own brute-force tests
+    rows_only = {q for q in set(E.queries()) - set(E.oracle_sql()) if not re.match(r"op\d+_|pipeline$", q)}
     assert rows_only <= {"score_chunks", "write_entities", "write_content_list", "choose_unmask_source"}
