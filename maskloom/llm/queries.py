@@ -71,4 +71,31 @@ QUERIES = {
         op9_extendible_shards, op10_line_dedup, pipeline,
     )
 }
-ORACLE: dict[str, str] = {}
+#: DuckDB twins, for tables whose doc_id is unique and whose rows all fit a shard.
+ORACLE: dict[str, str] = {
+    "op3_decontamination": rf"""WITH dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+iw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+i AS (SELECT item_id, ws, least({decontaminate.SPAN}, len(ws)) AS n FROM iw WHERE len(ws) > 0),
+win AS (SELECT DISTINCT item_id, n, array_to_string(ws[k:k + n - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(ws) - n + 2)) AS k FROM i) x),
+dg AS (SELECT doc_id, n, k, array_to_string(ws[k:k + n - 1], ' ') AS g
+  FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS k FROM dw JOIN (SELECT DISTINCT n FROM win) s ON len(ws) >= n) y),
+m AS (SELECT doc_id, k, n, item_id FROM dg JOIN win USING (n, g)),
+h AS (SELECT doc_id, count(DISTINCT p)::BIGINT AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM m) z GROUP BY doc_id),
+c AS (SELECT doc_id, count(*)::BIGINT AS n_items, string_agg(s, ',' ORDER BY s) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS s FROM m) q GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN h USING (doc_id) LEFT JOIN c USING (doc_id)""",
+    "op9_extendible_shards": rf"""WITH a AS (SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS bytes, ('0x' || substr(md5(doc_id::VARCHAR), 1, 12))::BIGINT AS h FROM documents),
+p AS (SELECT d.depth, (h >> (48 - d.depth)) AS p, sum(bytes)::BIGINT AS b, count(*) AS n FROM a, (SELECT unnest(range(0, 49)) AS depth) d GROUP BY ALL),
+f AS (SELECT doc_id, bytes, h, min(p.depth) AS depth FROM a JOIN p ON p.p = (a.h >> (48 - p.depth)) AND p.b <= {sharding.LIMIT} GROUP BY ALL)
+SELECT doc_id, bytes, CASE WHEN f.depth = 0 THEN '' ELSE right(bin((1::BIGINT << 48) | h), 48)[1:f.depth] END AS shard, f.depth::BIGINT AS depth, p.b AS shard_bytes, p.n AS shard_rows, false AS oversize
+FROM f JOIN p ON p.depth = f.depth AND p.p = (f.h >> (48 - f.depth))""",
+    "op10_line_dedup": rf"""WITH u AS (SELECT doc_id, text, generate_subscripts(string_split(text, chr(10)), 1) AS k, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL),
+w AS (SELECT doc_id, k, line, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws,
+  coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS a FROM u),
+r AS (SELECT *, CASE WHEN len(ws) >= {line_dedup.MIN_WORDS} THEN row_number() OVER (PARTITION BY array_to_string(ws, ' ') ORDER BY doc_id, k) ELSE 1 END AS n,
+  first_value(doc_id) OVER (PARTITION BY array_to_string(ws, ' ') ORDER BY doc_id, k) AS kept FROM w),
+g AS (SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (n = 1), '') AS text, count(*)::BIGINT AS n_units, (count(*) FILTER (n > 1))::BIGINT AS n_removed,
+  coalesce(string_agg(a || ':' || (a + length(line)) || ':' || kept, ',' ORDER BY k) FILTER (n > 1), '') AS removed FROM r GROUP BY doc_id)
+SELECT d.doc_id, g.text, coalesce(g.n_units, 0)::BIGINT AS n_units, coalesce(g.n_removed, 0)::BIGINT AS n_removed, coalesce(g.removed, '') AS removed FROM documents d LEFT JOIN g USING (doc_id)""",
+}
