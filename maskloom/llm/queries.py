@@ -71,8 +71,45 @@ QUERIES = {
         op9_extendible_shards, op10_line_dedup, pipeline,
     )
 }
+_KEY = sharding.KEY_BITS
+#: Numerator, denominator and factor of each quality signal.
+_RATES = {
+    "symbols": ("n_symbols", "word_chars", 1000), "shouts": ("n_shouts", "word_chars", 1000), "capitals": ("n_capitals", "word_chars", 1000),
+    "dup_lines": ("n_dup_lines", "n_lines", 1000), "repeats": ("n_repeat_words", "n_words", 1000), "word_length": ("word_chars", "n_words", 100),
+}
+
+
+def _inside(signal: str) -> str:
+    low = f" AND {signal} >= {signal}_low" if signal in quality.TWO_SIDED else ""
+    return f"{signal} <= {signal}_high{low}"
+
+
+_QUALITY_SQL = rf"""WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t FROM documents),
+c AS (SELECT doc_id, lang, source, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls,
+  length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+  (length(t) - length(regexp_replace(t, '[!?]', '', 'g')))::BIGINT AS n_shouts, (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')))::BIGINT AS n_capitals FROM d),
+w AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS k FROM c),
+g AS (SELECT doc_id, k, count(*) OVER (PARTITION BY doc_id, g) AS n FROM (SELECT doc_id, k, w || ' ' || lead(w) OVER o || ' ' || lead(w, 2) OVER o AS g FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY k)) x WHERE g IS NOT NULL),
+r AS (SELECT doc_id, count(DISTINCT p)::BIGINT AS n FROM (SELECT doc_id, unnest(range(k, k + 3)) AS p FROM g WHERE n > 1) x GROUP BY doc_id),
+b AS (SELECT c.*, len(ws)::BIGINT AS n_words, len(ls)::BIGINT AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words FROM c LEFT JOIN r USING (doc_id)),
+m AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed,
+  {', '.join(f"CASE WHEN {of} > 0 THEN ({by} * {n}) // {of} ELSE 0 END::BIGINT AS {s}" for s, (n, of, by) in _RATES.items())} FROM b),
+v AS ({' UNION ALL '.join(f"SELECT lang, source, '{s}' AS signal, {slack} AS slack, {s} AS x FROM m WHERE NOT base_failed" for s, slack in quality.SLACK.items())}),
+k AS (SELECT lang, source, signal, slack, (x >> greatest(len(bin(x)) - {quality.EXACT_BITS}, 0)) << greatest(len(bin(x)) - {quality.EXACT_BITS}, 0) AS x FROM v),
+l AS (SELECT 0 AS level, lang AS l, source AS s, signal, slack, x FROM k UNION ALL SELECT 1, lang, NULL, signal, slack, x FROM k UNION ALL SELECT 2, NULL, NULL, signal, slack, x FROM k),
+q AS (SELECT level, l, s, signal, slack, min(x) FILTER (upto * 4 >= size) AS q1, min(x) FILTER (upto * 4 >= size * 3) AS q3, any_value(size) AS size
+  FROM (SELECT *, count(*) OVER (PARTITION BY level, l, s, signal ORDER BY x) AS upto, count(*) OVER (PARTITION BY level, l, s, signal) AS size FROM l) x GROUP BY ALL),
+f AS (SELECT a.lang, a.source, q.signal, arg_min(q1 - {quality.FENCE} * (q3 - q1) - slack, level) AS low, arg_min(q3 + {quality.FENCE} * (q3 - q1) + slack, level) AS high
+  FROM (SELECT DISTINCT lang, source FROM k) a JOIN q ON (q.size >= {quality.MIN_GROUP} OR level = 2) AND (level = 2 OR q.l IS NOT DISTINCT FROM a.lang) AND (level > 0 OR q.s IS NOT DISTINCT FROM a.source)
+  GROUP BY ALL),
+t AS (SELECT lang, source, {', '.join(f"any_value(low) FILTER (signal = '{s}') AS {s}_low, any_value(high) FILTER (signal = '{s}') AS {s}_high" for s in quality.SLACK)} FROM f GROUP BY ALL)
+SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, {', '.join(quality.SLACK)},
+  NOT base_failed AND coalesce({' AND '.join(_inside(s) for s in quality.SLACK)}, false) AS kept
+FROM m LEFT JOIN t ON t.lang IS NOT DISTINCT FROM m.lang AND t.source IS NOT DISTINCT FROM m.source"""
+
 #: DuckDB twins, for tables whose doc_id is unique and whose rows all fit a shard.
 ORACLE: dict[str, str] = {
+    "op2_quality_rules": _QUALITY_SQL,
     "op3_decontamination": rf"""WITH dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
 iw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
 i AS (SELECT item_id, ws, least({decontaminate.SPAN}, len(ws)) AS n FROM iw WHERE len(ws) > 0),
@@ -85,11 +122,11 @@ c AS (SELECT doc_id, count(*)::BIGINT AS n_items, string_agg(s, ',' ORDER BY s)
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM dw LEFT JOIN h USING (doc_id) LEFT JOIN c USING (doc_id)""",
-    "op9_extendible_shards": rf"""WITH a AS (SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS bytes, ('0x' || substr(md5(doc_id::VARCHAR), 1, 12))::BIGINT AS h FROM documents),
-p AS (SELECT d.depth, (h >> (48 - d.depth)) AS p, sum(bytes)::BIGINT AS b, count(*) AS n FROM a, (SELECT unnest(range(0, 49)) AS depth) d GROUP BY ALL),
-f AS (SELECT doc_id, bytes, h, min(p.depth) AS depth FROM a JOIN p ON p.p = (a.h >> (48 - p.depth)) AND p.b <= {sharding.LIMIT} GROUP BY ALL)
-SELECT doc_id, bytes, CASE WHEN f.depth = 0 THEN '' ELSE right(bin((1::BIGINT << 48) | h), 48)[1:f.depth] END AS shard, f.depth::BIGINT AS depth, p.b AS shard_bytes, p.n AS shard_rows, false AS oversize
-FROM f JOIN p ON p.depth = f.depth AND p.p = (f.h >> (48 - f.depth))""",
+    "op9_extendible_shards": rf"""WITH a AS (SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS bytes, ('0x' || substr(md5(doc_id::VARCHAR), 1, {_KEY // 4}))::BIGINT AS h FROM documents),
+p AS (SELECT d.depth, (h >> ({_KEY} - d.depth)) AS p, sum(bytes)::BIGINT AS b, count(*) AS n FROM a, (SELECT unnest(range(0, {_KEY} + 1)) AS depth) d GROUP BY ALL),
+f AS (SELECT doc_id, bytes, h, min(p.depth) AS depth FROM a JOIN p ON p.p = (a.h >> ({_KEY} - p.depth)) AND p.b <= {sharding.LIMIT} GROUP BY ALL)
+SELECT doc_id, bytes, CASE WHEN f.depth = 0 THEN '' ELSE right(bin((1::BIGINT << {_KEY}) | h), {_KEY})[1:f.depth] END AS shard, f.depth::BIGINT AS depth, p.b AS shard_bytes, p.n AS shard_rows, false AS oversize
+FROM f JOIN p ON p.depth = f.depth AND p.p = (f.h >> ({_KEY} - f.depth))""",
     "op10_line_dedup": rf"""WITH u AS (SELECT doc_id, text, generate_subscripts(string_split(text, chr(10)), 1) AS k, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL),
 w AS (SELECT doc_id, k, line, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws,
   coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS a FROM u),

@@ -1,12 +1,12 @@
 """Extendible hashing: shards of bounded size, from built-in columns alone.
 
-A row's address is the first 48 bits of md5(key) followed by 12 bits of its
+A row's address is the first 40 bits of md5(key) followed by 22 bits of its
 place in the input.  The directory is indexed by a prefix of the address: it
 starts as one bucket of no bits, and a bucket whose rows exceed ``limit`` bytes
 splits on the next bit, only it, until every bucket fits.  A bucket's prefix
 (its bits as text) is the shard's name, so a key's shard is found from the key
 and the directory.  The bits of the row's place come last: only rows with one key are
-split by them, which spreads a hot key over several shards.
+split by them, which spreads a hot key over as many as four million shards.
 
 Sizes are aggregated per address prefix (combined before the shuffle), several
 bits at a time: a round sums the bytes of all prefixes of its bits, and a
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from ..session import stored
 
 LIMIT = 32 << 20
-KEY_BITS, PLACE_BITS = 48, 12
+KEY_BITS, PLACE_BITS = 40, 22
 BITS = KEY_BITS + PLACE_BITS
 #: Bits that a round resolves.
 ROUND = 10
