@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions.patterns import REGEX_REGISTRY
-from ..operators import detect, mask, restore, vault
+from ..operators import detect, jobs, mask, restore, vault
 from . import duck as D
 from ..session import stored
 from .inputs import DUCK_CORPUS, DUCK_DOCS, SALT, corpus, documents
@@ -49,29 +49,9 @@ def corpus_vault(spark: SparkSession, sf: str, masked: DataFrame | None = None)
     return vault.assign_tokens(ents, SALT).select("token", "original", "entity_type")
 
 
-def mask_job(docs: DataFrame, keys: list[str], prior_vault: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """The full mask job: (masked texts, new vault rows), both stored as
-    Parquet tables in the shared scratch folder.
-
-    One detection pass: texts are masked with the plain hash tokens and their
-    entity arrays stored alongside.  The vault is planned from those stored
-    entities (distinct pairs only).  Texts holding a collision loser — a tiny
-    set, counted — are masked again from their source with the override
-    tokens and replace their first version.
-    """
-    first = stored(mask.mask_text(docs, "text", keys, SALT), "masked_first")
-    ents = mask.entities_of(first, keys)
-    assignments, delta = vault.plan_tokens(ents, SALT, prior_vault)
-    v = delta
-    over = stored(vault.overrides_of(assignments, SALT), "overrides")  # tiny
-    if over.isEmpty():
-        return first, v
-    hits = ents.join(
-        over.select(F.col("original").alias("span"), F.col("entity_type").alias("type")), ["span", "type"], "left_semi"
-    ).select(*keys).distinct()
-    hits = vault.broadcast_if_small(stored(hits, "override_hits"))
-    redo = stored(mask.mask_text(docs.join(hits, keys, "left_semi"), "text", keys, SALT, overrides=over), "masked_redo")
-    return first.join(hits, keys, "left_anti").unionByName(redo), v
+def mask_job(docs: DataFrame, keys: list[str], prior_vault: DataFrame | None = None, **options) -> tuple[DataFrame, DataFrame]:
+    """:func:`jobs.mask_job` with the test salt."""
+    return jobs.mask_job(docs, keys, SALT, prior_vault=prior_vault, **options)
 
 
 def mask_run(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -423,9 +403,9 @@ def q_build_requests(spark, sf):
     )
 
 
-@register("score_chunks")
+@register("score_chunks", f'SELECT doc_id, chunk_idx, "offset", chunk, response, NULL::VARCHAR AS error FROM {DUCK_RESPONSES} r')
 def q_score_chunks(spark, sf):
-    """Rows-only: the Arrow-batched model hook over every chunk (stand-in model)."""
+    """The Arrow-batched model hook over every chunk (stand-in model)."""
     return ner.score_chunks(doc_chunks(spark, sf), standin.python_model, ["doc_id", "chunk_idx"])
 
 
@@ -516,6 +496,42 @@ def q_merge_detections(spark, sf):
     return detect.merge_detections(model, regex, ["doc_id"])
 
 
+# ---------------------------------------------------------------------------
+# R1, U6 with model entities: chunk → score → parse → alias → merge → mask → restore
+# ---------------------------------------------------------------------------
+
+
+def model_mask_run(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """A mask job over the documents whose entities come from the model hook and the patterns."""
+    docs = documents(spark, sf)
+    scored = stored(ner.score_chunks(ner.chunk_text(docs, "text", ["doc_id"]), standin.python_model, ["doc_id", "chunk_idx"]), "scored_chunks")
+    admitted, _ = jobs.admit_scored(docs, ["doc_id"], scored)
+    model = detect.filter_types(ner.batch_entities(scored, ["doc_id"]), NER_ALLOWED)
+    return mask_job(admitted, ["doc_id"], model_entities=model)
+
+
+DUCK_MODEL_PAIRS = f"""(SELECT d.doc_id, d.text, list_concat(coalesce(m.l, []), coalesce({D.entity_list('d.text')}, [])) AS l FROM documents d
+  LEFT JOIN (SELECT doc_id, list({{'s': span, 'ty': type}} ORDER BY seq) AS l FROM {DUCK_NER_FILTERED} f GROUP BY doc_id) m USING (doc_id))"""
+DUCK_MODEL_MASKED = f"""(SELECT doc_id, text, l, CASE WHEN len(l) = 0 THEN text ELSE {D.placeholder_fold('text', 'r')} END AS masked
+  FROM (SELECT *, list_transform(l, lambda e: {{'s': e.s, 'r': {D.token('e.ty', 'e.s', SALT)}}}) AS r FROM {DUCK_MODEL_PAIRS} p) x)"""
+
+
+@register("mask_text_model", f"SELECT doc_id, masked, len(list_distinct(l))::BIGINT AS n_entities FROM {DUCK_MODEL_MASKED} m")
+def q_mask_text_model(spark, sf):
+    masked, _ = model_mask_run(spark, sf)
+    return masked.select("doc_id", "masked", "n_entities")
+
+
+@register(
+    "round_trip_model",
+    """SELECT count(*)::BIGINT AS n_texts, count(*)::BIGINT AS n_equal FROM documents""",
+)
+def q_round_trip_model(spark, sf):
+    masked, v = model_mask_run(spark, sf)
+    restored = restore.unmask_text(masked, "masked", ["doc_id"], v)
+    return restore.round_trip_summary(restore.round_trip_flags(documents(spark, sf), restored, "text", ["doc_id"]))
+
+
 # ---------------------------------------------------------------------------
 # Content lists and Markdown
 # ---------------------------------------------------------------------------
@@ -1091,10 +1107,18 @@ def q_process_documents_unmask(spark, sf):
     return md.select("name", "out_name", "markdown")
 
 
-@register("choose_unmask_source")
+_DUCK_FILE_MASKED = D.literal_fold('text', D.entity_list('text'), SALT)
+
+
+@register(
+    "choose_unmask_source",
+    f"""SELECT {_DSTEM} AS name, 0 AS item_idx, 'text' AS type, CASE WHEN saved THEN {_DUCK_FILE_MASKED} ELSE text END AS text,
+      NULL::VARCHAR AS title, 1 AS page, CASE WHEN saved THEN 'masked_list' ELSE 'original' END AS source
+    FROM (SELECT *, {_DROUTE_EXT} IN ('txt', 'md') AS saved FROM {DUCK_MANIFEST} m WHERE text IS NOT NULL) t""",
+)
 def q_choose_unmask_source(spark, sf):
-    """Rows-only: saved masked lists exist for every text-routed file; the
-    rest of the manifest falls back to its original items."""
+    """Saved masked lists exist for every text-routed file; the rest of the
+    manifest falls back to its original items."""
     _, _, out_dir = file_mask_job(spark, sf)
     lists = FS.scan_content_list(spark, out_dir + "/lists").withColumn(
         "name", F.regexp_replace("out_name", "_masked_content_list\\.json$", "")
@@ -1103,19 +1127,29 @@ def q_choose_unmask_source(spark, sf):
     return FS.choose_unmask_source(originals, lists, ["name"])
 
 
-@register("write_content_list")
+@register(
+    "write_content_list",
+    f"""SELECT {_DSTEM.replace('path', 't.path')} || '_masked_content_list.json' AS out_name, 1::BIGINT AS n_items, 'text' AS types,
+      {_DUCK_FILE_MASKED} AS texts, NULL::VARCHAR AS title, 1::BIGINT AS pages
+    FROM {_DUCK_TEXT_ROUTE} t""",
+)
 def q_write_content_list(spark, sf):
-    """Rows-only: the written content-list dataset read back."""
+    """The written content-list dataset read back, one row an output name."""
     _, _, out_dir = file_mask_job(spark, sf)
-    return spark.read.schema(f"out_name string, items {FS.ITEM_SCHEMA}").json(out_dir + "/lists")
+    lists = spark.read.schema(f"out_name string, items {FS.ITEM_SCHEMA}").json(out_dir + "/lists")
+    return lists.select(
+        "out_name", F.size("items").cast("long").alias("n_items"), F.array_join("items.type", ",").alias("types"), F.array_join("items.text", "\n").alias("texts"),
+        F.col("items.title")[0].alias("title"), F.aggregate("items.page", F.lit(0).cast("long"), lambda a, x: a + x).alias("pages"),
+    )
 
 
-@register("write_entities")
+@register("write_entities", f'SELECT doc_id, seq AS pos, type, start, "end", span, prob FROM {DUCK_DEDUP} d')
 def q_write_entities(spark, sf):
-    """Rows-only: per-document NER results written as JSON and read back."""
+    """Per-document NER results written as JSON and read back."""
     path = scratch_path(spark, "entities")
     FS.write_entities(doc_ner_entities(spark, sf), path)
-    return spark.read.schema("doc_id long, output array<struct<type:string,start:int,end:int,span:string,prob:double>>").json(path)
+    saved = spark.read.schema("doc_id long, output array<struct<type:string,start:int,end:int,span:string,prob:double>>").json(path)
+    return C.posexplode_rows(saved, ["doc_id"], F.col("output"), "pos", "e").select("doc_id", "pos", "e.*")
 
 
 @register("load_vault", f"SELECT token, original, entity_type FROM {DUCK_VAULT} v")

@@ -68,5 +68,5 @@ def python_model(chunk: str) -> str:
         o = {"span": s, "type": MODEL_TYPE}
         if len(s) % 2 == 1:
             o["prob"] = _prob(len(s))
-        objs.append(json.dumps(o, ensure_ascii=False))
+        objs.append(json.dumps(o, ensure_ascii=False, separators=(",", ":")))
     return PREFIX + "[" + ", ".join(objs) + "]" + SUFFIX

@@ -43,7 +43,7 @@ def test_entry_smoke(spark):
     assert df.count() >= 0
 
 
-def test_every_query_has_oracle_or_is_listed():
+def test_every_query_has_an_oracle():
     # the training-data queries have their own brute-force tests
     rows_only = {q for q in set(E.queries()) - set(E.oracle_sql()) if not re.match(r"op\d+_|pipeline$", q)}
-    assert rows_only <= {"score_chunks", "write_entities", "write_content_list", "choose_unmask_source"}
+    assert not rows_only
