@@ -159,11 +159,12 @@ def token_with_nonce(entity_type, span, salt: str, nonce) -> Column:
     )
 
 
-def custom_token(span) -> Column:
-    """``__CUSTOM_{8 hex}__`` for dictionary misses (hash of the word itself)."""
+def custom_token(span, salt: str | None = None) -> Column:
+    """``__CUSTOM_{8 hex}__`` for dictionary misses (hash of the word, salted if a salt is given)."""
+    key = _col(span) if salt is None else F.concat_ws("|", F.lit(salt), _col(span))
     return F.concat(
         F.lit(CUSTOM_PREFIX),
-        F.substring(F.sha2(_col(span), 256), 1, TOKEN_HEX_LEN),
+        F.substring(F.sha2(key, 256), 1, TOKEN_HEX_LEN),
         F.lit(TOKEN_SUFFIX),
     )
 

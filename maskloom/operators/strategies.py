@@ -162,15 +162,29 @@ def _number(first: DataFrame, counters: DataFrame | None, templates: Mapping[str
     )
 
 
+def _unknown(first: DataFrame, prior: DataFrame | None, counters: DataFrame | None,
+             templates: Mapping[str, str]) -> tuple[DataFrame, DataFrame | None]:
+    """Texts without a stored mask, and the counters to go on from (by default
+    those of the stored mapping)."""
+    if prior is None:
+        return first, counters
+    fresh = first.join(prior.select(F.col("original").alias("span")), "span", "left_anti")
+    return fresh, rebuild_counters(prior, templates) if counters is None else counters
+
+
 def context_mapping(occurrences: DataFrame, id_cols: Sequence[str], counters: DataFrame | None = None,
-                    templates: Mapping[str, str] | None = None) -> DataFrame:
+                    templates: Mapping[str, str] | None = None, prior: DataFrame | None = None) -> DataFrame:
     """M5 mapping: one row per text whose first numbered-type occurrence
     defines ``{template} {n}`` (n = per-type order of first appearance,
     continuing stored counters).  ``original, entity_type, ordinal,
-    mask_text, first_pos``."""
+    mask_text, first_pos``.
+
+    ``prior`` (``original, mask_text``) is the stored mapping of earlier runs:
+    its texts keep their masks, so only the new rows are returned."""
     t = TYPE_TEMPLATES if templates is None else templates
     occ = _positions(occurrences, id_cols).filter(F.col("type").isin(list(NUMBERED_TYPES)))
     first = occ.groupBy("span").agg(F.min("pos").alias("fpos"), F.min_by("type", "pos").alias("ftype"))
+    first, counters = _unknown(first, prior, counters, t)
     numbered = _number(first, counters, t)
     return numbered.select(
         F.col("span").alias("original"), F.col("ftype").alias("entity_type"), "ordinal", "mask_text",
@@ -179,28 +193,40 @@ def context_mapping(occurrences: DataFrame, id_cols: Sequence[str], counters: Da
 
 
 def context_masks(occurrences: DataFrame, id_cols: Sequence[str], counters: DataFrame | None = None,
-                  templates: Mapping[str, str] | None = None) -> DataFrame:
-    """M5 per occurrence: the stored mask once the text has been numbered,
-    else the bare template of the occurrence's own type (not stored)."""
+                  templates: Mapping[str, str] | None = None, prior: DataFrame | None = None) -> DataFrame:
+    """M5 per occurrence: the stored mask once the text has been numbered (in
+    an earlier run, or here), else the bare template of the occurrence's own
+    type (not stored)."""
     t = TYPE_TEMPLATES if templates is None else templates
-    mapping = context_mapping(occurrences, id_cols, counters, t)
+    mapping = context_mapping(occurrences, id_cols, counters, t, prior)
     occ = _positions(occurrences, id_cols)
     j = occ.join(mapping.select(F.col("original").alias("span"), "mask_text", "first_pos"), "span", "left")
     masked = F.when(F.col("first_pos").isNotNull() & (F.col("pos") >= F.col("first_pos")), F.col("mask_text")).otherwise(
         template_of(F.col("type"), t)
     )
+    if prior is not None:
+        j = j.join(prior.select(F.col("original").alias("span"), F.col("mask_text").alias("_stored")), "span", "left")
+        masked = F.coalesce("_stored", masked)
     return j.select(*id_cols, "seq", "span", "type", masked.alias("masked"))
 
 
 def hybrid_mapping(occurrences: DataFrame, id_cols: Sequence[str], custom_words: DataFrame | None = None,
-                   counters: DataFrame | None = None, templates: Mapping[str, str] | None = None) -> DataFrame:
+                   counters: DataFrame | None = None, templates: Mapping[str, str] | None = None,
+                   prior: DataFrame | None = None) -> DataFrame:
     """M7 mapping: custom words first (they win and are never numbered); every
     other text is stored at its first occurrence: numbered types get
     ``{template} {n}``, other types their bare template.
-    ``original, entity_type, ordinal, mask_text, is_custom, first_pos``."""
+    ``original, entity_type, ordinal, mask_text, is_custom, first_pos``.
+
+    With ``prior``, the stored mapping of earlier runs, only new rows are
+    returned: its texts (its custom words too) keep their masks and the
+    numbers go on."""
     t = TYPE_TEMPLATES if templates is None else templates
     occ = _positions(occurrences, id_cols)
     first = occ.groupBy("span").agg(F.min("pos").alias("fpos"), F.min_by("type", "pos").alias("ftype"))
+    first, counters = _unknown(first, prior, counters, t)
+    if prior is not None and custom_words is not None:
+        custom_words = custom_words.join(prior.select("original"), "original", "left_anti")
     if custom_words is not None:
         first = first.join(custom_words.select(F.col("original").alias("span")), "span", "left_anti")
     num = _number(first.filter(F.col("ftype").isin(list(NUMBERED_TYPES))), counters, t)
@@ -220,13 +246,23 @@ def hybrid_mapping(occurrences: DataFrame, id_cols: Sequence[str], custom_words:
     return custom.unionByName(auto.withColumn("first_pos", F.col("first_pos")), allowMissingColumns=True)
 
 
-def custom_masks(occurrences: DataFrame, custom_words: DataFrame) -> DataFrame:
+def custom_masks(occurrences: DataFrame, custom_words: DataFrame, salt: str | None = None) -> DataFrame:
     """M6 per occurrence: the dictionary replacement, else a stable
     ``__CUSTOM_{8 hex}__`` derived from the word (the same word always gets
-    the same replacement, in every text and run)."""
+    the same replacement, in every text and run).  Pass a secret ``salt``:
+    without one, short words can be guessed back from their hash."""
     d = custom_words.select(F.col("original").alias("span"), F.col("replacement").alias("_r"))
     j = occurrences.join(d, "span", "left")
-    return j.withColumn("masked", F.coalesce(F.col("_r"), C.custom_token(F.col("span")))).drop("_r")
+    return j.withColumn("masked", F.coalesce(F.col("_r"), C.custom_token(F.col("span"), salt))).drop("_r")
+
+
+def custom_delta(occurrences: DataFrame, custom_words: DataFrame, salt: str | None = None) -> DataFrame:
+    """M6: the remembered misses, ``original, replacement``: rows to add to the
+    dictionary so that their masks can be restored."""
+    words = occurrences.select(F.col("span").alias("original")).distinct()
+    return words.join(custom_words.select("original"), "original", "left_anti").select(
+        "original", C.custom_token(F.col("original"), salt).alias("replacement")
+    )
 
 
 def reverse_mapping(mapping: DataFrame, order_col: str = "seq") -> DataFrame:

@@ -783,6 +783,64 @@ def q_strategy_hybrid(spark, sf):
     return hybrid_table(spark, sf).select("original", "entity_type", "ordinal", "mask_text", "is_custom")
 
 
+# An earlier run over the English documents has stored its mapping; this run goes on over the whole corpus.
+EARLIER_LANG = "en"
+
+
+def earlier_occurrences(spark: SparkSession, sf: str, occ: DataFrame) -> DataFrame:
+    ids = table(spark, sf, "documents").where(F.col("lang") == EARLIER_LANG).select(F.lit("doc").alias("src"), "doc_id")
+    return occ.join(ids, CORPUS_KEYS, "left_semi")
+
+
+DUCK_EARLIER = f"""(SELECT o.* FROM {DUCK_OCC} o JOIN documents d ON o.src = 'doc' AND o.doc_id = d.doc_id AND d.lang = {D.q(EARLIER_LANG)})"""
+
+
+def _duck_incremental(occ_filter: str, custom: bool) -> str:
+    """``original, ftype, fpos, n, run``: texts numbered by the earlier run (0), then by this one (1)."""
+    words = f"span NOT IN (SELECT original FROM {DUCK_CW} c)" if custom else "true"
+    first = f"SELECT span, min(gpos) AS fpos, arg_min(type, gpos) AS ftype FROM %s o WHERE {occ_filter} AND {words} GROUP BY span"
+    return f"""(WITH p AS (SELECT *, row_number() OVER (PARTITION BY ftype ORDER BY fpos) AS n FROM ({first % DUCK_EARLIER}) f),
+      c AS (SELECT ftype, max(n) AS c FROM p GROUP BY ftype),
+      q AS (SELECT *, row_number() OVER (PARTITION BY ftype ORDER BY fpos) AS n FROM ({first % DUCK_OCC}) f WHERE span NOT IN (SELECT span FROM p))
+      SELECT span AS original, ftype, fpos, n, 0 AS run FROM p
+      UNION ALL SELECT q.span, q.ftype, q.fpos, q.n + coalesce(c.c, 0), 1 FROM q LEFT JOIN c USING (ftype))"""
+
+
+@register(
+    "strategy_context_incremental",
+    f"""SELECT o.src, o.doc_id, o.seq, o.span, o.type,
+      CASE WHEN n.run = 0 OR o.gpos >= n.fpos THEN {D.template('n.ftype', TYPE_TEMPLATES)} || ' ' || CAST(n.n AS VARCHAR)
+           ELSE {D.template('o.type', TYPE_TEMPLATES)} END AS masked
+    FROM {DUCK_OCC} o LEFT JOIN {_duck_incremental(f"type IN ({_NUM_SQL})", False)} n ON n.original = o.span""",
+)
+def q_strategy_context_incremental(spark, sf):
+    occ = corpus_occurrences(spark, sf)
+    prior = stored(S.context_mapping(earlier_occurrences(spark, sf, occ), CORPUS_KEYS).select("original", "entity_type", "mask_text"), "context_prior")
+    return S.context_masks(occ, CORPUS_KEYS, prior=prior)
+
+
+@register(
+    "strategy_hybrid_incremental",
+    f"""SELECT original, ftype AS entity_type, CASE WHEN ftype IN ({_NUM_SQL}) THEN n::BIGINT END AS ordinal,
+      {D.template('ftype', TYPE_TEMPLATES)} || CASE WHEN ftype IN ({_NUM_SQL}) THEN ' ' || CAST(n AS VARCHAR) ELSE '' END AS mask_text
+    FROM {_duck_incremental("true", True)} h WHERE run = 1""",
+)
+def q_strategy_hybrid_incremental(spark, sf):
+    """The rows this run adds to the mapping that the earlier run stored."""
+    occ, words = corpus_occurrences(spark, sf), custom_dictionary(spark, sf)
+    prior = stored(S.hybrid_mapping(earlier_occurrences(spark, sf, occ), CORPUS_KEYS, words).select("original", "entity_type", "mask_text"), "hybrid_prior")
+    return S.hybrid_mapping(occ, CORPUS_KEYS, words, prior=prior).select("original", "entity_type", "ordinal", "mask_text")
+
+
+@register(
+    "strategy_custom_delta",
+    f"""SELECT DISTINCT span AS original, '__CUSTOM_' || substr(sha256({D.q(SALT)} || '|' || span), 1, 8) || '__' AS replacement
+    FROM {DUCK_OCC} o WHERE span NOT IN (SELECT original FROM {DUCK_CW} c)""",
+)
+def q_strategy_custom_delta(spark, sf):
+    return S.custom_delta(corpus_occurrences(spark, sf), custom_dictionary(spark, sf), SALT)
+
+
 @register(
     "reverse_mapping",
     f"""SELECT mask_text, arg_max(original, (k1, k3)) AS original, count(DISTINCT original)::BIGINT AS n_originals
