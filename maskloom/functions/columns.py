@@ -27,7 +27,6 @@ from .patterns import (
 _PH_OPEN = "\ue000"
 _PH_CLOSE = "\ue001"
 _PH_DIGITS = "".join(chr(0xE010 + i) for i in range(16))
-PLACEHOLDER_CHARS_RE = "[\ue000-\ue01f]"
 
 ENTITY_STRUCT = "struct<span:string,type:string>"
 
@@ -101,32 +100,39 @@ def regex_entities(text, registry: Mapping[str, str] | None = None, has_digit: C
     return F.coalesce(arr, F.array().cast(f"array<{ENTITY_STRUCT}>"))
 
 
-def match_starts(text, pattern: str) -> Column:
-    """Code-point start offsets of the matches of ``pattern``.
+#: Elements that a scan inside a row keeps together.  Appending to an array copies
+#: it, so scans append within short blocks and join the blocks at the end.
+SCAN_BLOCK = 256
 
-    ``split`` gives the gaps and ``regexp_extract_all`` the matches; the start
-    of match i is the summed length of everything before it.  Never
-    ``regexp_instr``: it counts UTF-16 units.
-    """
-    jp = java_pattern(pattern)
-    gaps = F.split(_col(text), jp, -1)
-    found = F.regexp_extract_all(_col(text), F.lit(jp), 0)
-    pairs = F.transform(
-        found,
-        lambda m, i: F.struct(
-            F.char_length(F.get(gaps, i)).alias("g"), F.char_length(m).alias("m")
-        ),
-    )
-    init = F.struct(F.lit(0).alias("pos"), F.array().cast("array<int>").alias("starts"))
-    return F.aggregate(
-        pairs,
-        init,
-        lambda acc, x: F.struct(
-            (acc["pos"] + x["g"] + x["m"]).alias("pos"),
-            F.concat(acc["starts"], F.array(acc["pos"] + x["g"])).alias("starts"),
-        ),
-        lambda acc: acc["starts"],
-    )
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once per row (a lambda variable is bound once)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def blocks(arr: Column) -> Column:
+    """A non-empty array cut into runs of ``SCAN_BLOCK`` elements."""
+    last = F.floor((F.size(arr) - 1) / SCAN_BLOCK).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(arr, b * SCAN_BLOCK + 1, F.lit(SCAN_BLOCK)))
+
+
+def exclusive_sums(lens: Column) -> Column:
+    """Per element the sum of all before it."""
+
+    def scan(a: Column) -> Column:
+        return F.aggregate(
+            a,
+            F.struct(F.lit(0).alias("pos"), F.array().cast("array<int>").alias("o")),
+            lambda acc, n: F.struct((acc["pos"] + n).alias("pos"), F.concat(acc["o"], F.array(acc["pos"])).alias("o")),
+            lambda acc: acc["o"],
+        )
+
+    def by_blocks(bl: Column) -> Column:
+        totals = F.transform(bl, lambda x: F.aggregate(x, F.lit(0), lambda acc, n: acc + n))
+        shifted = lambda base: F.transform(bl, lambda x, i: F.transform(scan(x), lambda v: v + F.get(base, i)))
+        return F.flatten(let(scan(totals), shifted))
+
+    return let(lens, lambda a: F.when(F.size(a) <= SCAN_BLOCK, scan(a)).otherwise(let(blocks(a), by_blocks)))
 
 
 def token_hex(entity_type, span, salt: str) -> Column:
@@ -202,8 +208,22 @@ def fold_pairs(text, indexed: Column) -> Column:
     pair with a given span wins; a shorter earlier span can break a longer
     later one.
     """
-    phase1 = F.aggregate(indexed, _col(text), lambda acc, p: F.replace(acc, p["span"], p["ph"]))
-    return F.aggregate(indexed, phase1, lambda acc, p: F.replace(acc, p["ph"], p["repl"]))
+    t = _col(text)
+    phase1 = lambda ix: F.aggregate(ix, t, lambda acc, p: F.replace(acc, p["span"], p["ph"]))
+    return let(indexed, lambda ix: _fill_placeholders(phase1(ix), ix))
+
+
+def _fill_placeholders(text: Column, indexed: Column) -> Column:
+    """Each placeholder → the ``repl`` of its pair, in one pass over the text."""
+
+    def piece(x: Column, i: Column) -> Column:
+        close = F.instr(x, _PH_CLOSE)
+        index = F.conv(F.translate(x.substr(F.lit(1), close - 1), _PH_DIGITS, "0123456789ABCDEF"), 16, 10).cast("int")
+        filled = F.concat(F.get(indexed, index)["repl"], x.substr(close + 1, F.char_length(x)))
+        ours = x.rlike(f"^[{_PH_DIGITS}]+{_PH_CLOSE}") & (index < F.size(indexed))  # else the text's own character
+        return F.when(i == 0, x).when(ours, filled).otherwise(F.concat(F.lit(_PH_OPEN), x))
+
+    return F.array_join(F.transform(F.split(text, _PH_OPEN, -1), piece), "")
 
 
 def literal_replace(text, pairs: Column) -> Column:
@@ -211,12 +231,6 @@ def literal_replace(text, pairs: Column) -> Column:
     return fold_pairs(text, placeholder_pairs(pairs))
 
 
-def chained_replace(text, pairs: Column) -> Column:
-    """Plain chained ``replace`` (no placeholders): a→b then b→c turns a into c."""
-    pairs = F.filter(pairs, lambda p: F.char_length(p["span"]) > 0)
-    return F.aggregate(pairs, _col(text), lambda acc, p: F.replace(acc, p["span"], p["repl"]))
-
-
 def token_spans(text) -> Column:
     return F.regexp_extract_all(_col(text), F.lit(TOKEN_RE), 0)
 

@@ -12,7 +12,7 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import digit_flag, guard, guarded, posexplode_rows, regex_spans
+from ..functions.columns import digit_flag, exclusive_sums, guard, guarded, let, posexplode_rows, regex_spans
 from ..functions.patterns import REGEX_REGISTRY, TYPE_ALIASES, java_pattern
 
 ENTITY_COLUMNS = ("seq", "type", "start", "end", "span", "prob")
@@ -114,17 +114,12 @@ def detect_regex_entities(
 
 def _prefix_starts(gap_lens: Column, match_lens: Column) -> Column:
     """Linear prefix sum: starts[i] = sum(gap_lens[..i]) + sum(match_lens[..i-1])."""
-    pairs = F.zip_with(match_lens, gap_lens, lambda ml, gl: F.struct(gl.alias("g"), ml.alias("m")))
-    init = F.struct(F.lit(0).alias("pos"), F.array().cast("array<int>").alias("starts"))
-    return F.aggregate(
-        F.filter(pairs, lambda x: x["m"].isNotNull()),
-        init,
-        lambda acc, x: F.struct(
-            (acc["pos"] + x["g"] + x["m"]).alias("pos"),
-            F.concat(acc["starts"], F.array(acc["pos"] + x["g"])).alias("starts"),
-        ),
-        lambda acc: acc["starts"],
-    )
+    def starts(g: Column) -> Column:
+        # one gap more than matches: the last gap has no start
+        steps = F.filter(F.zip_with(match_lens, g, lambda m, x: m + x), lambda x: x.isNotNull())
+        return F.filter(F.zip_with(exclusive_sums(steps), g, lambda before, x: before + x), lambda x: x.isNotNull())
+
+    return let(gap_lens, starts)
 
 
 def dedup_entities(entities: DataFrame, key_cols: Sequence[str]) -> DataFrame:

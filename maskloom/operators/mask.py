@@ -49,12 +49,6 @@ def entity_column(
     return F.array_distinct(arr)
 
 
-def mask_literal_column(text: str | Column, ents: Column, salt: str) -> Column:
-    """R2 on one column: each entity's span → its token, in list order."""
-    pairs = F.transform(_tokenize(ents, salt), lambda e: F.struct(e["span"].alias("span"), e["repl"].alias("repl")))
-    return F.when(F.size(ents) == 0, C._col(text)).otherwise(C.literal_replace(text, pairs))
-
-
 # Overrides up to this many rows (counted) are inlined as a literal map.
 LITERAL_MAP_MAX = 10_000
 
@@ -211,31 +205,48 @@ def mask_spans(
             ),
         )
     )
+    def sweep(part: Column, cut: Column) -> Column:
+        """Kept entities of a run of ``order`` and the end of the last one."""
+        return F.aggregate(
+            part,
+            F.struct(cut.alias("cut"), F.array().cast(_KEPT).alias("k")),
+            lambda acc, e: F.when(
+                e["start"] >= acc["cut"],
+                F.struct(
+                    e["end"].alias("cut"),
+                    F.concat(
+                        acc["k"],
+                        F.array(F.struct(e["start"].alias("start"), e["end"].alias("end"),
+                                         e["span"].alias("span"), e["type"].alias("type"))),
+                    ).alias("k"),
+                ),
+            ).otherwise(acc),
+        )
+
     kept = F.aggregate(
-        order,
+        F.when(F.size(order) > 0, C.blocks(order)).otherwise(F.array(order)),
         F.struct(F.lit(0).alias("cut"), F.array().cast(_KEPT).alias("k")),
-        lambda acc, e: F.when(
-            e["start"] >= acc["cut"],
-            F.struct(
-                e["end"].alias("cut"),
-                F.concat(
-                    acc["k"],
-                    F.array(F.struct(e["start"].alias("start"), e["end"].alias("end"),
-                                     e["span"].alias("span"), e["type"].alias("type"))),
-                ).alias("k"),
-            ),
-        ).otherwise(acc),
+        lambda acc, part: C.let(
+            sweep(part, acc["cut"]), lambda s: F.struct(s["cut"].alias("cut"), F.concat(acc["k"], s["k"]).alias("k"))
+        ),
         lambda acc: acc["k"],
     )
     planned = withe.select(*id_cols, "_text", kept.alias("kept"))
-    prev_end = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(F.col("kept"), i - 1)["end"])
-    pieces = F.transform(
-        F.col("kept"),
-        lambda e, i: F.concat(
-            F.col("_text").substr(prev_end(i) + 1, e["start"] - prev_end(i)),
-            C.token(e["type"], e["span"], salt),
-        ),
-    )
+
+    def rebuilt(part: Column, base: Column) -> Column:
+        """Gap and token of each entity of ``part``, whose text starts at ``base``."""
+        segment = F.col("_text").substr(base + 1, F.element_at(part, -1)["end"] - base)  # cut once, then short pieces of it
+
+        def pieces(seg: Column) -> Column:
+            end = lambda i: F.when(i == 0, base).otherwise(F.get(part, i - 1)["end"])
+            return F.transform(
+                part, lambda e, i: F.concat(seg.substr(end(i) - base + 1, e["start"] - end(i)), C.token(e["type"], e["span"], salt))
+            )
+
+        return F.array_join(C.let(segment, pieces), "")
+
+    before = lambda b: F.when(b == 0, F.lit(0)).otherwise(F.get(F.col("kept"), b * C.SCAN_BLOCK - 1)["end"])
+    pieces = F.transform(C.blocks(F.col("kept")), lambda part, b: C.let(before(b), lambda base: rebuilt(part, base)))
     last_end = F.coalesce(F.element_at(F.col("kept"), -1)["end"], F.lit(0))
     tail = F.col("_text").substr(last_end + 1, F.lit(2147483647))
     return planned.select(

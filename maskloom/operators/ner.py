@@ -32,7 +32,6 @@ USER_PROMPT = (
     "end(结束位置), prob(置信度0-1)。\n\n文本：{text}\n\n要求：\n1. 返回格式必须是标准JSON数组\n"
     "2. 每个实体必须包含所有字段\n3. start和end是字符位置索引\n4. 只返回JSON数组，不要其他说明"
 )
-SUPPORTED_TYPES = ["人名", "地名", "机构名", "手机号", "身份证号", "银行卡号", "电子邮箱", "IPv4地址", "时间"]
 
 
 def chunk_array(text, max_chunk_size: int = DEFAULT_CHUNK_SIZE) -> Column:
@@ -47,13 +46,7 @@ def chunk_text(docs: DataFrame, text_col: str, id_cols: Sequence[str], max_chunk
     chunk lengths), so no window or shuffle is needed.
     """
     arr = docs.select(*id_cols, chunk_array(text_col, max_chunk_size).alias("_c"))
-    lens = F.transform(F.col("_c"), F.char_length)
-    offs = F.aggregate(
-        lens,
-        F.struct(F.lit(0).alias("pos"), F.array().cast("array<int>").alias("o")),
-        lambda acc, n: F.struct((acc["pos"] + n).alias("pos"), F.concat(acc["o"], F.array(acc["pos"])).alias("o")),
-        lambda acc: acc["o"],
-    )
+    offs = C.exclusive_sums(F.transform(F.col("_c"), F.char_length))
     with_off = arr.select(*id_cols, F.arrays_zip(F.col("_c").alias("chunk"), offs.alias("offset")).alias("_z"))
     return C.posexplode_rows(with_off, id_cols, F.col("_z"), "chunk_idx", "z").select(
         *id_cols,

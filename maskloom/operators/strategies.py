@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions.patterns import (
-    CUSTOM_PREFIX,
     DEFAULT_HASH_LEN,
     DEFAULT_REPLACEMENT,
     NUMBERED_TYPES,
@@ -274,10 +273,6 @@ def reverse_mapping(mapping: DataFrame, order_col: str = "seq") -> DataFrame:
     )
 
 
-def is_custom_token(col: Column) -> Column:
-    return col.rlike("^" + CUSTOM_PREFIX + "[0-9a-f]{8}__$")
-
-
 # ---------------------------------------------------------------------------
 # masking with a stored mapping, and M8: restoring it
 # ---------------------------------------------------------------------------
