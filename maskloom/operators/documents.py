@@ -24,18 +24,19 @@ _NONBLANK = r"(?U)\S"
 
 def mask_document(items: DataFrame, salt: str, overrides: DataFrame | None = None,
                   fields: Sequence[str] = ("text", "title"), keys: Sequence[str] = ITEM_KEYS,
-                  registry: Mapping[str, str] | None = None) -> DataFrame:
+                  registry: Mapping[str, str] | None = None, with_entities: bool = False) -> DataFrame:
     """Mask ``text`` and ``title`` of every item with the entities found
     in that field (empty and null fields stay as they are); other columns
     pass through untouched.  Item order is the key, never completion order.
+    ``with_entities`` adds the ``entities`` array of all fields.
     """
     cols = items.columns
-    out = items
+    out = items.withColumn("_all", F.array().cast(f"array<{C.ENTITY_STRUCT}>"))
     for f in fields:
-        others = [c for c in cols if c not in keys and c != f]
-        out = mask.mask_text(out, f, list(keys), salt, registry=registry, overrides=overrides,
-                             keep_cols=others, out_col=f, with_entities=False)
-    return out.select(*cols)
+        others = [c for c in out.columns if c not in keys and c != f]
+        out = mask.mask_text(out, f, list(keys), salt, registry=registry, overrides=overrides, keep_cols=others, out_col=f)
+        out = out.withColumn("_all", F.concat("_all", "entities")).drop("entities", "n_entities")
+    return out.select(*cols, *([F.array_distinct("_all").alias("entities")] if with_entities else []))
 
 
 def document_text(items: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
@@ -69,51 +70,50 @@ def paragraphs(docs: DataFrame, md_col: str, id_cols: Sequence[str]) -> DataFram
     return rows.filter(F.col("text").rlike(_NONBLANK))
 
 
-def _map_paragraphs(md: Column, fn) -> Column:
-    """Split on the separators, apply ``fn`` to non-blank paragraphs, re-join
-    with the original separators — the output is byte-identical elsewhere."""
-    parts = F.split(md, PARAGRAPH_SEP_RE, -1)
-    seps = F.regexp_extract_all(md, F.lit(PARAGRAPH_SEP_RE), 0)
-    done = F.transform(parts, lambda p: F.when(p.rlike(_NONBLANK), fn(p)).otherwise(p))
-    return F.array_join(F.zip_with(done, seps, lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), "")
-
-
-def mask_markdown(docs: DataFrame, md_col: str, id_cols: Sequence[str], salt: str,
-                  overrides: DataFrame | None = None, out_col: str = "masked") -> DataFrame:
+def mask_markdown(docs: DataFrame, md_col: str, id_cols: Sequence[str], salt: str, overrides: DataFrame | None = None,
+                  out_col: str = "masked", registry: Mapping[str, str] | None = None, with_entities: bool = False) -> DataFrame:
     """Mask each paragraph on its own; separators and blank paragraphs
     are untouched and the document is re-joined exactly.  Narrow: the
-    paragraphs never leave their row."""
-    lookup = mask.override_lookup(overrides)
-    if isinstance(lookup, DataFrame):
-        return _mask_markdown_rows(docs, md_col, id_cols, salt, lookup, out_col)
-    return docs.select(
-        *id_cols,
-        F.when(F.col(md_col).isNull(), F.col(md_col))
-        .otherwise(_map_paragraphs(F.col(md_col), lambda p: mask.mask_column(p, salt, lookup)))
-        .alias(out_col),
+    paragraphs never leave their row, unless there are collision
+    ``overrides`` (jobs pass only the documents that hold a loser).
+    ``with_entities`` adds the ``entities`` array of all paragraphs.
+    """
+    if overrides is not None:
+        out = _mask_markdown_rows(docs, md_col, id_cols, salt, overrides, out_col, registry)
+        return out if with_entities else out.drop("entities")
+    md = F.col(md_col)
+    nothing = F.array().cast(f"array<{C.ENTITY_STRUCT}>")
+    blank = lambda p: F.struct(p.alias("masked"), nothing.alias("entities"))
+    done = F.transform(
+        F.split(md, PARAGRAPH_SEP_RE, -1),
+        lambda p: F.when(p.rlike(_NONBLANK), mask.mask_parts(p, salt, registry)).otherwise(blank(p)),
     )
-
-
-def _mask_markdown_rows(docs: DataFrame, md_col: str, id_cols: Sequence[str], salt: str,
-                        overrides: DataFrame, out_col: str) -> DataFrame:
-    """R6 when the collision overrides are too many for a literal map: the
-    paragraphs (with their following separator) become rows, are masked by
-    :func:`mask.mask_text` with its join path, and are re-joined per document
-    in paragraph order.  Blank paragraphs hold no match, so masking them is a
-    no-op."""
+    rows = docs.select(*id_cols, done.alias("_done"), F.regexp_extract_all(md, F.lit(PARAGRAPH_SEP_RE), 0).alias("_seps"))
+    joined = F.array_join(F.zip_with("_done", "_seps", lambda p, s: F.concat(p["masked"], F.coalesce(s, F.lit("")))), "")
+    ents = F.coalesce(F.array_distinct(F.flatten("_done.entities")), nothing)
+    return rows.select(*id_cols, joined.alias(out_col), *([ents.alias("entities")] if with_entities else []))
+
+
+def _mask_markdown_rows(docs: DataFrame, md_col: str, id_cols: Sequence[str], salt: str, overrides: DataFrame,
+                        out_col: str, registry: Mapping[str, str] | None) -> DataFrame:
+    """R6 with collision overrides: the paragraphs (with their following
+    separator) become rows, are masked by :func:`mask.mask_text`, and are
+    re-joined per document in paragraph order.  Blank paragraphs hold no
+    match, so masking them is a no-op."""
     parts = F.split(F.col(md_col), PARAGRAPH_SEP_RE, -1)
     seps = F.regexp_extract_all(F.col(md_col), F.lit(PARAGRAPH_SEP_RE), 0)
     zipped = docs.select(*id_cols, F.arrays_zip(parts.alias("p"), seps.alias("s")).alias("_z"))
     rows = C.posexplode_rows(zipped, id_cols, F.col("_z"), "_pi", "z").select(
         *id_cols, "_pi", F.col("z.p").alias("_p"), F.coalesce(F.col("z.s"), F.lit("")).alias("_s")
     )
-    masked = mask.mask_text(rows, "_p", [*id_cols, "_pi"], salt, overrides=overrides, keep_cols=["_s"],
-                            out_col="_m", with_entities=False)
-    agg = masked.groupBy(*id_cols).agg(
-        F.array_sort(F.collect_list(F.struct("_pi", F.concat("_m", "_s").alias("x")))).alias("_a")
+    masked = mask.mask_text(rows, "_p", [*id_cols, "_pi"], salt, registry, overrides=overrides, keep_cols=["_s"], out_col="_m")
+    part = F.struct("_pi", F.concat("_m", "_s").alias("x"), F.col("entities").alias("e"))
+    agg = masked.groupBy(*id_cols).agg(F.array_sort(F.collect_list(part)).alias("_a"))
+    text = F.array_join(F.transform("_a", lambda e: e["x"]), "")
+    out = agg.select(*id_cols, text.alias(out_col), F.array_distinct(F.flatten("_a.e")).alias("entities"))
+    nulls = docs.filter(F.col(md_col).isNull()).select(
+        *id_cols, F.col(md_col).alias(out_col), F.array().cast(f"array<{C.ENTITY_STRUCT}>").alias("entities")
     )
-    out = agg.select(*id_cols, F.array_join(F.transform("_a", lambda e: e["x"]), "").alias(out_col))
-    nulls = docs.filter(F.col(md_col).isNull()).select(*id_cols, F.col(md_col).alias(out_col))
     return out.unionByName(nulls)
 
 

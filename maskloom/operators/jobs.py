@@ -6,12 +6,13 @@ once to be masked and once more only where they hold a collision loser.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
+from . import documents as docops
 from . import mask, vault
 
 
@@ -76,14 +77,65 @@ def mask_job(
         docs = with_model_entities(docs, keys, model_entities, model)
     options = {"registry": registry, "model_col": model, "custom_words": custom_words}
     first = stored(mask.mask_text(docs, text_col, keys, salt, **options), "masked_first")
+
+    def again(hits: DataFrame, over: DataFrame) -> DataFrame:
+        return mask.mask_text(docs.join(hits, keys, "left_semi"), text_col, keys, salt, overrides=over, **options)
+
+    return _settle(first, keys, salt, prior_vault, again)
+
+
+def mask_items_job(
+    items: DataFrame,
+    keys: Sequence[str],
+    salt: str,
+    fields: Sequence[str] = ("text", "title"),
+    prior_vault: DataFrame | None = None,
+    registry: Mapping[str, str] | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """The mask job over content-list items: ``(masked items, new vault rows)``.
+
+    Each field is masked with its own entities; all other columns pass through.
+    """
+    options = {"fields": fields, "keys": tuple(keys), "registry": registry, "with_entities": True}
+    first = stored(docops.mask_document(items, salt, **options), "masked_items")
+
+    def again(hits: DataFrame, over: DataFrame) -> DataFrame:
+        return docops.mask_document(items.join(hits, list(keys), "left_semi"), salt, over, **options)
+
+    masked, delta = _settle(first, list(keys), salt, prior_vault, again)
+    return masked.select(*items.columns), delta
+
+
+def mask_markdown_job(
+    docs: DataFrame,
+    id_cols: Sequence[str],
+    salt: str,
+    md_col: str = "md",
+    prior_vault: DataFrame | None = None,
+    registry: Mapping[str, str] | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """The mask job over Markdown documents: ``(ids…, masked; new vault rows)``."""
+    keys, options = list(id_cols), {"registry": registry, "with_entities": True}
+    first = stored(docops.mask_markdown(docs, md_col, keys, salt, **options), "masked_markdown")
+
+    def again(hits: DataFrame, over: DataFrame) -> DataFrame:
+        return docops.mask_markdown(docs.join(hits, keys, "left_semi"), md_col, keys, salt, over, **options)
+
+    masked, delta = _settle(first, keys, salt, prior_vault, again)
+    return masked.drop("entities"), delta
+
+
+def _settle(
+    first: DataFrame, keys: list[str], salt: str, prior_vault: DataFrame | None, again: Callable[[DataFrame, DataFrame], DataFrame]
+) -> tuple[DataFrame, DataFrame]:
+    """Plan the vault from the entities of a first pass; ``again(keys, overrides)``
+    masks the rows that hold a collision loser, which replace their first version."""
     ents = mask.entities_of(first, keys)
     assignments, delta = vault.plan_tokens(ents, salt, prior_vault)
     over = stored(vault.overrides_of(assignments, salt), "overrides")
     if over.isEmpty():
         return first, delta
-    hits = ents.join(
-        over.select(F.col("original").alias("span"), F.col("entity_type").alias("type")), ["span", "type"], "left_semi"
-    ).select(*keys).distinct()
-    hits = stored(hits, "override_hits")
-    redo = stored(mask.mask_text(docs.join(hits, keys, "left_semi"), text_col, keys, salt, overrides=over, **options), "masked_redo")
+    losers = over.select(F.col("original").alias("span"), F.col("entity_type").alias("type"))
+    hits = stored(ents.join(losers, ["span", "type"], "left_semi").select(*keys).distinct(), "override_hits")
+    redo = stored(again(hits, over), "masked_redo")
     return first.join(hits, keys, "left_anti").unionByName(redo), delta

@@ -49,10 +49,6 @@ def entity_column(
     return F.array_distinct(arr)
 
 
-# Overrides up to this many rows (counted) are inlined as a literal map.
-LITERAL_MAP_MAX = 10_000
-
-
 def _key(span: Column, entity_type: Column) -> Column:
     return F.concat_ws("\u0000", entity_type, span)
 
@@ -73,13 +69,6 @@ def token_pairs(ents: Column, salt: str, lookup: Column | None = None) -> Column
     )
 
 
-def _literal_lookup(overrides: DataFrame) -> Column:
-    rows = overrides.select("original", "entity_type", "token").collect()  # counted ≤ LITERAL_MAP_MAX
-    keys = [F.lit(f"{r['entity_type']}\u0000{r['original']}") for r in rows]
-    vals = [F.lit(r["token"]) for r in rows]
-    return F.map_from_arrays(F.array(*keys).cast("array<string>"), F.array(*vals).cast("array<string>"))
-
-
 def mask_text(
     docs: DataFrame,
     text_col: str,
@@ -100,12 +89,10 @@ def mask_text(
     dictionary (R9) is applied to each text first.
 
     ``overrides`` (original, entity_type, token) are the collision losers of
-    :func:`vault.plan_tokens`.  Counted first: up to ``LITERAL_MAP_MAX`` rows
-    they become a literal map in the projection (still no shuffle); beyond
-    that each text's overridden entities are found by a join on the small
-    exploded entity rows and the per-text map is joined back by key.
+    :func:`vault.plan_tokens`: the small exploded entity rows are joined with
+    them and each text's map is joined back by key.  This shuffles ``docs``,
+    so jobs pass only the texts that hold a loser.
     """
-    lookup = override_lookup(overrides)
     keep = [c for c in keep_cols if c not in id_cols]
     src = docs
     txt = F.col(text_col)
@@ -118,10 +105,7 @@ def mask_text(
     with_ents = src.select(*id_cols, *keep, *model, txt.alias("_text"), C.digit_flag(txt).alias("_dig")).withColumn(
         "entities", entity_column(F.col("_text"), registry, model_col, F.col("_dig"))
     ).drop("_dig")
-    if isinstance(lookup, DataFrame):
-        overrides, lookup = lookup, None
-    else:
-        overrides = None
+    lookup = None
     if overrides is not None:
         ents = C.posexplode_rows(with_ents, id_cols, F.col("entities"), "_seq", "e")
         hits = ents.join(
@@ -143,25 +127,15 @@ def mask_text(
     )
 
 
-def override_lookup(overrides: DataFrame | None):
-    """Counted decision for collision overrides: ``None`` (none), a literal
-    map column (≤ ``LITERAL_MAP_MAX`` rows), or the DataFrame itself (join path)."""
-    if overrides is None:
-        return None
-    n_over = overrides.count()
-    if n_over == 0:
-        return None
-    if n_over <= LITERAL_MAP_MAX:
-        return _literal_lookup(overrides)
-    return overrides
-
-
-def mask_column(text: Column, salt: str, lookup: Column | None = None,
-                registry: Mapping[str, str] | None = None) -> Column:
-    """R1 as one expression (detect → token → literal fold) for use inside
-    other expressions, e.g. per paragraph in ``transform``."""
-    pairs = token_pairs(entity_column(text, registry), salt, lookup)
-    return F.when(F.size(pairs) == 0, text).otherwise(C.fold_pairs(text, pairs))
+def mask_parts(text: Column, salt: str, registry: Mapping[str, str] | None = None) -> Column:
+    """R1 as one expression, ``struct<masked, entities>``, for use inside other
+    expressions (per paragraph in ``transform``); detection is evaluated once."""
+
+    def masked(ents: Column) -> Column:
+        done = F.when(F.size(ents) == 0, text).otherwise(C.fold_pairs(text, token_pairs(ents, salt)))
+        return F.struct(done.alias("masked"), ents.alias("entities"))
+
+    return C.let(C.let(C.digit_flag(text), lambda digit: entity_column(text, registry, has_digit=digit)), masked)
 
 
 def entities_of(masked: DataFrame, id_cols: Sequence[str]) -> DataFrame:

@@ -19,21 +19,10 @@ from ..functions.patterns import TOKEN_RE
 
 VAULT_SCHEMA = "token string, original string, entity_type string"
 
-# Broadcast only sides whose row count was checked under this bound.
-BROADCAST_MAX_ROWS = 2_000_000
-
-
 def empty_vault(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], VAULT_SCHEMA)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint only after a counted size check; otherwise leave the join
-    to the planner (sort-merge, AQE skew splitting).  Use for stored tables,
-    where the count is answered from file metadata."""
-    return F.broadcast(df) if df.count() <= max_rows else df
-
-
 def vault_side(df: DataFrame) -> DataFrame:
     """The vault side of a join, without a hint.
 
@@ -109,7 +98,7 @@ def resolve_collisions(delta: DataFrame, salt: str, vault: DataFrame | None = No
     dup = cur.groupBy("token").agg(F.count("*").alias("_n")).filter(F.col("_n") > 1).select("token")
     vault_tokens = vault.select("token").distinct() if vault is not None else None
     contested = dup if vault_tokens is None else dup.unionByName(cur.select("token").join(vault_tokens, "token", "left_semi"))
-    contested = broadcast_if_small(stored(contested.distinct(), "contested"))
+    contested = stored(contested.distinct(), "contested")
     # every token that is already given away: the vault's and those settled without contest
     done = stored(cur.join(contested, "token", "left_anti"), "settled")
     todo = cur.join(contested, "token", "left_semi").checkpoint(eager=True)

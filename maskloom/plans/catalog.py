@@ -544,36 +544,14 @@ ITEM_KEYS = ["doc_id", "item_idx"]
 
 
 def items_mask_job(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(original items, stored masked items, stored vault) — one content-list mask job.
-
-    Pass 1 feeds the vault from the entities of every ``text`` and ``title``;
-    pass 2 masks each field with the entities found in that field.
-    """
+    """(original items, stored masked items, stored vault) — one content-list mask job."""
     items = content_items(spark, sf)
-    fields = items.select(*ITEM_KEYS, F.array("text", "title").alias("_f"))
-    per_field = C.explode_rows(fields, ITEM_KEYS, F.col("_f"), "text").filter(F.col("text").isNotNull())
-    flagged = per_field.select(*ITEM_KEYS, "text", C.digit_flag("text").alias("_dig"))
-    ents = C.explode_rows(
-        flagged.select(*ITEM_KEYS, mask.entity_column(F.col("text"), has_digit=F.col("_dig")).alias("l")),
-        ITEM_KEYS, F.col("l"), "e",
-    ).select(*ITEM_KEYS, F.col("e.span").alias("span"), F.col("e.type").alias("type"))
-    assignments, delta = vault.plan_tokens(ents, SALT)
-    v = delta
-    m = stored(docops.mask_document(items, SALT, vault.overrides_of(assignments, SALT)), "masked_items")
-    return items, m, v
+    return items, *jobs.mask_items_job(items, ITEM_KEYS, SALT)
 
 
 def markdown_mask_job(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """(stored masked Markdown, stored vault) — one Markdown mask job."""
-    md = markdown_docs(spark, sf)
-    flagged = md.select("doc_id", "md", C.digit_flag("md").alias("_dig"))
-    ents = C.explode_rows(
-        flagged.select("doc_id", mask.entity_column(F.col("md"), has_digit=F.col("_dig")).alias("l")), ["doc_id"], F.col("l"), "e"
-    ).select("doc_id", F.col("e.span").alias("span"), F.col("e.type").alias("type"))
-    assignments, delta = vault.plan_tokens(ents, SALT)
-    v = delta
-    m = stored(docops.mask_markdown(md, "md", ["doc_id"], SALT, vault.overrides_of(assignments, SALT)), "masked_md")
-    return m, v
+    return jobs.mask_markdown_job(markdown_docs(spark, sf), ["doc_id"], SALT)
 
 
 DUCK_ITEMS = """(SELECT doc_id, (i - 1)::INTEGER AS item_idx, CASE WHEN i = 1 THEN 'title' ELSE 'text' END AS type,

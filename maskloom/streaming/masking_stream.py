@@ -16,16 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import columns as C
-from ..operators import mask, vault
-
-
-def _entities(df: DataFrame, text_col: str, id_cols: Sequence[str]) -> DataFrame:
-    flagged = df.select(*id_cols, F.col(text_col).alias("_t"), C.digit_flag(text_col).alias("_dig"))
-    arr = flagged.select(*id_cols, mask.entity_column(F.col("_t"), has_digit=F.col("_dig")).alias("_e"))
-    return C.explode_rows(arr, id_cols, F.col("_e"), "e").select(
-        *id_cols, F.col("e.span").alias("span"), F.col("e.type").alias("type")
-    )
+from ..operators import jobs, vault
 
 
 def _prior_vault(spark: SparkSession, vault_dir: str, epoch: int) -> DataFrame:
@@ -42,13 +33,11 @@ def mask_batch(spark: SparkSession, batch: DataFrame, epoch: int, text_col: str,
                salt: str, out_dir: str, vault_dir: str) -> None:
     """One micro-batch of the streaming mask job (idempotent per epoch)."""
     prior = _prior_vault(spark, vault_dir, epoch)
-    assignments, delta = vault.plan_tokens(_entities(batch, text_col, id_cols), salt, prior)
+    masked, delta = jobs.mask_job(batch, list(id_cols), salt, text_col, prior)
     delta.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic"
     ).partitionBy("epoch").parquet(vault_dir)
-    masked = mask.mask_text(batch, text_col, list(id_cols), salt, overrides=vault.overrides_of(assignments, salt),
-                            with_entities=True).select(*id_cols, "masked", "n_entities")
-    masked.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").option(
+    masked.select(*id_cols, "masked", "n_entities").withColumn("epoch", F.lit(epoch)).write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic"
     ).partitionBy("epoch").parquet(out_dir)
 
