@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
+from ..sources import files
 from . import documents as docops
 from . import mask, vault
 
@@ -125,6 +126,23 @@ def mask_markdown_job(
     return masked.drop("entities"), delta
 
 
+def mask_files(items: DataFrame, salt: str, out_dir: str, prior_vault: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Mask the items of files or saved content lists (:mod:`..sources.files`)
+    and write their Markdown and content lists; ``(masked items, new vault rows)``."""
+    masked, delta = mask_items_job(items, files.ITEM_KEYS, salt, prior_vault=prior_vault)
+    files.write_outputs(masked, out_dir, "masked")
+    return masked, delta
+
+
+def unmask_files(originals: DataFrame, saved: DataFrame, vault_rows: DataFrame, out_dir: str) -> DataFrame:
+    """Restore the saved masked items, or the original ones of a document
+    without, and write Markdown and content lists; the restored items."""
+    chosen = files.choose_unmask_source(originals, saved, ["path"]).drop("source")
+    restored = stored(docops.unmask_document(chosen, vault_rows, keys=files.ITEM_KEYS), "unmasked_items")
+    files.write_outputs(restored, out_dir, "unmasked")
+    return restored
+
+
 def _settle(
     first: DataFrame, keys: list[str], salt: str, prior_vault: DataFrame | None, again: Callable[[DataFrame, DataFrame], DataFrame]
 ) -> tuple[DataFrame, DataFrame]:

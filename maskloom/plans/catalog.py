@@ -1039,61 +1039,54 @@ def q_output_names(spark, sf):
     )
 
 
-_WRITTEN: dict[tuple[str, str], str] = {}
+def uploads(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents as uploaded files (``path, content``)."""
+    return manifest(spark, sf).where("text is not null").select("path", F.col("text").cast("binary").alias("content"))
+
+
+def mixed_uploads(spark: SparkSession, sf: str) -> DataFrame:
+    """:func:`uploads` in three encodings: an ASCII text may get two GBK characters or
+    two Latin-1 letters (no GBK) in front."""
+    ascii_only = ~F.col("text").rlike(r"[^\x00-\x7F]")
+    front = (
+        F.when(ascii_only & (F.col("doc_id") % 3 == 1), F.unhex(F.lit("D6D0CEC4")))
+        .when(ascii_only & (F.col("doc_id") % 3 == 2), F.unhex(F.lit("E9FF")))
+        .otherwise(F.lit(b""))
+    )
+    return manifest(spark, sf).where("text is not null").select("path", F.concat(front, F.col("text").cast("binary")).alias("content"))
 
 
-def written_inputs(spark: SparkSession, sf: str) -> str:
-    """The documents as uploaded files: one text file per manifest name,
-    created once per session and scale (a copy made once, then only read)."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _WRITTEN:
-        path = scratch_path(spark, "inputs")
-        FS.write_text_files(manifest(spark, sf), path, "name")
-        _WRITTEN[key] = path
-    return _WRITTEN[key]
+_DUCK_ASCII = "NOT regexp_matches(text, '[^\\x00-\\x7F]')"
+_FILE_TEXT = "regexp_replace(text, '\\r\\n?', chr(10), 'g')"
 
 
 @register(
     "scan_text_files",
-    f"SELECT name, 0 AS item_idx, 'text' AS type, text, NULL::VARCHAR AS title, 1 AS page FROM {DUCK_MANIFEST} m WHERE text IS NOT NULL",
+    f"SELECT name, 0 AS item_idx, 'text' AS type, {_FILE_TEXT} AS text, NULL::VARCHAR AS title FROM {DUCK_MANIFEST} m WHERE text IS NOT NULL",
 )
 def q_scan_text_files(spark, sf):
-    return FS.scan_text_files(spark, written_inputs(spark, sf))
+    return FS.scan_text_files(uploads(spark, sf)).select(FS.base_name(F.col("path")).alias("name"), "item_idx", "type", "text", "title")
 
 
 @register(
     "decode_bytes",
-    f"SELECT name, text || chr(10) AS text, 'utf-8' AS encoding FROM {DUCK_MANIFEST} m WHERE text IS NOT NULL",
+    f"""SELECT name, CASE WHEN {_DUCK_ASCII} AND doc_id % 3 = 1 THEN '中文' WHEN {_DUCK_ASCII} AND doc_id % 3 = 2 THEN 'éÿ' ELSE '' END || text AS text,
+      CASE WHEN {_DUCK_ASCII} AND doc_id % 3 = 1 THEN 'gbk' WHEN {_DUCK_ASCII} AND doc_id % 3 = 2 THEN 'latin-1' ELSE 'utf-8' END AS encoding
+    FROM {DUCK_MANIFEST} m WHERE text IS NOT NULL""",
 )
 def q_decode_bytes(spark, sf):
-    files = spark.read.format("binaryFile").load(written_inputs(spark, sf))
-    out = FS.decode_bytes(files)
-    return out.select(F.regexp_extract("path", r"name=([^/]*)/[^/]*$", 1).alias("name"), "text", "encoding")
+    return FS.decode_bytes(mixed_uploads(spark, sf)).select(FS.base_name(F.col("path")).alias("name"), "text", "encoding")
 
 
 def text_route_items(spark: SparkSession, sf: str) -> DataFrame:
-    """R8 front half: route the manifest, read the text-routed files."""
-    routed = FS.route_files(manifest(spark, sf)).filter(F.col("route") == "text").select("name")
-    items = FS.scan_text_files(spark, written_inputs(spark, sf))
-    return items.join(routed, "name", "left_semi")
+    """R8 front half: route by path, read the text-routed files."""
+    return FS.scan_text_files(FS.text_files(uploads(spark, sf)))
 
 
 def file_mask_job(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, str]:
-    """Route → read → mask items → render → name → write Markdown and
-    content lists.  Returns (masked items, vault, content-list folder)."""
-    items = text_route_items(spark, sf)
-    ents = C.explode_rows(items.select("name", "item_idx", mask.entity_column(F.col("text")).alias("l")),
-                          ["name", "item_idx"], F.col("l"), "e").select(F.col("e.span").alias("span"), F.col("e.type").alias("type"))
-    assignments, delta = vault.plan_tokens(ents, SALT)
-    v = delta
-    masked = stored(docops.mask_document(items, SALT, vault.overrides_of(assignments, SALT), keys=("name", "item_idx")), "masked_files")
-    names = FS.output_names(masked.select("name").distinct(), "name")
-    lists = FS.content_lists(masked, ["name"]).join(names.select("name", F.col("masked_json").alias("out_name")), "name")
+    """R8 over the uploads: (masked items, vault, output folder)."""
     out_dir = scratch_path(spark, "outputs")
-    FS.write_named(lists.select("out_name", "items"), out_dir + "/lists")
-    md = docops.render_markdown(masked, ["name"]).join(names.select("name", F.col("masked_md").alias("out_name")), "name")
-    FS.write_named(md.select("out_name", "markdown"), out_dir + "/markdown")
-    return masked, v, out_dir
+    return *jobs.mask_files(text_route_items(spark, sf), SALT, out_dir), out_dir
 
 
 _DUCK_TEXT_ROUTE = f"(SELECT * FROM {DUCK_MANIFEST} m WHERE {_DROUTE_EXT.replace('path', 'm.path')} IN ('txt', 'md') AND text IS NOT NULL)"
@@ -1107,20 +1100,19 @@ _DUCK_TEXT_ROUTE = f"(SELECT * FROM {DUCK_MANIFEST} m WHERE {_DROUTE_EXT.replace
 )
 def q_process_documents_mask(spark, sf):
     _, _, out_dir = file_mask_job(spark, sf)
-    md = spark.read.schema("out_name string, markdown string").json(out_dir + "/markdown")
-    names = FS.output_names(text_route_items(spark, sf).select("name").distinct(), "name")
-    return md.join(names.select("name", F.col("masked_md").alias("out_name")), "out_name").select("name", "out_name", "markdown")
+    md = FS.read_outputs(spark, out_dir, "markdown")
+    return md.select(FS.base_name(F.col("path")).alias("name"), "out_name", F.col("content").alias("markdown"))
 
 
 @register(
     "scan_content_list",
-    f"""SELECT {_DSTEM.replace('path', 't.path')} || '_masked_content_list.json' AS out_name, 0 AS item_idx, 'text' AS type,
-      {D.literal_fold('text', D.entity_list('text'), SALT)} AS text, NULL::VARCHAR AS title, 1 AS page
+    f"""SELECT name, 0 AS item_idx, 'text' AS type, {D.literal_fold('text', D.entity_list('text'), SALT)} AS text, NULL::VARCHAR AS title
     FROM {_DUCK_TEXT_ROUTE} t""",
 )
 def q_scan_content_list(spark, sf):
     _, _, out_dir = file_mask_job(spark, sf)
-    return FS.scan_content_list(spark, out_dir + "/lists")
+    items = FS.scan_content_list(FS.read_outputs(spark, out_dir, "lists"))
+    return items.select(FS.base_name(F.col("path")).alias("name"), "item_idx", "type", "text", "title")
 
 
 @register(
@@ -1131,16 +1123,11 @@ def q_scan_content_list(spark, sf):
 def q_process_documents_unmask(spark, sf):
     """Prefer the saved masked content list (S6), restore (U3), render (K1)."""
     _, v, out_dir = file_mask_job(spark, sf)
-    lists = FS.scan_content_list(spark, out_dir + "/lists").withColumn(
-        "name", F.regexp_replace("out_name", "_masked_content_list\\.json$", "")
-    )
-    originals = text_route_items(spark, sf).withColumn("stem", FS.stem(F.col("name")))
-    lists = lists.join(originals.select("name", "stem").withColumnRenamed("name", "_n").withColumnRenamed("stem", "name"), "name").drop("name").withColumnRenamed("_n", "name")
-    chosen = FS.choose_unmask_source(originals.drop("stem"), lists.drop("out_name"), ["name"])
-    restored = docops.unmask_document(chosen.drop("source"), v, keys=("name", "item_idx"))
-    names = FS.output_names(restored.select("name").distinct(), "name")
-    md = docops.render_markdown(restored, ["name"]).join(names.select("name", F.col("unmasked_md").alias("out_name")), "name")
-    return md.select("name", "out_name", "markdown")
+    saved = FS.scan_content_list(FS.read_outputs(spark, out_dir, "lists"))
+    back = scratch_path(spark, "restored")
+    jobs.unmask_files(text_route_items(spark, sf), saved, v, back)
+    md = FS.read_outputs(spark, back, "markdown")
+    return md.select(FS.base_name(F.col("path")).alias("name"), "out_name", F.col("content").alias("markdown"))
 
 
 _DUCK_FILE_MASKED = D.literal_fold('text', D.entity_list('text'), SALT)
@@ -1148,37 +1135,74 @@ _DUCK_FILE_MASKED = D.literal_fold('text', D.entity_list('text'), SALT)
 
 @register(
     "choose_unmask_source",
-    f"""SELECT {_DSTEM} AS name, 0 AS item_idx, 'text' AS type, CASE WHEN saved THEN {_DUCK_FILE_MASKED} ELSE text END AS text,
-      NULL::VARCHAR AS title, 1 AS page, CASE WHEN saved THEN 'masked_list' ELSE 'original' END AS source
+    f"""SELECT name, 0 AS item_idx, 'text' AS type, CASE WHEN saved THEN {_DUCK_FILE_MASKED} ELSE {_FILE_TEXT} END AS text,
+      NULL::VARCHAR AS title, CASE WHEN saved THEN 'masked_list' ELSE 'original' END AS source
     FROM (SELECT *, {_DROUTE_EXT} IN ('txt', 'md') AS saved FROM {DUCK_MANIFEST} m WHERE text IS NOT NULL) t""",
 )
 def q_choose_unmask_source(spark, sf):
     """Saved masked lists exist for every text-routed file; the rest of the
     manifest falls back to its original items."""
     _, _, out_dir = file_mask_job(spark, sf)
-    lists = FS.scan_content_list(spark, out_dir + "/lists").withColumn(
-        "name", F.regexp_replace("out_name", "_masked_content_list\\.json$", "")
-    ).drop("out_name")
-    originals = FS.scan_text_files(spark, written_inputs(spark, sf)).withColumn("name", FS.stem(F.col("name")))
-    return FS.choose_unmask_source(originals, lists, ["name"])
+    saved = FS.scan_content_list(FS.read_outputs(spark, out_dir, "lists"))
+    chosen = FS.choose_unmask_source(FS.scan_text_files(uploads(spark, sf)), saved, ["path"])
+    return chosen.select(FS.base_name(F.col("path")).alias("name"), "item_idx", "type", "text", "title", "source")
 
 
 @register(
     "write_content_list",
-    f"""SELECT {_DSTEM.replace('path', 't.path')} || '_masked_content_list.json' AS out_name, 1::BIGINT AS n_items, 'text' AS types,
-      {_DUCK_FILE_MASKED} AS texts, NULL::VARCHAR AS title, 1::BIGINT AS pages
+    f"""SELECT {_DSTEM.replace('path', 't.path')} || '_masked_content_list.json' AS out_name, name, 1::BIGINT AS n_items,
+      'type,text' AS keys, {_DUCK_FILE_MASKED} AS text
     FROM {_DUCK_TEXT_ROUTE} t""",
 )
 def q_write_content_list(spark, sf):
-    """The written content-list dataset read back, one row an output name."""
+    """The written content lists read back, one row a document."""
     _, _, out_dir = file_mask_job(spark, sf)
-    lists = spark.read.schema(f"out_name string, items {FS.ITEM_SCHEMA}").json(out_dir + "/lists")
+    lists = FS.read_outputs(spark, out_dir, "lists").withColumn("l", F.from_json("content", "array<map<string,string>>"))
     return lists.select(
-        "out_name", F.size("items").cast("long").alias("n_items"), F.array_join("items.type", ",").alias("types"), F.array_join("items.text", "\n").alias("texts"),
-        F.col("items.title")[0].alias("title"), F.aggregate("items.page", F.lit(0).cast("long"), lambda a, x: a + x).alias("pages"),
+        "out_name", FS.base_name(F.col("path")).alias("name"), F.size("l").cast("long").alias("n_items"),
+        F.array_join(F.map_keys(F.get("l", F.lit(0))), ",").alias("keys"), F.get("l", F.lit(0))["text"].alias("text"),
     )
 
 
+def saved_lists(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document as a saved content list with keys the masker does not know; all
+    files have one stem."""
+    item = F.struct("type", "text", "title", "page", F.array(F.col("item_idx"), F.lit(7)).alias("bbox"), F.struct(F.col("doc_id").alias("id")).alias("meta"))
+    items = content_items(spark, sf).select("doc_id", F.struct("item_idx", item.alias("i")).alias("s"))
+    lists = items.groupBy("doc_id").agg(F.array_sort(F.collect_list("s")).alias("a"))
+    path = F.concat(F.lit("/in/"), F.col("doc_id").cast("string"), F.lit("/report.json"))
+    return lists.select(path.alias("path"), F.to_json("a.i").alias("content"))
+
+
+def _list_rows(lists: DataFrame) -> DataFrame:
+    schema = "array<struct<type:string,text:string,title:string,page:int,bbox:array<int>,meta:struct<id:long>>>"
+    rows = lists.select("path", "out_name", F.posexplode(F.from_json("content", schema)).alias("item_idx", "i"))
+    return rows.select("path", "out_name", "item_idx", "i.type", "i.text", "i.title", "i.page", F.to_json("i.bbox").alias("bbox"), F.col("i.meta.id").alias("meta_id"))
+
+
+def _duck_lists(items: str, operation: str) -> str:
+    return f"""SELECT '/in/' || doc_id || '/report.json' AS path, 'report_{operation}_content_list.json' AS out_name, item_idx, type, text, title,
+      page, '[' || item_idx || ',7]' AS bbox, doc_id AS meta_id FROM {items} m"""
+
+
+@register("process_lists_mask", _duck_lists(DUCK_MASKED_ITEMS, "masked"))
+def q_process_lists_mask(spark, sf):
+    """R8 over saved content lists: many items a document, unknown keys, one stem."""
+    out_dir = scratch_path(spark, "outputs")
+    jobs.mask_files(FS.scan_content_list(saved_lists(spark, sf)), SALT, out_dir)
+    return _list_rows(FS.read_outputs(spark, out_dir, "lists"))
+
+
+@register("process_lists_unmask", _duck_lists(DUCK_ITEMS, "unmasked"))
+def q_process_lists_unmask(spark, sf):
+    """U5 over the masked lists of :func:`q_process_lists_mask`."""
+    out_dir, back = scratch_path(spark, "outputs"), scratch_path(spark, "restored")
+    originals = FS.scan_content_list(saved_lists(spark, sf))
+    _, v = jobs.mask_files(originals, SALT, out_dir)
+    jobs.unmask_files(originals, FS.scan_content_list(FS.read_outputs(spark, out_dir, "lists")), v, back)
+    return _list_rows(FS.read_outputs(spark, back, "lists"))
+
+
 @register("write_entities", f'SELECT doc_id, seq AS pos, type, start, "end", span, prob FROM {DUCK_DEDUP} d')
 def q_write_entities(spark, sf):
     """Per-document NER results written as JSON and read back."""

@@ -1,16 +1,19 @@
 """File sources and sinks (inventory S1–S6, K2–K4, K7).
 
-Input files are read with Spark's own readers (``text`` with ``wholetext``,
-``binaryFile``) and routed by a projection over the manifest.  Outputs are
-not one file per document (billions of tiny files would swamp any
-distributed file system): each sink is one JSON-Lines dataset whose rows
-carry the output name (``out_name``) next to the content, written in
-parallel by every task.
+A folder of files is read as ``(path, content)`` rows; the file type is a
+function of the path, so unwanted files are left out at listing.  ``path`` is
+the key of a document all the way: files of one stem stay apart.  Items are
+rows ``path, item_idx, type, text, title, keys, extra``, where ``keys`` is the
+order of the item's JSON keys and ``extra`` its other values as they are.
+
+Outputs are not one file per document (billions of tiny files would swamp any
+distributed file system): each sink is one JSON-Lines dataset of ``path,
+out_name, content``, written in parallel by every task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,7 +27,8 @@ from ..functions.patterns import (
     TEXT_EXTENSIONS,
 )
 
-ITEM_SCHEMA = "array<struct<type:string,text:string,title:string,page:int>>"
+OUTPUT_SCHEMA = "path string, out_name string, content string"
+ITEM_KEYS = ("path", "item_idx")
 
 
 # ---------------------------------------------------------------------------
@@ -112,65 +116,88 @@ def output_names(manifest: DataFrame, path_col: str = "path") -> DataFrame:
 # readers
 # ---------------------------------------------------------------------------
 
-def write_text_files(docs: DataFrame, path: str, name_col: str, text_col: str = "text") -> None:
-    """One text file per input name (``name_col`` becomes the directory)."""
-    docs.filter(F.col(text_col).isNotNull()).select(F.col(text_col).alias("value"), name_col).write.mode(
-        "overwrite"
-    ).partitionBy(name_col).text(path)
+def read_files(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
+    """``path, content`` of every file under ``folder`` whose base name fits ``glob``.
+    Spark lists no files of zero bytes, so an empty file gives no row."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
+    return reader.load(folder).select("path", "content")
 
 
-def scan_text_files(spark: SparkSession, path: str, name_col: str = "name") -> DataFrame:
-    """Every file is one text; wrapped as a one-item content list
-    ``(name, item_idx=0, type='text', text, page=1)``.  The writer's final
-    line break is removed so the text round-trips exactly."""
-    raw = spark.read.text(path, wholetext=True)
-    return raw.select(
-        F.col(name_col).cast("string").alias(name_col),
-        F.lit(0).alias("item_idx"),
-        F.lit("text").alias("type"),
-        F.regexp_replace("value", r"\n\z", "").alias("text"),
-        F.lit(None).cast("string").alias("title"),
-        F.lit(1).alias("page"),
-    )
+def text_files(files: DataFrame) -> DataFrame:
+    """The files of the text route."""
+    return files.where(route(F.col("path")) == "text")
+
+
+def read_text_files(spark: SparkSession, folder: str) -> DataFrame:
+    """``path, content`` of the text-routed files of a folder.
 
+    A text route needs one of the extensions somewhere in the base name (S3),
+    so files without are not even opened.
+    """
+    any_case = ["".join(f"[{c}{c.upper()}]" for c in e) for e in TEXT_EXTENSIONS]
+    return text_files(read_files(spark, folder, "*{" + ",".join(any_case) + "}*"))
 
-def _decode_fallback(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        out = []
-        for b in pdf["content"]:
-            text = None
-            for enc in ("gbk", "gb2312"):
-                try:
-                    text = bytes(b).decode(enc)
-                    break
-                except UnicodeDecodeError:
-                    continue
-            out.append(text if text is not None else bytes(b).decode("latin-1"))
-        yield pd.DataFrame({"path": pdf["path"], "text": out, "encoding": ["fallback"] * len(out)})
+
+def _decode_fallback(content: pd.Series) -> pd.DataFrame:
+    def decode(b):
+        if b is None:
+            return None, None
+        for enc in ("gbk", "gb2312"):
+            try:
+                return bytes(b).decode(enc), enc
+            except UnicodeDecodeError:
+                continue
+        return bytes(b).decode("latin-1"), "latin-1"
+
+    return pd.DataFrame([decode(b) for b in content], columns=["text", "encoding"])
 
 
 def decode_bytes(files: DataFrame) -> DataFrame:
-    """UTF-8 when the bytes are valid UTF-8 (JVM-side), else GBK, then
-    GB2312, then Latin-1 (which never fails).  Only the non-UTF-8 rows go
-    through the Arrow-batched Python step."""
+    """``path, text, encoding``: UTF-8 when the bytes are valid UTF-8 (in the
+    JVM), else GBK, then GB2312, then Latin-1 (which never fails).  One pass;
+    the Python step gets a null for every UTF-8 row.  Null content: no text."""
     as_str = F.col("content").cast("string")
     valid = F.is_valid_utf8(as_str)
-    ok = files.filter(valid).select("path", as_str.alias("text"), F.lit("utf-8").alias("encoding"))
-    rest = files.filter(~valid).select("path", "content").mapInPandas(
-        _decode_fallback, "path string, text string, encoding string"
+    rest = F.pandas_udf(_decode_fallback, "text string, encoding string")(F.when(~valid, F.col("content")))
+    rows = files.select("path", F.when(valid, as_str).alias("_utf8"), rest.alias("_rest"))
+    return rows.select(
+        "path", F.coalesce("_utf8", "_rest.text").alias("text"),
+        F.when(F.col("_utf8").isNotNull(), F.lit("utf-8")).otherwise(F.col("_rest.encoding")).alias("encoding"),
+    )
+
+
+def scan_text_files(files: DataFrame) -> DataFrame:
+    """Every file (``path, content``) is one text, wrapped as a one-item
+    content list.  Line breaks become ``\\n`` (text mode); a final one stays."""
+    return decode_bytes(files).where(F.col("text").isNotNull()).select(
+        "path",
+        F.lit(0).alias("item_idx"),
+        F.lit("text").alias("type"),
+        F.regexp_replace("text", r"\r\n?", "\n").alias("text"),
+        F.lit(None).cast("string").alias("title"),
+        F.array(F.lit("type"), F.lit("text")).alias("keys"),
+        F.create_map(F.lit("type"), F.lit("text").cast("variant")).alias("extra"),
     )
-    return ok.unionByName(rest)
 
 
-def scan_content_list(spark: SparkSession, path: str, key_col: str = "out_name") -> DataFrame:
-    """Saved content lists (one JSON array of items per output name) →
-    item rows; the array position is the item order (never reader order)."""
-    raw = spark.read.schema(f"{key_col} string, items {ITEM_SCHEMA}").json(path)
-    items = raw.select(key_col, F.posexplode_outer("items").alias("item_idx", "it")).filter(F.col("item_idx").isNotNull())
+def scan_content_list(lists: DataFrame) -> DataFrame:
+    """Saved content lists (``path, content``: a JSON array of items) → item
+    rows; the array position is the item order (never reader order).
+
+    Every key of an item survives a write: ``extra`` holds all values but a
+    ``text`` or ``title`` string.  Content that is no JSON array ends the job.
+    """
+    parsed = lists.select("path", F.from_json(F.col("content").cast("string"), "array<map<string,variant>>", {"mode": "FAILFAST"}).alias("_l"))
+    items = parsed.select("path", F.posexplode_outer("_l").alias("item_idx", "it")).where(F.col("item_idx").isNotNull())
+
+    def string(key: str) -> Column:
+        v = F.element_at("it", F.lit(key))
+        return F.when(F.schema_of_variant(v) == "STRING", F.variant_get(v, "$", "string"))
+
+    items = items.select("path", "item_idx", "it", string("type").alias("type"), string("text").alias("text"), string("title").alias("title"))
+    masked_away = lambda k: ((k == "text") & F.col("text").isNotNull()) | ((k == "title") & F.col("title").isNotNull())
     return items.select(
-        key_col, F.col("item_idx").cast("int").alias("item_idx"),
-        F.col("it.type").alias("type"), F.col("it.text").alias("text"),
-        F.col("it.title").alias("title"), F.col("it.page").alias("page"),
+        "path", "item_idx", "type", "text", "title", F.map_keys("it").alias("keys"), F.map_filter("it", lambda k, v: ~masked_away(k)).alias("extra")
     )
 
 
@@ -187,12 +214,41 @@ def choose_unmask_source(originals: DataFrame, masked_lists: DataFrame, key: Seq
 # K3, K4: writers
 # ---------------------------------------------------------------------------
 
-def content_lists(items: DataFrame, key: Sequence[str]) -> DataFrame:
-    """K3 body: per document the array of its items in order (a document's
+def item_json(items: DataFrame) -> Column:
+    """An item as it was read, with the ``text`` and ``title`` of its row."""
+
+    def value(k: Column) -> Column:
+        return (
+            F.when((k == "text") & F.col("text").isNotNull(), F.col("text").cast("variant"))
+            .when((k == "title") & F.col("title").isNotNull(), F.col("title").cast("variant"))
+            .otherwise(F.element_at("extra", k))
+        )
+
+    return F.coalesce(F.to_json(F.map_from_arrays("keys", F.transform("keys", value))), F.lit("null"))
+
+
+def content_lists(items: DataFrame, key: Sequence[str] = ("path",)) -> DataFrame:
+    """K3 body: per document the JSON array of its items in order (a document's
     items are one source document)."""
-    s = F.struct(F.col("item_idx"), F.struct("type", "text", "title", "page").alias("it"))
-    agg = items.groupBy(*key).agg(F.array_sort(F.collect_list(s)).alias("_a"))
-    return agg.select(*key, F.transform("_a", lambda x: x["it"]).alias("items"))
+    rows = items.select(*key, F.struct("item_idx", item_json(items).alias("j")).alias("_s"))
+    agg = rows.groupBy(*key).agg(F.array_sort(F.collect_list("_s")).alias("_a"))
+    return agg.select(*key, F.concat(F.lit("["), F.array_join("_a.j", ","), F.lit("]")).alias("content"))
+
+
+def write_outputs(items: DataFrame, folder: str, operation: str) -> None:
+    """K2/K3: ``folder/lists`` and ``folder/markdown`` of ``path, out_name, content``;
+    ``operation`` is ``masked`` or ``unmasked``."""
+    from ..operators.documents import render_markdown
+
+    markdown = render_markdown(items, ["path"]).withColumnRenamed("markdown", "content")
+    for kind, rows, end in (("lists", content_lists(items), "_content_list.json"), ("markdown", markdown, ".md")):
+        out_name = F.concat(stem(F.col("path")), F.lit(f"_{operation}{end}"))
+        write_named(rows.select("path", out_name.alias("out_name"), "content"), f"{folder}/{kind}")
+
+
+def read_outputs(spark: SparkSession, folder: str, kind: str) -> DataFrame:
+    """``path, out_name, content`` that :func:`write_outputs` wrote (``lists`` or ``markdown``)."""
+    return spark.read.schema(OUTPUT_SCHEMA).json(f"{folder}/{kind}")
 
 
 def write_named(df: DataFrame, path: str) -> None:
