@@ -38,7 +38,8 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     from maskloom.session import local_session
-    from maskloom.plans.catalog import QUERIES
+    from maskloom.operators import restore
+    from maskloom.plans.catalog import CORPUS_KEYS, QUERIES, mask_run
 
     spark = local_session(cpus, max(8, 2 * cpus), app="maskloom-bench")
     # warm the JVM (JIT, regex and codegen caches) on the smallest data set (not timed)
@@ -49,6 +50,11 @@ def main() -> None:
             break
     QUERIES["mask_text"](spark, warm_dir).write.format("noop").mode("overwrite").save()
     timings: dict[str, float] = {}
+    # restore alone: the masked texts and the vault of a mask job are stored first (not timed)
+    masked, vault_rows = mask_run(spark, sf_dir)
+    t0 = time.perf_counter()
+    restore.unmask_text(masked, "masked", CORPUS_KEYS, vault_rows).write.format("noop").mode("overwrite").save()
+    timings["restore_only"] = round(time.perf_counter() - t0, 3)
     for name in HEADLINE:
         if name not in QUERIES:
             continue
@@ -60,7 +66,7 @@ def main() -> None:
         json.dumps(
             {
                 "metric": "headline_total",
-                "value": round(sum(timings.values()), 3),
+                "value": round(sum(timings[k] for k in HEADLINE if k in timings), 3),
                 "unit": "sec",
                 "queries": timings,
                 "sf": float(m.group(1)) if m else sf_dir,

@@ -135,34 +135,27 @@ def exclusive_sums(lens: Column) -> Column:
     return let(lens, lambda a: F.when(F.size(a) <= SCAN_BLOCK, scan(a)).otherwise(let(blocks(a), by_blocks)))
 
 
-def token_hex(entity_type, span, salt: str) -> Column:
-    """First 8 hex chars of sha256(salt|type|span)."""
+def token_hex(entity_type, span, salt: str, hex_len: int | None = None) -> Column:
+    """First hex chars (8 if not told) of sha256(salt|type|span)."""
     key = F.concat_ws("|", F.lit(salt), _col(entity_type), _col(span))
-    return F.substring(F.sha2(key, 256), 1, TOKEN_HEX_LEN)
+    return F.substring(F.sha2(key, 256), 1, hex_len or TOKEN_HEX_LEN)
 
 
-def token(entity_type, span, salt: str) -> Column:
-    """``__MASKED_{lower(type)}_{8 hex}__`` — deterministic, so no lookup is needed."""
-    return F.concat(
-        F.lit(TOKEN_PREFIX),
-        F.lower(_col(entity_type)),
-        F.lit("_"),
-        token_hex(entity_type, span, salt),
-        F.lit(TOKEN_SUFFIX),
-    )
+def _token(entity_type, hashed: Column) -> Column:
+    return F.concat(F.lit(TOKEN_PREFIX), F.lower(_col(entity_type)), F.lit("_"), hashed, F.lit(TOKEN_SUFFIX))
+
+
+def token(entity_type, span, salt: str, hex_len: int | None = None) -> Column:
+    """``__MASKED_{lower(type)}_{8 hex}__`` — deterministic, so no lookup is needed.
+    Another ``hex_len`` is outside the token grammar."""
+    return _token(entity_type, token_hex(entity_type, span, salt, hex_len))
 
 
-def token_with_nonce(entity_type, span, salt: str, nonce) -> Column:
+def token_with_nonce(entity_type, span, salt: str, nonce, hex_len: int | None = None) -> Column:
     """Token of a collision loser: the hash input gets ``#nonce`` appended."""
     key = F.concat_ws("|", F.lit(salt), _col(entity_type), _col(span))
     key = F.concat(key, F.lit("#"), _col(nonce).cast("string"))
-    return F.concat(
-        F.lit(TOKEN_PREFIX),
-        F.lower(_col(entity_type)),
-        F.lit("_"),
-        F.substring(F.sha2(key, 256), 1, TOKEN_HEX_LEN),
-        F.lit(TOKEN_SUFFIX),
-    )
+    return _token(entity_type, F.substring(F.sha2(key, 256), 1, hex_len or TOKEN_HEX_LEN))
 
 
 def custom_token(span, salt: str | None = None) -> Column:

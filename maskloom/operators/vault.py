@@ -81,7 +81,9 @@ def vault_delta(entities: DataFrame, salt: str, vault: DataFrame) -> DataFrame:
     return new.select(C.token(F.col("entity_type"), F.col("original"), salt).alias("token"), "original", "entity_type")
 
 
-def resolve_collisions(delta: DataFrame, salt: str, vault: DataFrame | None = None, max_rounds: int = 64) -> DataFrame:
+def resolve_collisions(
+    delta: DataFrame, salt: str, vault: DataFrame | None = None, max_rounds: int = 64, hex_len: int | None = None
+) -> DataFrame:
     """V8 (fix): re-token collision losers until every token is unique.
 
     Contested tokens are found with an aggregate (a token used by more than
@@ -90,7 +92,8 @@ def resolve_collisions(delta: DataFrame, salt: str, vault: DataFrame | None = No
     pair that sorts first on (type, original) keeps it unless the vault
     already has it, the others get ``hash(salt|type|span#k)`` in round k.
     Each round's rows are checkpointed (reliable, shared folder).  The round
-    bound only guards against a broken hash; it raises, never truncates.
+    bound raises, never truncates: a type has ``16 ** hex_len`` tokens (2^32 at
+    the 8 digits of the token grammar) and cannot hold more distinct values.
     """
     from ..session import stored
 
@@ -113,7 +116,7 @@ def resolve_collisions(delta: DataFrame, salt: str, vault: DataFrame | None = No
         done = done.unionByName(winners)
         taken = taken.unionByName(winners.select("token"))
         todo = losers.select(
-            C.token_with_nonce(F.col("entity_type"), F.col("original"), salt, F.lit(k)).alias("token"),
+            C.token_with_nonce(F.col("entity_type"), F.col("original"), salt, F.lit(k), hex_len).alias("token"),
             "original",
             "entity_type",
         ).checkpoint(eager=True)

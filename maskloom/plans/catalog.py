@@ -250,6 +250,60 @@ def q_token_collisions(spark, sf):
     )
 
 
+#: Digits of a token in the collision queries: few enough that values collide.
+SHORT_HEX = 5
+_DUCK_SHORT = f"SELECT DISTINCT original, entity_type, {D.token('entity_type', 'original', SALT, SHORT_HEX)} AS token FROM {DUCK_VAULT} v"
+
+
+def short_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """Every distinct entity of the corpus with a token of ``SHORT_HEX`` digits."""
+    new = corpus_vault(spark, sf).select("original", "entity_type").distinct()
+    return new.withColumn("token", C.token("entity_type", "original", SALT, SHORT_HEX))
+
+
+@register(
+    "token_collisions_short",
+    f"SELECT token, count(*)::BIGINT AS n_rows, count(*)::BIGINT AS n_entities FROM ({_DUCK_SHORT}) s GROUP BY token HAVING count(*) > 1",
+)
+def q_token_collisions_short(spark, sf):
+    """The audit where tokens do collide."""
+    return vault.token_collisions(short_tokens(spark, sf)).withColumn("n_rows", F.col("n_rows").cast("long")).withColumn(
+        "n_entities", F.col("n_entities").cast("long")
+    )
+
+
+def _duck_rounds(rounds: int) -> str:
+    """The rounds of :func:`vault.resolve_collisions`, unrolled; entities of ``documents`` are the earlier vault."""
+    old = f"SELECT token, original, entity_type FROM ({_DUCK_SHORT}) a SEMI JOIN {_DUCK_DOC_VAULT} d ON a.original = d.original AND a.entity_type = d.entity_type"
+    ctes = [
+        f"old AS MATERIALIZED (SELECT * FROM ({old}) o QUALIFY row_number() OVER (PARTITION BY token ORDER BY entity_type, original) = 1)",
+        f"new AS MATERIALIZED (SELECT s.* FROM ({_DUCK_SHORT}) s ANTI JOIN old ON s.original = old.original AND s.entity_type = old.entity_type)",
+        "contested AS MATERIALIZED (SELECT token FROM new GROUP BY token HAVING count(*) > 1 UNION SELECT new.token FROM new SEMI JOIN old ON new.token = old.token)",
+        "win0 AS MATERIALIZED (SELECT token, original, entity_type FROM new ANTI JOIN contested ON new.token = contested.token)",
+        "todo1 AS MATERIALIZED (SELECT token, original, entity_type FROM new SEMI JOIN contested ON new.token = contested.token)",
+        "taken1 AS MATERIALIZED (SELECT token FROM old UNION ALL SELECT token FROM win0)",
+    ]
+    for k in range(1, rounds + 1):
+        ctes += [
+            f"win{k} AS MATERIALIZED (SELECT * FROM todo{k} ANTI JOIN taken{k} ON todo{k}.token = taken{k}.token QUALIFY row_number() OVER (PARTITION BY token ORDER BY entity_type, original) = 1)",
+            f"todo{k + 1} AS MATERIALIZED (SELECT {D.token('entity_type', 'original', SALT, SHORT_HEX, k)} AS token, original, entity_type FROM todo{k} ANTI JOIN win{k} ON todo{k}.original = win{k}.original AND todo{k}.entity_type = win{k}.entity_type)",
+            f"taken{k + 1} AS MATERIALIZED (SELECT token FROM taken{k} UNION ALL SELECT token FROM win{k})",
+        ]
+    return "WITH " + ", ".join(ctes) + " ".join([" SELECT * FROM win0", *(f"UNION ALL SELECT * FROM win{k}" for k in range(1, rounds + 1))])
+
+
+@register("resolve_collisions", _duck_rounds(8))
+def q_resolve_collisions(spark, sf):
+    """New entities of the corpus against the vault of an earlier run over ``documents``."""
+    every = stored(short_tokens(spark, sf), "short_tokens")
+    seen = mask.entities_of(mask.mask_text(documents(spark, sf), "text", ["doc_id"], SALT), ["doc_id"])
+    known = every.join(vault.distinct_entities(seen), ["original", "entity_type"], "left_semi")
+    first = F.min_by(F.struct("original", "entity_type"), F.struct("entity_type", "original"))
+    old = stored(known.groupBy("token").agg(first.alias("e")).select("token", "e.original", "e.entity_type"), "short_vault")
+    new = every.join(old, ["original", "entity_type"], "left_anti")
+    return vault.resolve_collisions(new, SALT, old, hex_len=SHORT_HEX)
+
+
 # ---------------------------------------------------------------------------
 # U1, U2, U6, V4, V5 restore operators
 # ---------------------------------------------------------------------------

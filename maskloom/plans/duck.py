@@ -66,8 +66,9 @@ def offset_entity_list(t: str, types=None) -> str:
     return parts[0] if len(parts) == 1 else f"list_concat({', '.join(parts)})"
 
 
-def token(ty: str, span: str, salt: str) -> str:
-    return f"'__MASKED_' || lower({ty}) || '_' || substr(sha256({q(salt)} || '|' || {ty} || '|' || {span}), 1, 8) || '__'"
+def token(ty: str, span: str, salt: str, hex_len: int = 8, nonce: int | None = None) -> str:
+    key = f"{q(salt)} || '|' || {ty} || '|' || {span}" + ("" if nonce is None else f" || '#{nonce}'")
+    return f"'__MASKED_' || lower({ty}) || '_' || substr(sha256({key}), 1, {hex_len}) || '__'"
 
 
 def literal_fold(t: str, ents: str, salt: str) -> str:

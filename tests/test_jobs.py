@@ -47,7 +47,7 @@ def test_failing_model(spark):
 
 def test_custom_words_go_first_and_colliding_tokens_are_told_apart(spark, monkeypatch):
     plain = C.token_hex
-    monkeypatch.setattr(C, "token_hex", lambda t, s, salt: F.rpad(F.substring(plain(t, s, salt), 1, 1), 8, "0"))
+    monkeypatch.setattr(C, "token_hex", lambda t, s, salt, *_: F.rpad(F.substring(plain(t, s, salt), 1, 1), 8, "0"))
     text = " ".join(f"10.0.0.{i}" for i in range(40))
     docs = spark.createDataFrame([(1, "secret " + text), (2, "nothing")], "doc_id long, text string")
     words = spark.createDataFrame([("secret", "code", 1)], "original string, replacement string, priority long")
