@@ -15,7 +15,7 @@ not fit take part in the next round.  A single row above ``limit`` cannot be
 split; its shard reaches the full address and is marked ``oversize``.
 
 Nulls: a null key is the key ``''``; a null text has no bytes.  Repeated rows
-are placed each.  Empty input: no shards.  Extra columns pass through.
+are placed each.  Empty input: no shards.  Extra columns are written with their row.
 """
 
 from __future__ import annotations
@@ -88,12 +88,8 @@ def directory(rows: DataFrame, limit: int = LIMIT) -> DataFrame:
     return out
 
 
-def assign_shards(docs: DataFrame, limit: int = LIMIT, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: ``key, bytes, shard, depth, shard_bytes, shard_rows, oversize``."""
-    rows = docs.select(
-        F.col(key), F.coalesce(F.octet_length(F.col(text).cast("string")), F.lit(0)).cast("long").alias("bytes"), F.monotonically_increasing_id().alias("place")
-    )
-    rows = stored(rows.select(key, "bytes", address(F.col(key), F.col("place")).alias("address")), "shard_rows")
+def _bucketed(rows: DataFrame, limit: int) -> DataFrame:
+    """``rows`` with the columns of their buckets; each row meets the directory in its one cell."""
     buckets = directory(rows, limit)
     out = None
     for top in sorted(r.cell_depth for r in buckets.select("cell_depth").distinct().collect()):
@@ -102,9 +98,32 @@ def assign_shards(docs: DataFrame, limit: int = LIMIT, key: str = "doc_id", text
         out = part if out is None else out.unionByName(part)
     if out is None:
         out = rows.withColumn("cell", F.lit(0).cast("long")).join(buckets.drop("cell_depth"), "cell")
-    return out.select(key, "bytes", "shard", F.col("depth").cast("long").alias("depth"), "shard_bytes", "shard_rows", "oversize")
+    return out
 
 
-def write_shards(docs: DataFrame, assigned: DataFrame, path: str, key: str = "doc_id") -> None:
-    """Write ``docs`` (unique ``key``) as one folder a shard; a shard is one task's work by its byte limit."""
-    docs.join(assigned.select(key, "shard"), key).repartition("shard").write.partitionBy("shard").parquet(path)
+def assign_shards(docs: DataFrame, limit: int = LIMIT, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per row of ``docs``: ``key, bytes, shard, depth, shard_bytes, shard_rows, oversize``."""
+    rows = docs.select(
+        F.col(key), F.coalesce(F.octet_length(F.col(text).cast("string")), F.lit(0)).cast("long").alias("bytes"), F.monotonically_increasing_id().alias("place")
+    )
+    rows = stored(rows.select(key, "bytes", address(F.col(key), F.col("place")).alias("address")), "shard_rows")
+    return _bucketed(rows, limit).select(key, "bytes", "shard", F.col("depth").cast("long").alias("depth"), "shard_bytes", "shard_rows", "oversize")
+
+
+def shard_rows(docs: DataFrame, limit: int = LIMIT, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Every row of ``docs`` once, all its columns and ``shard``.  Rows meet their
+    bucket by their place, never by the key, so null and repeated keys stay whole."""
+    if "shard" in map(str.lower, docs.columns):
+        raise ValueError("a column is named like the shard")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.monotonically_increasing_id().alias("place"))
+    size = F.coalesce(F.octet_length(F.col("row")[text].cast("string")), F.lit(0)).cast("long")
+    rows = stored(rows.select("row", "place", size.alias("bytes"), address(F.col("row")[key], F.col("place")).alias("address")), "shard_rows")
+    bucket = _bucketed(rows.select("place", "bytes", "address"), limit)
+    return rows.select("row", "place").join(bucket.select("place", "shard"), "place").select("row.*", "shard")
+
+
+def write_shards(docs: DataFrame, path: str, limit: int = LIMIT, key: str = "doc_id", text: str = "text") -> None:
+    """Write the rows of ``docs`` as one folder a shard, ``shard=b`` and its bits (so that they are
+    read back as text, also none); a shard is one task's work by its byte limit."""
+    rows = shard_rows(docs, limit, key, text).withColumn("shard", F.concat(F.lit("b"), "shard"))
+    rows.repartition("shard").write.partitionBy("shard").parquet(path)

@@ -447,6 +447,23 @@ def test_sharding_splits_a_hot_key(spark, odd, none):
     assert sharding.assign_shards(none).count() == 0
 
 
+def test_written_shards_hold_every_row_once(spark, odd, tmp_path):
+    hot = spark.range(300).selectExpr("7L doc_id", "lpad(id, 100, 'x') text")
+    plain = odd.select("doc_id", "text").where("length(text) < 1000 or text is null").unionByName(hot)
+    sharding.write_shards(plain, str(tmp_path / "plain"), 2000)
+    got = spark.read.parquet(str(tmp_path / "plain")).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter(map(tuple, plain.collect()))
+    size = Counter()
+    for r in got:
+        size[r.shard] += len((r.text or "").encode())
+    assert len(size) >= 15 and max(size.values()) <= 2000
+    assert not any(a != b and b.startswith(a) for a in size for b in size)
+    sharding.write_shards(odd, str(tmp_path / "one"))
+    back = spark.read.parquet(str(tmp_path / "one"))
+    assert {r.shard for r in back.collect()} == {"b"} and back.columns == [*odd.columns, "shard"]
+    assert Counter(map(tuple, back.drop("shard").collect())) == Counter(map(tuple, odd.collect()))
+
+
 # -- 10 line dedup ------------------------------------------------------------
 
 def naive_lines(rows):
