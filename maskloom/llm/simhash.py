@@ -87,19 +87,21 @@ def _fingerprints(data: np.ndarray, offsets: np.ndarray, k: int) -> np.ndarray:
 def _fingerprint_batches(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = text_bytes(batch.column(1))
+            *own, text = batch.columns
+            data, offsets = text_bytes(text)
             out = np.zeros(batch.num_rows, np.uint64)
             for i, j in pieces(offsets):
                 out[i:j] = _fingerprints(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*own, pa.array(out.view(np.int64))], [*batch.schema.names[:-1], "fp"])
 
     return run
 
 
-def fingerprints(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """``doc_id, fp`` (the 64 bits as a long), one row per document."""
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return d.mapInArrow(_fingerprint_batches(k), "doc_id long, fp long")
+def fingerprints(docs: DataFrame, k: int = SHINGLE, *places: str) -> DataFrame:
+    """``doc_id``, the long columns ``places`` and ``fp`` (the 64 bits as a long), one row per document."""
+    ids = ["doc_id", *places]
+    d = docs.select(*(F.col(c).cast("long").alias(c) for c in ids), F.col("text").cast("string").alias("text"))
+    return d.mapInArrow(_fingerprint_batches(k), "".join(f"{c} long, " for c in ids) + "fp long")
 
 
 # ---------------------------------------------------------------------------
@@ -254,42 +256,36 @@ def components(edges: DataFrame) -> DataFrame:
     return cur.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def _components(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-    """``doc_id, fp`` of the rows; ``fp, root, component_id`` of the distinct fingerprints."""
-    fps = stored(fingerprints(docs, k), "fingerprints")
-    distinct = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct_fps")
+def _components(fps: DataFrame, rank: Column) -> DataFrame:
+    """``fp, root, first`` of the distinct fingerprints: ``first`` is the smallest ``rank`` of the component's rows."""
+    distinct = stored(fps.groupBy("fp").agg(F.min(rank).alias("low")), "distinct_fps")
     root = components(links(distinct))
     member = stored(
         distinct.join(root, distinct["fp"] == root["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root")), "members"
     )
     # only components of several fingerprints need their smallest document gathered
     many = member.where(F.col("root") != F.col("fp")).select("root").distinct()
-    lows = member.join(many, "root", "left_semi").groupBy("root").agg(F.min("low").alias("component_id"))
-    named = member.join(lows, "root", "left").select("fp", "root", F.coalesce("component_id", "low").alias("component_id"))
-    return fps, stored(named, "components")
+    lows = member.join(many, "root", "left_semi").groupBy("root").agg(F.min("low").alias("first"))
+    named = member.join(lows, "root", "left").select("fp", "root", F.coalesce("first", "low").alias("first"))
+    return stored(named, "components")
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     """``doc_id, fp, component_id``, one row per row of ``docs``."""
-    fps, named = _components(docs, k)
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    fps = stored(fingerprints(docs, k), "fingerprints")
+    named = _components(fps, F.col("doc_id"))
+    return fps.join(named, "fp").select("doc_id", "fp", F.col("first").alias("component_id"))
 
 
 def one_per_group(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """The rows of ``docs`` that represent their component: its smallest doc_id,
-    once.  A component without any doc_id keeps one of its rows."""
-    fps, named = _components(docs, k)
-    keep = named.where("component_id is not null").select(F.col("component_id").alias("__keep")).distinct()
-    kept = docs.join(keep.hint("merge"), docs["doc_id"] == F.col("__keep"), "left_semi")  # as many rows as documents
-    if not fps.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])  # a doc_id that several rows share
-    if not named.where("component_id is null").isEmpty():
-        bare = docs.where("doc_id is null").withColumn("__row", F.monotonically_increasing_id())
-        bare = stored(bare, "rows_without_id")
-        mine = fingerprints(bare.select(F.col("__row").alias("doc_id"), "text"), k)
-        one = mine.join(named.where("component_id is null"), "fp").groupBy("root").agg(F.min(mine["doc_id"]).alias("__row"))
-        kept = kept.unionByName(bare.join(one.select("__row"), "__row", "left_semi").drop("__row"))
-    return kept
+    """The rows of ``docs`` that represent their component: of its rows with the
+    smallest doc_id the first in the input (rows without doc_id come last).  Rows
+    are told apart by their place, so a doc_id may be shared within and across components."""
+    rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "rows_by_place")
+    fps = stored(fingerprints(rows, k, "__row"), "fingerprints")
+    named = _components(fps, F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__row"))
+    keep = named.select("first.__row").distinct()
+    return rows.join(keep.hint("merge"), "__row", "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))  # as many rows as documents
 
 
 def fingerprint_hex(fp: Column) -> Column:

@@ -334,6 +334,15 @@ def test_one_per_group(docs, odd):
     assert bare.count() == 2 and bare.columns == odd.columns
 
 
+def test_one_per_group_with_shared_ids(spark):
+    """A doc_id shared by rows of different components: each component keeps one row of its own."""
+    far = [(7, " ".join(hashlib.md5(f"{i}.{k}".encode()).hexdigest() for k in range(40))) for i in range(30)]
+    near = [(d, far[0][1]) for d in (7, 8, None)] + [(9, far[1][1]), (3, far[2][1]), (3, far[2][1])]
+    got = simhash.one_per_group(spark.createDataFrame(far + near, "doc_id long, text string")).collect()
+    assert {i == low for i, _, low in naive_components([(i, naive_fp(t)) for i, (_, t) in enumerate(far)])} == {True}  # no two are near
+    assert Counter(map(tuple, got)) == Counter([*far[:2], (3, far[2][1]), *far[3:]])
+
+
 def test_xxh64_equals_library():
     rng = np.random.default_rng(7)
     data = rng.integers(0, 256, 20000).astype(np.uint8)
