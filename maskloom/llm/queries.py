@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, hmm_lm, line_dedup, packing, pii, quality, sharding, simhash, token_ids, toxicity
+from . import decontaminate, grace_dedup, hmm_lm, line_dedup, packing, pii, quality, sharding, simhash, spelling, token_ids, toxicity, whitening
 from .common import table
 
 
@@ -58,6 +58,18 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "text", "n_units", "n_removed", F.array_join(spans, ",").alias("removed"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op12_grace_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grace_dedup.copies(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -68,7 +80,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_best_fit_packing, op2_quality_rules, op3_decontamination, op4_token_ids, op5_pii, op6_simhash, op7_toxicity, op8_hmm_lm,
-        op9_extendible_shards, op10_line_dedup, pipeline,
+        op9_extendible_shards, op10_line_dedup, op11_embedding_whitening, op12_grace_dedup, op13_spelling_variants, pipeline,
     )
 }
 _KEY = sharding.KEY_BITS
@@ -107,6 +119,25 @@ SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ba
   NOT base_failed AND coalesce({' AND '.join(_inside(s) for s in quality.SLACK)}, false) AS kept
 FROM m LEFT JOIN t ON t.lang IS NOT DISTINCT FROM m.lang AND t.source IS NOT DISTINCT FROM m.source"""
 
+#: crc32 of an id, a colon and a run of letters up to U+00FF, over UTF-8 bytes.
+_CRC_TABLE = "list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i))"
+_UTF8 = "flatten(list_transform(string_split(s, ''), lambda ch: CASE WHEN ord(ch) < 128 THEN [ord(ch)::BIGINT] ELSE [(192 + (ord(ch) >> 6))::BIGINT, (128 + (ord(ch) & 63))::BIGINT] END))"
+_CRC = f"xor(list_reduce({_UTF8}, lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)"
+_SPELLING_SQL = rf"""WITH RECURSIVE tab AS MATERIALIZED (SELECT {_CRC_TABLE} AS tab),
+r AS (SELECT doc_id::VARCHAR AS id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{spelling.UPPER}', '{spelling.LOWER}'), '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents),
+k AS MATERIALIZED (SELECT run, id || ':' || run AS s, count(*) AS m FROM r WHERE length(run) >= {spelling.MIN_LENGTH} GROUP BY ALL),
+c AS (SELECT run, m, {_CRC} AS h FROM k, tab),
+v AS (SELECT CASE WHEN h % {spelling.DELETE_ONE_IN} = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, m FROM c),
+w AS MATERIALIZED (SELECT word, sum(m)::BIGINT AS n FROM v WHERE length(word) >= {spelling.MIN_LENGTH} GROUP BY word HAVING sum(m) >= {spelling.MIN_COUNT}),
+d AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w) x),
+e AS (SELECT a.word, b.word AS near, b.n FROM d a JOIN d b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT d.word, w.word, w.n FROM d JOIN w ON w.word = d.rest UNION SELECT w.word, d.word, d.n FROM d JOIN w ON w.word = d.rest),
+b AS (SELECT word, count(*)::BIGINT AS n_near, max(n) AS top, arg_min(near, (-n, near)) AS near FROM e GROUP BY word),
+f AS MATERIALIZED (SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN top >= {spelling.FORM_RATIO} * w.n THEN near END AS form, CASE WHEN top >= {spelling.FORM_RATIO} * w.n THEN top END::BIGINT AS form_n
+  FROM w LEFT JOIN b USING (word)),
+way AS (SELECT word, coalesce(form, word) AS root FROM f UNION SELECT way.word, f.form FROM way JOIN f ON f.word = way.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, way.root, f.n, f.n_near, f.form_n FROM f JOIN way USING (word) JOIN f AS g ON g.word = way.root WHERE g.form IS NULL"""
+
 #: DuckDB twins, for tables whose doc_id is unique and whose rows all fit a shard.
 ORACLE: dict[str, str] = {
     "op2_quality_rules": _QUALITY_SQL,
@@ -135,4 +166,7 @@ r AS (SELECT *, CASE WHEN len(ws) >= {line_dedup.MIN_WORDS} THEN row_number() OV
 g AS (SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (n = 1), '') AS text, count(*)::BIGINT AS n_units, (count(*) FILTER (n > 1))::BIGINT AS n_removed,
   coalesce(string_agg(a || ':' || (a + length(line)) || ':' || kept, ',' ORDER BY k) FILTER (n > 1), '') AS removed FROM r GROUP BY doc_id)
 SELECT d.doc_id, g.text, coalesce(g.n_units, 0)::BIGINT AS n_units, coalesce(g.n_removed, 0)::BIGINT AS n_removed, coalesce(g.removed, '') AS removed FROM documents d LEFT JOIN g USING (doc_id)""",
+    "op12_grace_dedup": """WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER w AS keep_id, (count(*) OVER w)::BIGINT AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256 FROM t WINDOW w AS (PARTITION BY t)""",
+    "op13_spelling_variants": _SPELLING_SQL,
 }
