@@ -9,11 +9,12 @@ touches at most one of two disjoint pivots, so of two near words the one whose
 prefix ends first in rank has a pivot in the other's prefix.
 
 Position limits: the edit lies on one side of the surviving pivot, so up to
-its end, or from its start on, the words are equal, and their lengths differ by
-one at most.  The index therefore holds each prefix gram under (its text up to
-the gram's end, length) and (its text from the gram's start on, length); the
-pivots probe both with three lengths.  The place and the gram are part of such
-a key.  Pairs are verified with the edit distance.
+its end, or from its start on, the words are equal, their lengths differ by one
+at most, and of the rest of the word one half is equal as well.  The index
+therefore holds each prefix gram under hashes of (the text up to the gram's end
+or from its start on, a half of the rest, the length), and the pivots probe it
+with three lengths.  The gram and its place are part of such a key.  Pairs that
+meet are verified with the edit distance.
 
 Defined cases: a null text has no words, a null id counts as an empty one;
 equal rows count as often as they occur; an empty table gives no rows; other
@@ -109,22 +110,38 @@ def signatures(vocabulary: DataFrame) -> DataFrame:
     return vocabulary.select("word", "n").mapInArrow(run, "word string, n long, ends string, prefix array<int>, pivot array<int>")
 
 
-def _sides(word: Column, at: Column) -> Column:
-    """The text up to the gram's end and from its start on, marked by side."""
-    return F.array(F.concat(F.lit("<"), F.substring(word, F.lit(1), at + 2)), F.concat(F.lit(">"), F.substring(word, at + 1, F.char_length(word))))
+def _keys(word: Column, at: Column, size: Column) -> Column:
+    """Hashes under which a word and a near one of ``size`` characters meet if the pivot at ``at`` survives.
+
+    The edit is behind the gram or before it (side "<" or ">"), in the rest
+    of the word; cut in two as the other word's rest is, at least one half of
+    the rest is equal too.
+    """
+    n = F.char_length(word)
+    sides = [
+        ("<", F.substring(word, F.lit(1), at + 2), F.substring(word, at + 3, n), n - at - 2),
+        (">", F.substring(word, at + 1, n), F.substring(word, F.lit(1), at), at),
+    ]
+    out = []
+    for side, equal, rest, here in sides:
+        there = here + size - n  # length of the other word's rest
+        front = F.floor(there / 2).cast("int")
+        back = there - front
+        out.append(F.xxhash64(F.lit(side + "front"), equal, F.substring(rest, F.lit(1), front), size))
+        out.append(F.xxhash64(F.lit(side + "back"), equal, F.substring(rest, F.greatest(here - back, F.lit(0)) + 1, back), size))
+    return F.array(*out)
 
 
 def near_pairs(vocabulary: DataFrame) -> DataFrame:
     """``word, n, near, near_n``: every pair of near words, in both directions."""
     s = stored(signatures(vocabulary), "spelling_signatures")
     size = F.char_length("word")
-    index = s.select("word", "n", "ends", size.alias("size"), F.explode("prefix").alias("at")).select(
-        F.col("word").alias("near"), F.col("n").alias("near_n"), F.col("ends").alias("near_ends"), "size", F.explode(_sides(F.col("word"), F.col("at"))).alias("side")
-    )
-    probes = s.select("word", "n", "ends", F.explode("pivot").alias("at"), F.explode(F.array(size - 1, size, size + 1)).alias("size")).select(
-        "word", "n", "ends", "size", F.explode(_sides(F.col("word"), F.col("at"))).alias("side")
+    index = s.select("word", "n", "ends", F.explode("prefix").alias("at")).select(
+        F.col("word").alias("near"), F.col("n").alias("near_n"), F.col("ends").alias("near_ends"), F.explode(_keys(F.col("word"), F.col("at"), size)).alias("key")
     )
-    met = probes.join(index, ["side", "size"]).where((F.col("near_ends") >= F.col("ends")) & (F.col("word") != F.col("near")))
+    probes = s.select("word", "n", "ends", F.explode("pivot").alias("at")).select("word", "n", "ends", "at", F.explode(F.array(size - 1, size, size + 1)).alias("size"))
+    probes = probes.select("word", "n", "ends", F.explode(_keys(F.col("word"), F.col("at"), F.col("size"))).alias("key"))
+    met = probes.join(index, "key").where((F.col("near_ends") >= F.col("ends")) & (F.col("word") != F.col("near")))
     near = met.where(F.levenshtein("word", "near", 1) == 1).select("word", "n", "near", "near_n")
     back = near.select(F.col("near").alias("word"), F.col("near_n").alias("n"), F.col("word").alias("near"), F.col("n").alias("near_n"))
     return near.unionByName(back).distinct()
