@@ -42,6 +42,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def boxed(docs: DataFrame) -> DataFrame:
+    """``row`` (all columns of ``docs`` but the text) and ``text``: beside them no name
+    that an operator adds can meet one of the caller's."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    return docs.select(F.struct(*others, F.lit(0).alias("__boxed")).alias("row"), F.col("text").cast("string").alias("text"))
+
+
+def unboxed(rows: DataFrame, docs: DataFrame, *added: str, **changed: Column) -> DataFrame:
+    """The rows of :func:`boxed` with the columns of ``docs`` in their order, some ``changed``, and ``added`` ones."""
+    text = F.col("text").cast(docs.schema["text"].dataType)
+    own = [changed.get(c, text if c == "text" else F.col("row")[c]).alias(c) for c in docs.columns]
+    return rows.select(*own, *added)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` evaluated once per row.
 

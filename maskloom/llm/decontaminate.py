@@ -32,7 +32,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SpanHash, lower_ascii, pieces, text_bytes, word_spans
+from .common import SpanHash, boxed, lower_ascii, pieces, text_bytes, unboxed, word_spans
 
 SPAN = 10
 K = 5
@@ -214,4 +214,4 @@ def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that share no window with the benchmark, columns as they are."""
-    return scan_benchmark(docs, benchmark, **options).where("n_hit = 0").select(*docs.columns)
+    return scan_benchmark(boxed(docs), benchmark, **options).where("n_hit = 0").transform(unboxed, docs)

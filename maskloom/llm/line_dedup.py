@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
-from .common import lower_ascii, not_space, pieces, text_bytes, word_spans
+from .common import boxed, lower_ascii, not_space, pieces, text_bytes, unboxed, word_spans
 from .xxh64 import xxh64_spans
 
 MIN_WORDS = 5
@@ -108,17 +108,26 @@ def _cut_batches(text_at: int, gone_at: int):
     return run
 
 
+_ADDED = ("n_units", "removed", "n_removed")
+
+
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with repeated lines cut from ``text``, and ``n_units``, ``n_removed`` and
-    ``removed`` (``unit, start, end, kept_doc`` of each, in order; offsets in the original text)."""
-    rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "line_rows")
+    ``removed`` (``unit, start, end, kept_doc`` of each, in order; offsets in the original text).
+
+    An own column with one of these three names is refused with an error;
+    columns of any other name pass through."""
+    clash = [c for c in docs.columns if c.lower() in _ADDED]
+    if clash:
+        raise ValueError(f"documents have columns {clash} that the result adds; rename them")
+    rows = stored(boxed(docs).withColumns({"doc_id": F.col("row.doc_id"), "__row": F.monotonically_increasing_id()}), "line_rows")
     gone = (
-        repeated_lines(rows.withColumnRenamed("__row", "row").select("row", "doc_id", "text"), min_words)
+        repeated_lines(rows.select(F.col("__row").alias("row"), "doc_id", "text"), min_words)
         .groupBy(F.col("row").alias("__row")).agg(F.sort_array(F.collect_list(F.struct("unit", "start", "end", "kept_doc"))).alias("removed"))
     )
-    both = rows.join(gone, "__row", "left").drop("__row")
-    both = both.withColumn("text", F.col("text").cast("string"))
+    both = rows.select("row", "text", "__row").join(gone, "__row", "left").drop("__row")
     schema = both.withColumn("n_units", F.lit(0).cast("long")).schema
     out = both.mapInArrow(_cut_batches(both.columns.index("text"), both.columns.index("removed")), schema)
     none = F.array().cast(both.schema["removed"].dataType)
-    return out.withColumns({"removed": F.coalesce("removed", none), "n_removed": F.when(F.col("removed").isNull(), 0).otherwise(F.size("removed")).cast("long")})
+    out = out.withColumns({"removed": F.coalesce("removed", none), "n_removed": F.when(F.col("removed").isNull(), 0).otherwise(F.size("removed")).cast("long")})
+    return unboxed(out, docs, *_ADDED)

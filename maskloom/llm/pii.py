@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import boxed, unboxed
+
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "account", "iban", "url")
 CUES = ("account", "acct", "api_key", "apikey", "iban", "passport", "passwd", "password", "secret", "ssn", "token")
@@ -94,7 +96,7 @@ def _ip(t: str, at: int) -> tuple[int, int, bool] | None:
             return None
         parts.append(t[e + 1 : nxt])
         e = nxt
-    return at, e, all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in parts)
+    return at, e, all(len(p := x.lstrip("0")) <= 3 and int(p or "0") <= 255 for x in parts)
 
 
 def _card(t: str, at: int) -> tuple[int, int, bool] | None:
@@ -155,25 +157,34 @@ def _iban(t: str, at: int) -> tuple[int, int] | None:
     return None
 
 
-def _url(t: str, at: int, low: int) -> tuple[int, int] | None:
+def _url(t: str, at: int, low: int, read: list[int]) -> tuple[int, int] | None:
+    """``read`` keeps the end of the last stretch that was read and its end less
+    trailing signs, so that no stretch is read again for a later "://" in it."""
     a = at
     while a > low and t[a - 1] in _SCHEME:
         a -= 1
     while a < at and not t[a].isalpha():
         a += 1
-    e, n = at + 3, len(t)
-    while e < n and t[e] not in _URL_STOP:
-        e += 1
-    while e > at + 3 and t[e - 1] in _TRAILING:
-        e -= 1
-    host = t[at + 3 : e].split("/", 1)[0]
-    return (a, e) if a < at and "." in host.strip(".") else None
+    if a == at:
+        return None
+    if at + 3 > read[0]:
+        e, n = at + 3, len(t)
+        while e < n and t[e] not in _URL_STOP:
+            e += 1
+        read[0] = e
+        while e > at + 3 and t[e - 1] in _TRAILING:
+            e -= 1
+        read[1] = e
+    e = max(at + 3, read[1])
+    slash = t.find("/", at + 3, e)
+    return (a, e) if "." in t[at + 3 : slash if slash >= 0 else e].strip(".") else None
 
 
 def find_spans(text: str, automaton: ahocorasick.Automaton) -> list[tuple[str, int, int]]:
     """``(kind, start, end)`` by kind as listed, then start."""
     found: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
     free = dict.fromkeys(KINDS, 0)
+    read = [0, 0]
 
     def take(kind: str, a: int, e: int, ok: bool = True) -> None:
         free[kind] = e
@@ -197,7 +208,7 @@ def find_spans(text: str, automaton: ahocorasick.Automaton) -> list[tuple[str, i
             if at >= free["phone"] and (m := _phone(text, at)):
                 take("phone", *m)
         elif anchor == "url":
-            if at >= free["url"] and (m := _url(text, at, free["url"])):
+            if at >= free["url"] and (m := _url(text, at, free["url"], read)):
                 take("url", *m)
         elif not (at and text[at - 1].isalnum()) and (v := _behind_cue(text, last + 1)) is not None:
             if text[at : last + 1].lower() == "iban" and v >= free["iban"] and (m := _iban(text, v)):
@@ -223,7 +234,7 @@ def masked(text: str, spans: list[tuple[str, int, int]]) -> str:
 _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
 
 
-def _find_batches(text_at: int, replace: bool):
+def _find_batches(text_at: int, replace: bool, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = _automaton()
         for batch in batches:
@@ -233,15 +244,18 @@ def _find_batches(text_at: int, replace: bool):
             if replace:
                 columns[text_at] = pa.array([masked(t, s) if s else t for t, s in zip(texts, spans)], batch.schema.field(text_at).type)
             rows = [[{"kind": k, "start": a, "end": e} for k, a, e in s] for s in spans]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(rows, pa.list_(_SPAN))], [*batch.schema.names, "pii_spans"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(rows, pa.list_(_SPAN))], [*batch.schema.names, name])
 
     return run
 
 
-def with_spans(docs: DataFrame, replace: bool = False) -> DataFrame:
-    """``docs`` with ``pii_spans``; with ``replace`` the spans are masked in ``text``."""
-    schema = docs.withColumn("pii_spans", F.lit(None).cast("array<struct<kind:string,start:int,end:int>>")).schema
-    return docs.mapInArrow(_find_batches(docs.columns.index("text"), replace), schema)
+def with_spans(docs: DataFrame, replace: bool = False, name: str = "pii_spans") -> DataFrame:
+    """``docs`` with the spans as column ``name``, which no own column may have (an
+    error says so); with ``replace`` the spans are masked in ``text``."""
+    if name.lower() in (c.lower() for c in docs.columns):
+        raise ValueError(f"documents have a column {name!r}; choose another name for the spans")
+    schema = docs.withColumn(name, F.lit(None).cast("array<struct<kind:string,start:int,end:int>>")).schema
+    return docs.mapInArrow(_find_batches(docs.columns.index("text"), replace, name), schema)
 
 
 def _joined(spans: Column) -> Column:
@@ -265,8 +279,10 @@ def pii_digest(docs: DataFrame) -> DataFrame:
 
 
 def mask_pii(docs: DataFrame) -> DataFrame:
-    """``docs`` with personal data masked and ``n_chars`` (if any) brought up to date."""
-    out = with_spans(docs, replace=True).drop("pii_spans")
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    """``docs`` with personal data masked and ``n_chars`` (if any) brought up to date;
+    all other columns, whatever their names, as they are."""
+    out = with_spans(boxed(docs), replace=True)
+    if "n_chars" not in docs.columns:
+        return unboxed(out, docs)
+    kind = docs.schema["n_chars"].dataType
+    return unboxed(out, docs, n_chars=F.when(F.col("text").isNull(), F.col("row.n_chars")).otherwise(F.length("text").cast(kind)))

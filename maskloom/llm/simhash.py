@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
-from .common import lower_ascii, not_space, pieces, text_bytes, word_spans
+from .common import boxed, lower_ascii, not_space, pieces, text_bytes, unboxed, word_spans
 from .xxh64 import xxh64_spans
 
 SHINGLE = 3
@@ -281,11 +281,11 @@ def one_per_group(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     """The rows of ``docs`` that represent their component: of its rows with the
     smallest doc_id the first in the input (rows without doc_id come last).  Rows
     are told apart by their place, so a doc_id may be shared within and across components."""
-    rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "rows_by_place")
+    rows = stored(boxed(docs).select("row", "text", F.col("row.doc_id").alias("doc_id"), F.monotonically_increasing_id().alias("__row")), "rows_by_place")
     fps = stored(fingerprints(rows, k, "__row"), "fingerprints")
     named = _components(fps, F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__row"))
     keep = named.select("first.__row").distinct()
-    return rows.join(keep.hint("merge"), "__row", "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))  # as many rows as documents
+    return rows.join(keep.hint("merge"), "__row", "left_semi").transform(unboxed, docs)  # as many rows as documents
 
 
 def fingerprint_hex(fp: Column) -> Column:

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
-from .common import SpanHash, doc_bucket, lower_ascii, pieces, text_bytes, text_codes
+from .common import SpanHash, boxed, doc_bucket, lower_ascii, pieces, text_bytes, text_codes, unboxed
 
 NGRAMS = (4, 6)
 BITS = 18
@@ -186,6 +186,4 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not rejected, columns as they are."""
-    d = docs.withColumnRenamed("score", "__score") if "score" in docs.columns else docs
-    kept = score(d, train(docs, labels)).where(F.col("score") < THRESHOLD).drop("score")
-    return kept.withColumnRenamed("__score", "score") if "score" in docs.columns else kept
+    return score(boxed(docs), train(docs, labels)).where(F.col("score") < THRESHOLD).transform(unboxed, docs)
