@@ -88,26 +88,27 @@ def pivots(prefix: list[tuple[int, int]], count: int = PIVOTS) -> list[int]:
 
 
 def signatures(vocabulary: DataFrame) -> DataFrame:
-    """``word, n, ends, prefix, pivot``: ``ends`` is the rank (held, gram) of the prefix's
-    last gram as text that sorts like it, ``prefix`` and ``pivot`` are positions from 0."""
-    ranks = vocabulary.sparkSession.sparkContext.broadcast({r["gram"]: r["held"] for r in gram_ranks(vocabulary).collect()})  # at most 8,100 rows
+    """``word, n, ends, prefix, pivot``: ``ends`` is the rank of the prefix's last gram, the
+    rarest gram being 0, ``prefix`` and ``pivot`` are positions from 0."""
+    grams = sorted((r["held"], r["gram"]) for r in gram_ranks(vocabulary).collect())  # at most 8,100 rows
+    ranks = vocabulary.sparkSession.sparkContext.broadcast({g: (k, h) for k, (h, g) in enumerate(grams)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = ranks.value
+        rank = ranks.value
         for b in batches:
             ends, prefixes, chosen = [], [], []
             for w in b.column(0).to_pylist():
-                grams = [w[i : i + 2] for i in range(len(w) - 1)]
-                last = sorted((held[g], g) for g in grams)[PREFIX - 1]
-                prefix = [i for i, g in enumerate(grams) if (held[g], g) <= last]
-                ends.append(f"{last[0]:019d}{last[1]}")
+                grams = [rank[w[i : i + 2]] for i in range(len(w) - 1)]
+                last = sorted(grams)[PREFIX - 1]
+                prefix = [i for i, g in enumerate(grams) if g <= last]
+                ends.append(last[0])
                 prefixes.append(prefix)
                 # the prefix beyond three positions only repeats its last gram, which weighs no less
-                chosen.append(pivots([(i, held[grams[i]]) for i in prefix]))
+                chosen.append(pivots([(i, grams[i][1]) for i in prefix]))
             lists = pa.list_(pa.int32())
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(ends), pa.array(prefixes, lists), pa.array(chosen, lists)], ["word", "n", "ends", "prefix", "pivot"])
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(ends, pa.int32()), pa.array(prefixes, lists), pa.array(chosen, lists)], ["word", "n", "ends", "prefix", "pivot"])
 
-    return vocabulary.select("word", "n").mapInArrow(run, "word string, n long, ends string, prefix array<int>, pivot array<int>")
+    return vocabulary.select("word", "n").mapInArrow(run, "word string, n long, ends int, prefix array<int>, pivot array<int>")
 
 
 def _keys(word: Column, at: Column, size: Column) -> Column:
@@ -142,9 +143,10 @@ def near_pairs(vocabulary: DataFrame) -> DataFrame:
     probes = s.select("word", "n", "ends", F.explode("pivot").alias("at")).select("word", "n", "ends", "at", F.explode(F.array(size - 1, size, size + 1)).alias("size"))
     probes = probes.select("word", "n", "ends", F.explode(_keys(F.col("word"), F.col("at"), F.col("size"))).alias("key"))
     met = probes.join(index, "key").where((F.col("near_ends") >= F.col("ends")) & (F.col("word") != F.col("near")))
-    near = met.where(F.levenshtein("word", "near", 1) == 1).select("word", "n", "near", "near_n")
-    back = near.select(F.col("near").alias("word"), F.col("near_n").alias("n"), F.col("word").alias("near"), F.col("n").alias("near_n"))
-    return near.unionByName(back).distinct()
+    here, there = F.struct("word", "n"), F.struct(F.col("near").alias("word"), F.col("near_n").alias("n"))
+    near = met.where(F.levenshtein("word", "near", 1) == 1).select(F.least(here, there).alias("a"), F.greatest(here, there).alias("b")).distinct()
+    both = near.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p"))
+    return both.select("p.a.word", "p.a.n", F.col("p.b.word").alias("near"), F.col("p.b.n").alias("near_n"))
 
 
 def variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
