@@ -6,7 +6,9 @@ so whole plans stay inside the JVM (no Python in the row path).
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,15 +20,18 @@ from .patterns import (
     TOKEN_PREFIX,
     TOKEN_RE,
     TOKEN_SUFFIX,
+    WIDE_DIGIT,
     java_pattern,
 )
 
-# Private-use code points for transient placeholders.  Spans are substrings of
-# the input text, so as long as the input holds none of these characters no
-# span can match across or inside a placeholder.
+# Private-use code points for transient placeholders.  A text that holds one of
+# them itself is escaped first, with its spans (see :func:`escaped`), so that no
+# span can match across or inside a placeholder and none is taken for one.
 _PH_OPEN = "\ue000"
 _PH_CLOSE = "\ue001"
+_PH_ESCAPE = "\ue002"
 _PH_DIGITS = "".join(chr(0xE010 + i) for i in range(16))
+_PH_OWN = _PH_OPEN + _PH_CLOSE + _PH_ESCAPE + _PH_DIGITS
 
 ENTITY_STRUCT = "struct<span:string,type:string>"
 
@@ -90,13 +95,21 @@ def regex_entities(text, registry: Mapping[str, str] | None = None, has_digit: C
     runs once per text rather than once per type.
     """
     registry = REGEX_REGISTRY if registry is None else registry
-    parts = [
-        guarded(F.transform(regex_spans(text, pat), _tag(t)), guard(t, pat, text, has_digit), ENTITY_STRUCT)
-        for t, pat in registry.items()
-    ]
-    if not parts:
+    def listed(runs: Column | None) -> Column:
+        parts = []
+        for t, pat in registry.items():
+            if runs is None or not is_builtin(t, pat):
+                part = guarded(F.transform(regex_spans(text, pat), _tag(t)), guard(t, pat, text, has_digit), ENTITY_STRUCT)
+            else:
+                part = run_spans(runs, t, pat, _tag(t))
+            parts.append(part)
+        return parts[0] if len(parts) == 1 else F.concat(*parts)
+
+    if not registry:
         return F.array().cast(f"array<{ENTITY_STRUCT}>")
-    arr = parts[0] if len(parts) == 1 else F.concat(*parts)
+    # one type alone is found as fast by its own pattern
+    scan = sum(is_builtin(t, p) for t, p in registry.items()) > 1
+    arr = let(run_texts(text), listed) if scan else listed(None)
     return F.coalesce(arr, F.array().cast(f"array<{ENTITY_STRUCT}>"))
 
 
@@ -135,6 +148,92 @@ def exclusive_sums(lens: Column) -> Column:
     return let(lens, lambda a: F.when(F.size(a) <= SCAN_BLOCK, scan(a)).otherwise(let(blocks(a), by_blocks)))
 
 
+# ---------------------------------------------------------------------------
+# one scan for all built-in patterns
+# ---------------------------------------------------------------------------
+
+#: Every character that a match of a built-in pattern can hold: letters and signs of
+#: EMAIL, any decimal digit, separators of IP, DATE and TIME, and the units of MONEY.
+_SPAN_CHARS = r"a-zA-Z_.+@\-\p{Nd}/年月日:元万亿美欧"
+_SPAN_CHARS_PLAIN = r"a-zA-Z_.+\-/年月日:元万亿美欧"  # without '@' and digits, of which every match holds one
+#: Where a run of such characters with an '@' or a digit begins (the wide digit as in ``java_pattern``).
+RUN_START_RE = rf"(?<![{_SPAN_CHARS}{WIDE_DIGIT}])(?=[{_SPAN_CHARS_PLAIN}]*+[@\p{{Nd}}])"
+RUN_RE = rf"\A[{_SPAN_CHARS}]*+"
+#: Characters that every match of a type holds, one of each string, and its least length in bytes.
+_RUN_NEEDS: dict[str, tuple[tuple[str, ...], int]] = {
+    "PHONE": ((), 10),
+    "ID": ((), 18),
+    "BANK": ((), 16),
+    "EMAIL": (("@", "."), 5),
+    "IP": ((".",), 7),
+    "DATE": (("-/年", "-/月"), 8),
+    "TIME": ((":",), 3),
+    "MONEY": (("元",), 4),
+}
+
+
+def is_builtin(entity_type: str, pattern: str) -> bool:
+    return entity_type in _RUN_NEEDS and REGEX_REGISTRY.get(entity_type) == pattern
+
+
+def text_runs(text) -> Column:
+    """array<struct<start, s>>: the runs of a text that can hold matches, from one scan.
+
+    A match of a built-in pattern holds characters of one class only, among
+    them an '@' or a digit, and its look-around asks for digits only.  So the
+    matches of a text are those of its runs of that class, and only runs with
+    an '@' or a digit need a look.  The text is split where such a run begins;
+    each piece holds its run in front.
+    """
+    def runs(pieces: Column) -> Column:
+        starts = exclusive_sums(F.transform(pieces, F.char_length))
+        cut = lambda p, at: F.struct(at.alias("start"), F.regexp_extract(p, RUN_RE, 0).alias("s"))
+        return F.filter(F.zip_with(pieces, starts, cut), lambda r: F.octet_length(r["s"]) > 0)
+
+    return let(F.split(_col(text), RUN_START_RE, -1), runs)
+
+
+def run_texts(text) -> Column:
+    """array<string>: the runs of :func:`text_runs` without their places."""
+    cut = F.transform(F.split(_col(text), RUN_START_RE, -1), lambda p: F.regexp_extract(p, RUN_RE, 0))
+    return F.filter(cut, lambda r: F.octet_length(r) > 0)
+
+
+def run_spans(runs: Column, entity_type: str, pattern: str, tag: Callable[[Column], Column]) -> Column:
+    """``tag(span)`` of every match of a built-in type in the runs, in order."""
+    java = F.lit(java_pattern(pattern))
+    held = F.filter(runs, lambda r: _may_hold(entity_type, r))
+    return F.flatten(F.transform(held, lambda r: F.transform(F.regexp_extract_all(r, java, 0), tag)))
+
+
+def _may_hold(entity_type: str, run: Column) -> Column:
+    needs, size = _RUN_NEEDS[entity_type]
+    cond = F.octet_length(run) >= size
+    for chars in needs:
+        one = [F.contains(run, F.lit(c)) for c in chars]
+        cond = cond & reduce(or_, one)
+    return cond
+
+
+def run_matches(runs: Column, entity_type: str, pattern: str, match: Callable[[Column, Column], Column], elem_type: str) -> Column:
+    """``match(span, start)`` of every match of a built-in type in the runs, in order."""
+    java = java_pattern(pattern)
+
+    def of_run(r: Column) -> Column:
+        def placed(spans: Column) -> Column:
+            one = F.array(match(spans[0], r["start"] + F.char_length(F.split(r["s"], java, 2)[0])))
+            gaps = F.transform(F.split(r["s"], java, -1), F.char_length)
+            steps = F.zip_with(F.transform(spans, F.char_length), F.slice(gaps, 1, F.size(spans)), lambda m, g: m + g)
+            ends = F.zip_with(exclusive_sums(steps), steps, lambda before, step: before + step)
+            many = F.zip_with(spans, ends, lambda x, e: match(x, r["start"] + e - F.char_length(x)))
+            return F.when(F.size(spans) == 0, F.array().cast(f"array<{elem_type}>")).when(F.size(spans) == 1, one).otherwise(many)
+
+        return let(F.regexp_extract_all(r["s"], F.lit(java), 0), placed)
+
+    held = F.filter(runs, lambda r: _may_hold(entity_type, r["s"]))
+    return F.flatten(F.transform(held, of_run))
+
+
 def token_hex(entity_type, span, salt: str, hex_len: int | None = None) -> Column:
     """First hex chars (8 if not told) of sha256(salt|type|span)."""
     key = F.concat_ws("|", F.lit(salt), _col(entity_type), _col(span))
@@ -158,12 +257,15 @@ def token_with_nonce(entity_type, span, salt: str, nonce, hex_len: int | None =
     return _token(entity_type, F.substring(F.sha2(key, 256), 1, hex_len or TOKEN_HEX_LEN))
 
 
-def custom_token(span, salt: str | None = None) -> Column:
-    """``__CUSTOM_{8 hex}__`` for dictionary misses (hash of the word, salted if a salt is given)."""
+def custom_token(span, salt: str | None = None, hex_len: int | None = None, nonce: Column | None = None) -> Column:
+    """``__CUSTOM_{8 hex}__`` for dictionary misses (hash of the word, salted if a salt is given;
+    the hash input of a collision loser gets ``#nonce`` appended)."""
     key = _col(span) if salt is None else F.concat_ws("|", F.lit(salt), _col(span))
+    if nonce is not None:
+        key = F.concat(key, F.lit("#"), nonce.cast("string"))
     return F.concat(
         F.lit(CUSTOM_PREFIX),
-        F.substring(F.sha2(key, 256), 1, TOKEN_HEX_LEN),
+        F.substring(F.sha2(key, 256), 1, hex_len or TOKEN_HEX_LEN),
         F.lit(TOKEN_SUFFIX),
     )
 
@@ -193,6 +295,30 @@ def placeholder_pairs(pairs: Column) -> Column:
     )
 
 
+def escaped(text: Column) -> Column:
+    """Each placeholder character as the escape character and two digits.
+
+    The escape character only ever opens such a code and digits only ever
+    follow it, so an escaped span is found in an escaped text exactly where
+    the span is in the text, and never inside a placeholder.
+    """
+    def code(x: Column) -> Column:
+        i = F.instr(F.lit(_PH_OWN), x) - 1
+        digit = lambda d: F.substring(F.lit(_PH_DIGITS), d.cast("int") + 1, F.lit(1))
+        return F.when((i < 0) | (F.char_length(x) == 0), x).otherwise(F.concat(F.lit(_PH_ESCAPE), digit(F.floor(i / 16)), digit(i % 16)))
+
+    return F.array_join(F.transform(F.split(text, f"(?<=[{_PH_OWN}])|(?=[{_PH_OWN}])", -1), code), "")
+
+
+def unescaped(text: Column) -> Column:
+    """The text whose :func:`escaped` form this is."""
+    def piece(x: Column, i: Column) -> Column:
+        own = F.conv(F.translate(F.substring(x, 1, 2), _PH_DIGITS, "0123456789ABCDEF"), 16, 10).cast("int")
+        return F.when(i == 0, x).otherwise(F.concat(F.substring(F.lit(_PH_OWN), own + 1, F.lit(1)), x.substr(F.lit(3), F.char_length(x))))
+
+    return F.array_join(F.transform(F.split(text, _PH_ESCAPE, -1), piece), "")
+
+
 def fold_pairs(text, indexed: Column) -> Column:
     """Sequential literal replacement over placeholder pairs.
 
@@ -202,19 +328,27 @@ def fold_pairs(text, indexed: Column) -> Column:
     later one.
     """
     t = _col(text)
-    phase1 = lambda ix: F.aggregate(ix, t, lambda acc, p: F.replace(acc, p["span"], p["ph"]))
-    return let(indexed, lambda ix: _fill_placeholders(phase1(ix), ix))
 
+    def phase1(x: Column, span: Callable[[Column], Column], ix: Column) -> Column:
+        return F.aggregate(ix, x, lambda acc, p: F.replace(acc, span(p["span"]), p["ph"]))
+
+    def folded(ix: Column) -> Column:
+        plain = _fill_placeholders(phase1(t, lambda s: s, ix), ix, lambda x: x)
+        safe = _fill_placeholders(phase1(escaped(t), escaped, ix), ix, unescaped)
+        return F.when(t.rlike(f"[{_PH_OWN}]"), safe).otherwise(plain)
+
+    return let(indexed, folded)
 
-def _fill_placeholders(text: Column, indexed: Column) -> Column:
-    """Each placeholder → the ``repl`` of its pair, in one pass over the text."""
+
+def _fill_placeholders(text: Column, indexed: Column, rest: Callable[[Column], Column]) -> Column:
+    """Each placeholder → the ``repl`` of its pair, in one pass over the text; ``rest``
+    is applied to what stands between."""
 
     def piece(x: Column, i: Column) -> Column:
         close = F.instr(x, _PH_CLOSE)
         index = F.conv(F.translate(x.substr(F.lit(1), close - 1), _PH_DIGITS, "0123456789ABCDEF"), 16, 10).cast("int")
-        filled = F.concat(F.get(indexed, index)["repl"], x.substr(close + 1, F.char_length(x)))
-        ours = x.rlike(f"^[{_PH_DIGITS}]+{_PH_CLOSE}") & (index < F.size(indexed))  # else the text's own character
-        return F.when(i == 0, x).when(ours, filled).otherwise(F.concat(F.lit(_PH_OPEN), x))
+        filled = F.concat(F.get(indexed, index)["repl"], rest(x.substr(close + 1, F.char_length(x))))
+        return F.when(i == 0, rest(x)).otherwise(filled)
 
     return F.array_join(F.transform(F.split(text, _PH_OPEN, -1), piece), "")
 
@@ -228,17 +362,11 @@ def token_spans(text) -> Column:
     return F.regexp_extract_all(_col(text), F.lit(TOKEN_RE), 0)
 
 
-def rebuild_with_tokens(text, lookup: Column) -> Column:
-    """Single-pass restore: split on the token grammar, map each token, re-join.
-
-    ``lookup`` is a map<token, original>; unknown tokens stay as they are.
-    Restored text is never scanned again (no recursion).
-    """
-    gaps = F.split(_col(text), TOKEN_RE, -1)
-    toks = token_spans(text)
-    mapped = F.transform(toks, lambda t: F.coalesce(F.element_at(lookup, t), t))
-    pieces = F.zip_with(gaps, mapped, lambda g, t: F.concat(g, F.coalesce(t, F.lit(""))))
-    return F.array_join(pieces, "")
+def join_keys(left, right, keys: Sequence[str], how: str):
+    """``left`` joined with ``right`` on the caller's key columns, where null equals null."""
+    names = [f"_key{i}" for i in range(len(keys))]
+    other = right.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], *[c for c in right.columns if c not in keys])
+    return left.join(other, reduce(and_, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)]), how).drop(*names)
 
 
 def posexplode_rows(df, keep_cols, arr: Column, pos_name: str = "pos", val_name: str = "value"):

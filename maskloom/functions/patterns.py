@@ -21,6 +21,9 @@ REGEX_REGISTRY: dict[str, str] = {
     "MONEY": r"\d+(\.\d+)?元|\d+(\.\d+)?万元|\d+(\.\d+)?亿元|\d+(\.\d+)?美元|\d+(\.\d+)?欧元",
 }
 
+# A decimal digit beyond U+FFFF (mathematical bold zero).
+WIDE_DIGIT = "\U0001d7ce"
+
 # Python's ``\d`` matches every Unicode decimal digit; Java needs (?U) for that.
 JAVA_UNICODE_FLAG = "(?U)"
 
@@ -98,8 +101,11 @@ FASTER_EQUIVALENT: dict[str, str] = {
 
 def java_pattern(pattern: str) -> str:
     """Pattern with the Unicode-class flag Java needs to match Python's ``\\d``
-    (and the faster equivalent form where one is known)."""
-    return JAVA_UNICODE_FLAG + FASTER_EQUIVALENT.get(pattern, pattern)
+    (and the faster equivalent form where one is known).
+
+    Java looks behind by whole code points only where the pattern itself holds
+    one beyond U+FFFF; a digit named twice makes it see such digits."""
+    return JAVA_UNICODE_FLAG + FASTER_EQUIVALENT.get(pattern, pattern).replace(r"(?<!\d)", rf"(?<![\d{WIDE_DIGIT}])")
 
 
 def chunk_pattern(max_chunk_size: int = DEFAULT_CHUNK_SIZE) -> str:

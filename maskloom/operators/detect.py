@@ -12,9 +12,11 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import digit_flag, exclusive_sums, guard, guarded, let, posexplode_rows, regex_spans
+from ..functions import columns as C
+from ..functions.columns import exclusive_sums, guard, guarded, let, posexplode_rows, regex_spans
 from ..functions.patterns import REGEX_REGISTRY, TYPE_ALIASES, java_pattern
 
+OFFSETS_STRUCT = "struct<type:string,start:int,end:int,span:string,prob:double>"
 ENTITY_COLUMNS = ("seq", "type", "start", "end", "span", "prob")
 
 
@@ -66,27 +68,28 @@ def with_offset_entities(
 ) -> DataFrame:
     """Add ``out_col`` = array<struct<type,start,end,span,prob>> of all matches.
 
-    Order is (registry order, position).  Two projections: the first runs
-    each regex once (matches + gap lengths), the second derives code-point
-    offsets from lengths, so no regex is evaluated twice.
+    Order is (registry order, position).  One scan cuts the text into the
+    runs that can hold matches (:func:`columns.text_runs`); the built-in
+    patterns then look at those only.  A custom or changed pattern scans the
+    text itself.
     """
     reg = REGEX_REGISTRY if registry is None else registry
-    names = [f"_t{i}" for i in range(len(reg))]
-    flagged = df.select(*keep_cols, *([text_col] if text_col not in keep_cols else []), digit_flag(text_col).alias("_dig"))
-    cols = []
-    for n, (t, p) in zip(names, reg.items()):
-        g = guard(t, p, text_col, F.col("_dig"))
-        cols.append(guarded(F.regexp_extract_all(F.col(text_col), F.lit(java_pattern(p)), 0), g, "string").alias(n + "m"))
-        cols.append(guarded(F.transform(F.split(F.col(text_col), java_pattern(p), -1), F.char_length), g, "int").alias(n + "g"))
-    stage1 = flagged.select(*keep_cols, *cols)
+    builtin = {t: p for t, p in reg.items() if C.is_builtin(t, p)}
+    names = {t: f"_t{i}" for i, t in enumerate(reg) if t not in builtin}
+    cols = [C.text_runs(text_col).alias("_runs")] if builtin else []
+    for t, n in names.items():
+        cols.append(F.regexp_extract_all(F.col(text_col), F.lit(java_pattern(reg[t])), 0).alias(n + "m"))
+        cols.append(F.transform(F.split(F.col(text_col), java_pattern(reg[t]), -1), F.char_length).alias(n + "g"))
+    stage1 = df.select(*keep_cols, *cols)
     parts = []
-    for n, t in zip(names, reg.keys()):
-        m, g = F.col(n + "m"), F.col(n + "g")
-        starts = _prefix_starts(g, F.transform(m, F.char_length))
-        parts.append(F.zip_with(m, starts, _offsets_tag(t)))
+    for t, p in reg.items():
+        if t in builtin:
+            parts.append(C.run_matches(F.col("_runs"), t, p, _offsets_tag(t), OFFSETS_STRUCT))
+        else:
+            m, g = F.col(names[t] + "m"), F.col(names[t] + "g")
+            parts.append(F.zip_with(m, _prefix_starts(g, F.transform(m, F.char_length)), _offsets_tag(t)))
     arr = parts[0] if len(parts) == 1 else F.concat(*parts)
-    empty = F.array().cast("array<struct<type:string,start:int,end:int,span:string,prob:double>>")
-    return stage1.select(*keep_cols, F.coalesce(arr, empty).alias(out_col))
+    return stage1.select(*keep_cols, F.coalesce(arr, F.array().cast(f"array<{OFFSETS_STRUCT}>")).alias(out_col))
 
 
 def detect_regex_entities(

@@ -10,12 +10,14 @@ document's items, and a document's items are exactly one source document.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..functions.patterns import PARAGRAPH_SEP_RE
+from ..functions.patterns import PARAGRAPH_SEP_RE, REGEX_REGISTRY
 from . import mask, restore
 
 ITEM_KEYS = ("doc_id", "item_idx")
@@ -24,12 +26,21 @@ _NONBLANK = r"(?U)\S"
 
 def mask_document(items: DataFrame, salt: str, overrides: DataFrame | None = None,
                   fields: Sequence[str] = ("text", "title"), keys: Sequence[str] = ITEM_KEYS,
-                  registry: Mapping[str, str] | None = None, with_entities: bool = False) -> DataFrame:
+                  registry: Mapping[str, str] | None = None, with_entities: bool = False,
+                  scope: str = "item") -> DataFrame:
     """Mask ``text`` and ``title`` of every item with the entities found
     in that field (empty and null fields stay as they are); other columns
     pass through untouched.  Item order is the key, never completion order.
     ``with_entities`` adds the ``entities`` array of all fields.
+
+    ``scope="document"`` masks every field with the entities of its whole
+    document (the first of ``keys``), so one found in one item is masked in
+    all others: see :func:`document_entities`.
     """
+    if scope not in ("item", "document"):
+        raise ValueError("scope must be 'item' or 'document'")
+    if scope == "document":
+        return _mask_by_document(items, salt, overrides, fields, keys, registry, with_entities)
     cols = items.columns
     out = items.withColumn("_all", F.array().cast(f"array<{C.ENTITY_STRUCT}>"))
     for f in fields:
@@ -39,6 +50,51 @@ def mask_document(items: DataFrame, salt: str, overrides: DataFrame | None = Non
     return out.select(*cols, *([F.array_distinct("_all").alias("entities")] if with_entities else []))
 
 
+def document_entities(items: DataFrame, fields: Sequence[str] = ("text", "title"), keys: Sequence[str] = ITEM_KEYS,
+                      registry: Mapping[str, str] | None = None) -> DataFrame:
+    """``document key, entities``: the distinct entities of all fields of a document, in the
+    order of their types in the registry, then of items, fields and places.
+
+    Only entity rows are gathered, no texts; a document's list is no longer
+    than its own entities.
+    """
+    reg = REGEX_REGISTRY if registry is None else registry
+    doc = keys[0]
+    found = None
+    for n, f in enumerate(fields):
+        arr = items.select(*keys, F.array_distinct(C.regex_entities(f, reg)).alias("_e"))
+        rows = C.posexplode_rows(arr, keys, F.col("_e"), "_seq", "e").select(*keys, F.lit(n).alias("_field"), "_seq", "e")
+        found = rows if found is None else found.unionByName(rows)
+    rank = F.array_position(F.array(*[F.lit(t) for t in reg]), F.col("e.type"))
+    place = F.struct(rank.alias("rank"), *[F.col(k) for k in keys[1:]], "_field", "_seq")
+    first = found.groupBy(doc, "e").agg(F.min(place).alias("at"))
+    lists = first.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("at", "e"))).alias("_a"))
+    return lists.select(doc, F.transform("_a", lambda x: x["e"]).alias("entities"))
+
+
+def _mask_by_document(items: DataFrame, salt: str, overrides: DataFrame | None, fields: Sequence[str], keys: Sequence[str],
+                      registry: Mapping[str, str] | None, with_entities: bool) -> DataFrame:
+    doc, cols = keys[0], items.columns
+    lists = document_entities(items, fields, keys, registry)
+    if overrides is not None:
+        rows = C.posexplode_rows(lists, [doc], F.col("entities"), "_seq", "e").select(doc, "_seq", "e.span", "e.type")
+        over = overrides.select(F.col("original").alias("span"), F.col("entity_type").alias("type"), "token")
+        rows = rows.join(over, ["span", "type"], "left").select(doc, F.struct("_seq", "span", "type", "token").alias("r"))
+        lists = rows.groupBy(doc).agg(F.array_sort(F.collect_list("r")).alias("entities"))
+    else:
+        token = lambda e: F.struct(e["span"].alias("span"), e["type"].alias("type"), F.lit(None).cast("string").alias("token"))
+        lists = lists.select(doc, F.transform("entities", token).alias("entities"))
+    pair = lambda e: F.struct(e["span"].alias("span"), F.coalesce(e["token"], C.token(e["type"], e["span"], salt)).alias("repl"))
+    lists = lists.select(doc, C.placeholder_pairs(F.transform("entities", pair)).alias("_pairs"), F.transform("entities", lambda e: F.struct(e["span"].alias("span"), e["type"].alias("type"))).alias("_ents"))
+    out = C.join_keys(items, lists, [doc], "left")
+    holds = lambda e: reduce(or_, [F.coalesce(F.contains(F.col(f), e["span"]), F.lit(False)) for f in fields])
+    none = F.array().cast(f"array<{C.ENTITY_STRUCT}>")
+    out = out.withColumn("_ents", F.filter(F.coalesce("_ents", none), holds))  # of the document's, those of this item
+    for f in fields:
+        out = out.withColumn(f, F.when(F.col("_pairs").isNull(), F.col(f)).otherwise(C.fold_pairs(f, F.col("_pairs"))))
+    return out.select(*cols, *([F.col("_ents").alias("entities")] if with_entities else []))
+
+
 def document_text(items: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
     """Per document every non-empty ``text`` then ``title`` followed by
     a blank line, in item order (the text a whole-document scan sees)."""

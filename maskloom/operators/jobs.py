@@ -11,6 +11,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import columns as C
 from ..session import stored
 from ..sources import files
 from . import documents as docops
@@ -26,7 +27,7 @@ def with_model_entities(docs: DataFrame, id_cols: Sequence[str], entities: DataF
     per_text = entities.groupBy(*id_cols).agg(rows.alias("_a")).select(
         *id_cols, F.transform("_a", lambda e: F.struct(e["span"].alias("span"), e["type"].alias("type"))).alias(out_col)
     )
-    return docs.join(per_text, list(id_cols), "left")
+    return C.join_keys(docs, per_text, list(id_cols), "left")
 
 
 def check_types(entities: DataFrame) -> None:
@@ -48,7 +49,7 @@ def admit_scored(docs: DataFrame, id_cols: Sequence[str], scored: DataFrame, on_
     first = failed.head()
     if first is not None and on_error == "fail":
         raise RuntimeError(f"the model failed on {failed.count()} texts, first: {first['error']}")
-    return docs.join(failed, list(id_cols), "left_anti"), docs.join(failed, list(id_cols), "left_semi")
+    return C.join_keys(docs, failed, list(id_cols), "left_anti"), C.join_keys(docs, failed, list(id_cols), "left_semi")
 
 
 def mask_job(
@@ -56,7 +57,7 @@ def mask_job(
     id_cols: Sequence[str],
     salt: str,
     text_col: str = "text",
-    prior_vault: DataFrame | None = None,
+    prior_vault: DataFrame | vault.CommittedVault | None = None,
     model_entities: DataFrame | None = None,
     custom_words: DataFrame | None = None,
     registry: Mapping[str, str] | None = None,
@@ -80,7 +81,7 @@ def mask_job(
     first = stored(mask.mask_text(docs, text_col, keys, salt, **options), "masked_first")
 
     def again(hits: DataFrame, over: DataFrame) -> DataFrame:
-        return mask.mask_text(docs.join(hits, keys, "left_semi"), text_col, keys, salt, overrides=over, **options)
+        return mask.mask_text(C.join_keys(docs, hits, keys, "left_semi"), text_col, keys, salt, overrides=over, **options)
 
     return _settle(first, keys, salt, prior_vault, again)
 
@@ -90,18 +91,23 @@ def mask_items_job(
     keys: Sequence[str],
     salt: str,
     fields: Sequence[str] = ("text", "title"),
-    prior_vault: DataFrame | None = None,
+    prior_vault: DataFrame | vault.CommittedVault | None = None,
     registry: Mapping[str, str] | None = None,
+    scope: str = "item",
 ) -> tuple[DataFrame, DataFrame]:
     """The mask job over content-list items: ``(masked items, new vault rows)``.
 
-    Each field is masked with its own entities; all other columns pass through.
+    Each field is masked with its own entities (``scope="document"``: with
+    those of its document); all other columns pass through.
     """
-    options = {"fields": fields, "keys": tuple(keys), "registry": registry, "with_entities": True}
+    options = {"fields": fields, "keys": tuple(keys), "registry": registry, "with_entities": True, "scope": scope}
     first = stored(docops.mask_document(items, salt, **options), "masked_items")
 
     def again(hits: DataFrame, over: DataFrame) -> DataFrame:
-        return docops.mask_document(items.join(hits, list(keys), "left_semi"), salt, over, **options)
+        # the other items of a document add to its entities
+        shared = keys[:1] if scope == "document" else keys
+        again_ = docops.mask_document(C.join_keys(items, hits.select(*shared).distinct(), list(shared), "left_semi"), salt, over, **options)
+        return C.join_keys(again_, hits, list(keys), "left_semi")
 
     masked, delta = _settle(first, list(keys), salt, prior_vault, again)
     return masked.select(*items.columns), delta
@@ -112,7 +118,7 @@ def mask_markdown_job(
     id_cols: Sequence[str],
     salt: str,
     md_col: str = "md",
-    prior_vault: DataFrame | None = None,
+    prior_vault: DataFrame | vault.CommittedVault | None = None,
     registry: Mapping[str, str] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """The mask job over Markdown documents: ``(ids…, masked; new vault rows)``."""
@@ -120,13 +126,13 @@ def mask_markdown_job(
     first = stored(docops.mask_markdown(docs, md_col, keys, salt, **options), "masked_markdown")
 
     def again(hits: DataFrame, over: DataFrame) -> DataFrame:
-        return docops.mask_markdown(docs.join(hits, keys, "left_semi"), md_col, keys, salt, over, **options)
+        return docops.mask_markdown(C.join_keys(docs, hits, keys, "left_semi"), md_col, keys, salt, over, **options)
 
     masked, delta = _settle(first, keys, salt, prior_vault, again)
     return masked.drop("entities"), delta
 
 
-def mask_files(items: DataFrame, salt: str, out_dir: str, prior_vault: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def mask_files(items: DataFrame, salt: str, out_dir: str, prior_vault: DataFrame | vault.CommittedVault | None = None) -> tuple[DataFrame, DataFrame]:
     """Mask the items of files or saved content lists (:mod:`..sources.files`)
     and write their Markdown and content lists; ``(masked items, new vault rows)``."""
     masked, delta = mask_items_job(items, files.ITEM_KEYS, salt, prior_vault=prior_vault)
@@ -144,7 +150,7 @@ def unmask_files(originals: DataFrame, saved: DataFrame, vault_rows: DataFrame,
 
 
 def _settle(
-    first: DataFrame, keys: list[str], salt: str, prior_vault: DataFrame | None, again: Callable[[DataFrame, DataFrame], DataFrame]
+    first: DataFrame, keys: list[str], salt: str, prior_vault: DataFrame | vault.CommittedVault | None, again: Callable[[DataFrame, DataFrame], DataFrame]
 ) -> tuple[DataFrame, DataFrame]:
     """Plan the vault from the entities of a first pass; ``again(keys, overrides)``
     masks the rows that hold a collision loser, which replace their first version."""
@@ -156,4 +162,4 @@ def _settle(
     losers = over.select(F.col("original").alias("span"), F.col("entity_type").alias("type"))
     hits = stored(ents.join(losers, ["span", "type"], "left_semi").select(*keys).distinct(), "override_hits")
     redo = stored(again(hits, over), "masked_redo")
-    return first.join(hits, keys, "left_anti").unionByName(redo), delta
+    return C.join_keys(first, hits, keys, "left_anti").unionByName(redo), delta

@@ -113,9 +113,10 @@ def mask_text(
             (F.col("e.span") == F.col("_o")) & (F.col("e.type") == F.col("_t")),
         )
         per_text = hits.groupBy(*id_cols).agg(
-            F.map_from_entries(F.collect_list(F.struct(_key(F.col("_o"), F.col("_t")), F.col("token")))).alias("_lookup")
+            # rows of one id may hold the same loser
+            F.map_from_entries(F.collect_set(F.struct(_key(F.col("_o"), F.col("_t")), F.col("token")))).alias("_lookup")
         )
-        with_ents = with_ents.join(per_text, list(id_cols), "left")
+        with_ents = C.join_keys(with_ents, per_text, list(id_cols), "left")
         lookup = F.col("_lookup")
     with_pairs = with_ents.withColumn("_pairs", token_pairs(F.col("entities"), salt, lookup))
     extra = [F.size("entities").cast("long").alias("n_entities"), F.col("entities")] if with_entities else []
@@ -135,7 +136,7 @@ def mask_parts(text: Column, salt: str, registry: Mapping[str, str] | None = Non
         done = F.when(F.size(ents) == 0, text).otherwise(C.fold_pairs(text, token_pairs(ents, salt)))
         return F.struct(done.alias("masked"), ents.alias("entities"))
 
-    return C.let(C.let(C.digit_flag(text), lambda digit: entity_column(text, registry, has_digit=digit)), masked)
+    return C.let(entity_column(text, registry), masked)
 
 
 def entities_of(masked: DataFrame, id_cols: Sequence[str]) -> DataFrame:
@@ -197,14 +198,18 @@ def mask_spans(
             ).otherwise(acc),
         )
 
-    kept = F.aggregate(
-        F.when(F.size(order) > 0, C.blocks(order)).otherwise(F.array(order)),
-        F.struct(F.lit(0).alias("cut"), F.array().cast(_KEPT).alias("k")),
-        lambda acc, part: C.let(
-            sweep(part, acc["cut"]), lambda s: F.struct(s["cut"].alias("cut"), F.concat(acc["k"], s["k"]).alias("k"))
-        ),
-        lambda acc: acc["k"],
-    )
+    def swept(parts: Column) -> Column:
+        return F.aggregate(
+            parts,
+            F.struct(F.lit(0).alias("cut"), F.array().cast(_KEPT).alias("k")),
+            lambda acc, part: C.let(
+                sweep(part, acc["cut"]), lambda s: F.struct(s["cut"].alias("cut"), F.concat(acc["k"], s["k"]).alias("k"))
+            ),
+            lambda acc: acc["k"],
+        )
+
+    short = lambda a: F.size(a) <= C.SCAN_BLOCK
+    kept = C.let(order, lambda o: F.when(short(o), sweep(o, F.lit(0))["k"]).otherwise(swept(C.blocks(o))))
     planned = withe.select(*id_cols, "_text", kept.alias("kept"))
 
     def rebuilt(part: Column, base: Column) -> Column:
@@ -221,13 +226,14 @@ def mask_spans(
 
     before = lambda b: F.when(b == 0, F.lit(0)).otherwise(F.get(F.col("kept"), b * C.SCAN_BLOCK - 1)["end"])
     pieces = F.transform(C.blocks(F.col("kept")), lambda part, b: C.let(before(b), lambda base: rebuilt(part, base)))
+    masked = F.when(short("kept"), rebuilt(F.col("kept"), F.lit(0))).otherwise(F.array_join(pieces, ""))
     last_end = F.coalesce(F.element_at(F.col("kept"), -1)["end"], F.lit(0))
     tail = F.col("_text").substr(last_end + 1, F.lit(2147483647))
     return planned.select(
         *id_cols,
         F.when(F.col("_text").isNull(), F.lit(None).cast("string"))
         .when(F.size("kept") == 0, F.col("_text"))
-        .otherwise(F.concat(F.array_join(pieces, ""), tail))
+        .otherwise(F.concat(masked, tail))
         .alias("masked"),
         F.size("kept").cast("long").alias("n_replaced"),
     )

@@ -245,23 +245,30 @@ def hybrid_mapping(occurrences: DataFrame, id_cols: Sequence[str], custom_words:
     return custom.unionByName(auto.withColumn("first_pos", F.col("first_pos")), allowMissingColumns=True)
 
 
-def custom_masks(occurrences: DataFrame, custom_words: DataFrame, salt: str | None = None) -> DataFrame:
+def custom_masks(occurrences: DataFrame, custom_words: DataFrame, salt: str | None = None, hex_len: int | None = None) -> DataFrame:
     """M6 per occurrence: the dictionary replacement, else a stable
     ``__CUSTOM_{8 hex}__`` derived from the word (the same word always gets
-    the same replacement, in every text and run).  Pass a secret ``salt``:
-    without one, short words can be guessed back from their hash."""
-    d = custom_words.select(F.col("original").alias("span"), F.col("replacement").alias("_r"))
-    j = occurrences.join(d, "span", "left")
-    return j.withColumn("masked", F.coalesce(F.col("_r"), C.custom_token(F.col("span"), salt))).drop("_r")
+    the same replacement, in every text; no two words and no stored
+    replacement share one).  Pass a secret ``salt``: without one, short words
+    can be guessed back from their hash."""
+    missed = custom_delta(occurrences, custom_words, salt, hex_len)
+    d = custom_words.select("original", "replacement").unionByName(missed).select(F.col("original").alias("span"), F.col("replacement").alias("masked"))
+    return occurrences.join(d, "span", "left")
 
 
-def custom_delta(occurrences: DataFrame, custom_words: DataFrame, salt: str | None = None) -> DataFrame:
+def custom_delta(occurrences: DataFrame, custom_words: DataFrame, salt: str | None = None, hex_len: int | None = None) -> DataFrame:
     """M6: the remembered misses, ``original, replacement``: rows to add to the
-    dictionary so that their masks can be restored."""
+    dictionary so that their masks can be restored.  A mask that two misses
+    share, or that the dictionary holds, is given to one word only, by the
+    rounds that settle colliding tokens (:func:`vault.resolve_collisions`)."""
+    from .vault import resolve_collisions
+
     words = occurrences.select(F.col("span").alias("original")).distinct()
-    return words.join(custom_words.select("original"), "original", "left_anti").select(
-        "original", C.custom_token(F.col("original"), salt).alias("replacement")
-    )
+    missed = words.join(custom_words.select("original"), "original", "left_anti")
+    new = stored(missed.select(C.custom_token("original", salt, hex_len).alias("token"), "original", F.lit("").alias("entity_type")), "custom_misses")
+    held = custom_words.select(F.col("replacement").alias("token"), "original", F.lit("").alias("entity_type"))
+    settled = resolve_collisions(new, "", held, retoken=lambda k: C.custom_token("original", salt, hex_len, k))
+    return settled.select("original", F.col("token").alias("replacement"))
 
 
 def reverse_mapping(mapping: DataFrame, order_col: str = "seq") -> DataFrame:
@@ -310,27 +317,18 @@ def unmask_hybrid(masked: DataFrame, text_col: str, id_cols: Sequence[str], reve
     original (V6 ``n_originals == 1``); shared masks (bare templates) stay.
 
     Numbered masks are found with one regex (greedy digits, so ``某人 1``
-    never eats the start of ``某人 10``), resolved by a join and rebuilt in
-    one split/zip pass.  Custom replacements are then reversed with the
-    dictionary operator, longest first (``客户1`` cannot break ``客户12``).
+    never eats the start of ``某人 10``) and resolved like tokens
+    (:func:`restore.replace_matches`).  Custom replacements are then reversed
+    with the dictionary operator, longest first (``客户1`` cannot break ``客户12``).
     """
+    from .restore import replace_matches
     from .words import apply_custom_words
 
-    pat = numbered_mask_re(templates)
-    inj = reverse.filter(F.col("n_originals") == 1).select("mask_text", "original")
-    toks = C.explode_rows(masked, id_cols, F.array_distinct(F.regexp_extract_all(F.col(text_col), F.lit(pat), 0)), "mask_text")
-    lookup = toks.join(inj, "mask_text", "inner").groupBy(*id_cols).agg(
-        F.map_from_entries(F.array_distinct(F.collect_list(F.struct("mask_text", "original")))).alias("_lk")
-    )
-    j = masked.select(*id_cols, F.col(text_col).alias("_t")).join(lookup, list(id_cols), "left")
-    lk = F.coalesce(F.col("_lk"), F.create_map().cast("map<string,string>"))
-    gaps = F.split(F.col("_t"), pat, -1)
-    found = F.transform(F.regexp_extract_all(F.col("_t"), F.lit(pat), 0), lambda m: F.coalesce(F.element_at(lk, m), m))
-    rebuilt = F.array_join(F.zip_with(gaps, found, lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))), "")
-    out = j.select(*id_cols, F.when(F.col("_t").isNull(), F.col("_t")).otherwise(rebuilt).alias(out_col))
+    inj = reverse.filter(F.col("n_originals") == 1).select(F.col("mask_text").alias("mask"), "original")
+    out = replace_matches(masked, {text_col: out_col}, numbered_mask_re(templates), inj, id_cols)
     if custom_words is None:
         return out
-    back = custom_words.join(inj.select(F.col("mask_text").alias("replacement"), "original"), ["replacement", "original"], "left_semi")
+    back = custom_words.join(inj.select(F.col("mask").alias("replacement"), "original"), ["replacement", "original"], "left_semi")
     reverse_words = back.select(
         F.col("replacement").alias("original"), F.col("original").alias("replacement"),
         (-F.char_length("replacement") * F.lit(1 << 40) + F.col("priority")).cast("long").alias("priority"),

@@ -9,16 +9,96 @@ the vault is only joined when restoring text or when resolving the rare
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..functions.patterns import TOKEN_RE
 
 VAULT_SCHEMA = "token string, original string, entity_type string"
 
+#: Leading hex digits of a token by which a committed vault is partitioned: 256 partitions.
+PREFIX_LEN = 2
+#: Partition of the tokens that are not the plain hash of their value (collision losers).
+LOSERS = "loser"
+
+
+def _missing(exc: Exception) -> bool:
+    return any(x in str(exc) for x in ("PATH_NOT_FOUND", "does not exist", "UNABLE_TO_INFER_SCHEMA"))
+
+
+class CommittedVault:
+    """A stored vault that jobs commit to: partitioned by token prefix, rows of a
+    job visible from the moment its entry stands in the list of jobs.
+
+    A job writes its rows under an attempt of its own and then its entry
+    ``job → attempt``, which replaces an earlier one.  Readers take the rows of
+    listed attempts only, so neither an attempt that died half-way nor a job
+    that runs again adds a row.  Jobs commit one after the other.
+
+    The plain token of a value names the partition that would hold it, so a job
+    reads the partitions of its own values, and that of the collision losers,
+    whose tokens are no plain hashes.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def jobs(self) -> DataFrame:
+        """``job, attempt`` of every committed job."""
+        try:
+            return self.spark.read.schema("attempt string, job string").parquet(f"{self.path}/_jobs").select("job", "attempt")
+        except Exception as exc:
+            if not _missing(exc):
+                raise
+            return self.spark.createDataFrame([], "job string, attempt string")
+
+    def rows(self, prefixes: Sequence[str] | None = None) -> DataFrame:
+        """The committed rows, of some partitions only if ``prefixes`` says so."""
+        try:
+            stored_rows = self.spark.read.schema(VAULT_SCHEMA + ", attempt string, prefix string").parquet(self.path)
+        except Exception as exc:
+            if not _missing(exc):
+                raise
+            return empty_vault(self.spark)
+        if prefixes is not None:
+            stored_rows = stored_rows.where(F.col("prefix").isin([*prefixes]))
+        return stored_rows.join(self.jobs().select("attempt"), "attempt", "left_semi").select("token", "original", "entity_type")
+
+    def _of(self, prefixes: DataFrame) -> DataFrame:
+        found = prefixes.distinct().collect()  # 16 ** PREFIX_LEN at most
+        return self.rows([*sorted(r[0] for r in found if r[0]), LOSERS])
+
+    def known(self, entities: DataFrame, salt: str) -> DataFrame:
+        """Rows among which those of the (span, type) pairs are."""
+        return self._of(entities.select(F.substring(C.token_hex("type", "span", salt), 1, PREFIX_LEN)))
+
+    def holding(self, tokens: DataFrame) -> DataFrame:
+        """Rows among which those of the ``token`` values are."""
+        return self._of(tokens.select(token_prefix(F.col("token"))))
+
+    def commit(self, delta: DataFrame, job: str, salt: str) -> bool:
+        """K5: add the rows of a job; False, and nothing is written, if it is committed already."""
+        if not self.jobs().where(F.col("job") == job).isEmpty():
+            return False
+        attempt = uuid.uuid4().hex
+        plain = F.col("token") == C.token(F.col("entity_type"), F.col("original"), salt)
+        own = F.when(plain, token_prefix(F.col("token"))).otherwise(F.lit(LOSERS))
+        rows = delta.select("token", "original", "entity_type", F.lit(attempt).alias("attempt"), own.alias("prefix"))
+        rows.repartition("prefix").write.mode("append").partitionBy("prefix").parquet(self.path)
+        entry = self.spark.createDataFrame([(attempt, job)], "attempt string, job string").coalesce(1)
+        entry.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("job").parquet(f"{self.path}/_jobs")
+        return True
+
+
+def token_prefix(token: Column) -> Column:
+    """The partition of a token in a committed vault."""
+    digits = F.substring(F.regexp_extract(token, r"([0-9a-f]+)__\z", 1), 1, PREFIX_LEN)
+    return F.when(F.char_length(digits) == PREFIX_LEN, digits).otherwise(F.lit(LOSERS))
+
+
 def empty_vault(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], VAULT_SCHEMA)
 
@@ -82,7 +162,8 @@ def vault_delta(entities: DataFrame, salt: str, vault: DataFrame) -> DataFrame:
 
 
 def resolve_collisions(
-    delta: DataFrame, salt: str, vault: DataFrame | None = None, max_rounds: int = 64, hex_len: int | None = None
+    delta: DataFrame, salt: str, vault: DataFrame | CommittedVault | None = None, max_rounds: int = 64, hex_len: int | None = None,
+    retoken: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """V8 (fix): re-token collision losers until every token is unique.
 
@@ -91,15 +172,20 @@ def resolve_collisions(
     is settled as is.  Only contested rows enter the rounds: per token the
     pair that sorts first on (type, original) keeps it unless the vault
     already has it, the others get ``hash(salt|type|span#k)`` in round k.
-    Each round's rows are checkpointed (reliable, shared folder).  The round
+    Each round's rows are checkpointed (reliable, shared folder).
+    ``retoken`` gives the token of a round where it is no vault token.  The round
     bound raises, never truncates: a type has ``16 ** hex_len`` tokens (2^32 at
     the 8 digits of the token grammar) and cannot hold more distinct values.
     """
     from ..session import stored
 
+    if retoken is None:
+        retoken = lambda k: C.token_with_nonce(F.col("entity_type"), F.col("original"), salt, k, hex_len)
     cur = delta.select("token", "original", "entity_type")
     dup = cur.groupBy("token").agg(F.count("*").alias("_n")).filter(F.col("_n") > 1).select("token")
-    vault_tokens = vault.select("token").distinct() if vault is not None else None
+    committed = isinstance(vault, CommittedVault)
+    given = vault.holding(cur) if committed else vault
+    vault_tokens = given.select("token").distinct() if given is not None else None
     contested = dup if vault_tokens is None else dup.unionByName(cur.select("token").join(vault_tokens, "token", "left_semi"))
     contested = stored(contested.distinct(), "contested")
     # every token that is already given away: the vault's and those settled without contest
@@ -110,20 +196,23 @@ def resolve_collisions(
     for k in range(1, max_rounds + 1):
         if todo.isEmpty():
             return done
-        free = todo.join(taken, "token", "left_anti").withColumn("_r", F.row_number().over(w))
+        free = todo.join(taken, "token", "left_anti")
+        if committed and k > 1:  # tokens of later rounds stand in other partitions
+            free = free.join(vault.holding(todo).select("token"), "token", "left_anti")
+        free = free.withColumn("_r", F.row_number().over(w))
         winners = free.filter(F.col("_r") == 1).drop("_r").checkpoint(eager=True)
         losers = todo.join(winners, ["original", "entity_type"], "left_anti")
         done = done.unionByName(winners)
         taken = taken.unionByName(winners.select("token"))
         todo = losers.select(
-            C.token_with_nonce(F.col("entity_type"), F.col("original"), salt, F.lit(k), hex_len).alias("token"),
+            retoken(F.lit(k)).alias("token"),
             "original",
             "entity_type",
         ).checkpoint(eager=True)
     raise RuntimeError("token collisions not resolved after %d rounds" % max_rounds)
 
 
-def plan_tokens(entities: DataFrame, salt: str, vault: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def plan_tokens(entities: DataFrame, salt: str, vault: DataFrame | CommittedVault | None = None) -> tuple[DataFrame, DataFrame]:
     """V1 + V3 + V8 for one batch: ``(assignments, delta)``.
 
     ``delta`` holds the new vault rows with collision-free tokens (checked
@@ -140,9 +229,10 @@ def plan_tokens(entities: DataFrame, salt: str, vault: DataFrame | None = None)
         )
         delta = stored(resolve_collisions(stored(new, "new_entities"), salt), "vault_delta")
         return delta, delta
-    delta = stored(resolve_collisions(stored(vault_delta(entities, salt, vault), "new_entities"), salt, vault), "vault_delta")
+    prior = vault.known(entities, salt) if isinstance(vault, CommittedVault) else vault
+    delta = stored(resolve_collisions(stored(vault_delta(entities, salt, prior), "new_entities"), salt, vault), "vault_delta")
     known = distinct_entities(entities).join(
-        vault.select("token", "original", "entity_type"), ["original", "entity_type"], "inner"
+        prior.select("token", "original", "entity_type"), ["original", "entity_type"], "inner"
     ).select("token", "original", "entity_type")
     return known.unionByName(delta), delta
 
@@ -199,7 +289,8 @@ def export_vault(vault: DataFrame) -> DataFrame:
 
 
 def save_vault(delta: DataFrame, path: str) -> None:
-    """K5: append new rows (callers pass the V3 delta, so tokens never change)."""
+    """K5: append new rows (callers pass the V3 delta, so tokens never change).
+    A job that may run again uses :class:`CommittedVault`."""
     delta.select("token", "original", "entity_type").write.mode("append").parquet(path)
 
 
@@ -207,7 +298,3 @@ def clear_vault(spark: SparkSession, path: str) -> DataFrame:
     """Replace the stored table with an empty one of the same schema."""
     empty_vault(spark).write.mode("overwrite").parquet(path)
     return load_vault(spark, path)
-
-
-def is_token(col) -> F.Column:
-    return C._col(col).rlike("^" + TOKEN_RE + "$")

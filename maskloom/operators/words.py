@@ -8,20 +8,28 @@ turns a into c).
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import columns as C
+from ..session import stored
+
 WORDS_SCHEMA = "original string, replacement string, priority long"
+_WORD = "struct<priority:bigint,original:string,replacement:string>"
 
-# Dictionaries up to this many words (counted) fold as a literal array inside
-# the projection; larger ones are shipped to each task in ranges, as
-# automata.
-WORDS_LITERAL_MAX = 256
-#: Words of a larger dictionary that are shipped to the tasks at a time.
-WORDS_RANGE = 200_000
+#: Characters of the longest anchor of a word (a power of two).
+ANCHOR_MAX = 64
+#: Logarithm of the most bits that mark anchors (2 ** 20: 128 KiB); bits that mark
+#: one, and times their number that there are bits for it.
+MARK_BITS_LOG2, MARKS, BITS_A_MARK = 20, 3, 8
+#: Characters of a text whose grams are taken at a time.
+SEGMENT = 4096
+#: Stands where text far from replacements is left out (a text that holds it itself is looked through whole).
+CUT = "\uffff"
 
 
 def _valid(words: DataFrame) -> DataFrame:
@@ -93,104 +101,143 @@ def merge_words(layers: Sequence[DataFrame]) -> DataFrame:
 # Apply the dictionary
 # ---------------------------------------------------------------------------
 
-def _literal_pairs(rows) -> Column:
-    return F.array(*[F.struct(F.lit(r["original"]).alias("span"), F.lit(r["replacement"]).alias("repl")) for r in rows])
+def _anchor_size(word: Column) -> Column:
+    """The largest power of two that fits the word, ``ANCHOR_MAX`` at most."""
+    n = F.char_length(word)
+    size = F.lit(ANCHOR_MAX)
+    c = ANCHOR_MAX // 2
+    while c:
+        size = F.when(n >= 2 * c, size).otherwise(F.lit(c))
+        c //= 2
+    return size
+
+
+def anchored_words(words: DataFrame) -> DataFrame:
+    """``original, replacement, priority, anchor``: every word with the gram by which texts find it.
+
+    Of the word's first and last ``_anchor_size`` characters the gram that
+    fewer words share is taken, so words of one prefix (or one suffix) do not
+    all meet in the texts that hold it.
+    """
+    w = _valid(words).select("original", "replacement", F.col("priority").cast("long").alias("priority"))
+    size = _anchor_size(F.col("original"))
+    ends = w.withColumn("_g", F.array(F.substring("original", F.lit(1), size), F.substring("original", F.char_length("original") - size + 1, size)))
+    each = ends.select("*", F.posexplode("_g").alias("_at", "_gram"))
+    shared = each.groupBy("_gram").agg(F.count("*").alias("_n"))
+    best = F.min(F.struct("_n", "_at", F.col("_gram").alias("anchor")))
+    picked = each.join(shared, "_gram").groupBy("original", "replacement", "priority").agg(best.alias("_b"))
+    return picked.select("original", "replacement", "priority", F.col("_b.anchor").alias("anchor"))
+
+
+class _Anchors:
+    """The grams of texts that may be anchors, as column expressions.
+
+    Bits mark the hashes of all anchors (a Bloom filter).  They have a fixed
+    largest number and only keep grams of no word away from the join, which decides.
+    """
+
+    def __init__(self, dictionary: DataFrame):
+        of = dictionary.agg(F.count("*").alias("n"), F.collect_set(F.char_length("anchor")).alias("sizes")).first()  # seven sizes at most
+        self.sizes = sorted(of["sizes"])
+        self.log2 = min(max((MARKS * BITS_A_MARK * of["n"]).bit_length(), 10), MARK_BITS_LOG2)
+        at = F.explode(F.array(*self._places(F.col("anchor"))))
+        marks = dictionary.select(at.alias("at")).select(F.shiftright("at", 6).cast("int").alias("i"), (F.col("at") % 64).cast("int").alias("b"), F.expr("1L").alias("one"))
+        longs = [0] * (1 << max(self.log2 - 6, 0))
+        for r in marks.groupBy("i").agg(F.bit_or(F.expr("shiftleft(one, b)")).alias("m")).collect():  # at most 2 ** (MARK_BITS_LOG2 - 6)
+            longs[r["i"]] = r["m"]
+        self.longs = F.split(F.lit(",".join(map(str, longs))), ",").cast("array<bigint>")  # folds to one literal
+
+    def _places(self, gram: Column) -> list[Column]:
+        mask = F.lit((1 << self.log2) - 1)
+        return [F.shiftright(F.xxhash64(gram), k * MARK_BITS_LOG2).bitwiseAND(mask) for k in range(MARKS)]
+
+    def _marked(self, gram: Column) -> Column:
+        bits = [F.getbit(F.get(self.longs, F.shiftright(at, 6).cast("int")), (at % 64).cast("int")) == 1 for at in self._places(gram)]
+        return reduce(and_, bits)
+
+    def __call__(self, text: Column) -> Column:
+        """Distinct marked grams of a text, found in segments that overlap."""
+        longest = max(self.sizes)
+        segments = F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{1,{SEGMENT + longest - 1}}})).{{1,{SEGMENT}}}"), 1)
+
+        def grams(size: int) -> Column:
+            pattern = F.lit(rf"(?s)(?=(.{{{size}}}))")
+            return F.flatten(F.transform(segments, lambda s: F.filter(F.regexp_extract_all(s, pattern, 1), self._marked)))
+
+        parts = [grams(c) for c in self.sizes]
+        return F.coalesce(F.array_distinct(F.concat(*parts)), F.array().cast("array<string>"))
+
+
+def _split(text: Column, word: Column) -> Column:
+    quoted = F.concat(F.lit(r"\Q"), F.replace(word, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    return F.split(text, quoted, -1)
+
+
+def _join(pieces: Column, between: Column) -> Column:
+    return F.call_function("array_join", pieces, between)  # ``F.array_join`` takes a literal only
+
+
+def _chain(text: Column, found: Column, known: Column, anchors: _Anchors) -> Column:
+    """``struct<t, last, stop>``: the words of ``found`` replaced in order, up to the first
+    replacement beside which a marked gram arises that is not in ``known``."""
+    reach = max(anchors.sizes) - 1
+
+    def beside(pieces: Column, repl: Column) -> Column:
+        """What stands near the replacements: inner text further away is cut out."""
+        short = lambda p: F.when(
+            F.char_length(p) > 2 * reach, F.concat(F.substring(p, F.lit(1), F.lit(reach)), F.lit(CUT), F.substring(p, F.char_length(p) - reach + 1, F.lit(reach)))
+        ).otherwise(p)
+        whole = _join(pieces, repl)
+        near = F.split(_join(F.transform(pieces, short), repl), CUT, -1)
+        return F.when(F.contains(whole, F.lit(CUT)), F.array(whole)).otherwise(near)
+
+    def step(acc: Column, w: Column) -> Column:
+        def replaced(pieces: Column) -> Column:
+            grams = F.flatten(F.transform(beside(pieces, w["replacement"]), anchors))
+            arises = F.size(F.array_except(grams, known)) > 0
+            return F.struct(_join(pieces, w["replacement"]).alias("t"), w.alias("last"), arises.alias("stop"))
+
+        change = ~acc["stop"] & F.contains(acc["t"], w["original"])
+        return F.when(change, C.let(_split(acc["t"], w["original"]), replaced)).otherwise(acc)
+
+    start = F.struct(text.alias("t"), F.lit(None).cast(_WORD).alias("last"), F.lit(False).alias("stop"))
+    return F.aggregate(found, start, step)
 
 
 def apply_custom_words(docs: DataFrame, text_col: str, words: DataFrame, out_col: str = "text",
                        keep_cols: Sequence[str] | None = None) -> DataFrame:
-    """Chained literal replace of every word, in priority order.
-
-    Size is counted first.  Small: a literal array folded with ``replace``
-    inside the projection.  Larger: ranges of ``WORDS_RANGE`` words, in
-    priority order, are applied one after the other; each task builds an
-    Aho-Corasick automaton from the broadcast range and visits, in
-    dictionary order, only the words present in the current text, rescanning
-    after every change (so words created by a replacement are caught too).
+    """Chained literal replace of every word, in order of priority (ties: of the word).
+
+    The dictionary stays a table.  Each text's grams that are marked as
+    anchors are joined with it, and the text gets the short ordered list of
+    the words it may hold.  That list is replaced in order; where a
+    replacement lets a gram arise beside it that may be the anchor of a word
+    not on the list, the text waits with the priority it has reached and is
+    joined again in the next round.  So the result equals the plain chained
+    replace, and the rounds are as many as the longest such chain, not as many
+    as there are words.  Texts without a marked gram are not shuffled.
     """
-    keep = list(docs.columns) if keep_cols is None else list(keep_cols)
-    valid = _valid(words).select("original", "replacement", "priority")
-    n = valid.count()
-    if n == 0:
-        return docs.select(*keep, F.col(text_col).alias(out_col)) if out_col not in keep else docs
-    if n <= WORDS_LITERAL_MAX:
-        rows = valid.orderBy("priority").collect()  # counted ≤ WORDS_LITERAL_MAX
-        pairs = _literal_pairs(rows)
-        folded = F.aggregate(pairs, F.col(text_col), lambda acc, p: F.replace(acc, p["span"], p["repl"]))
-        cols = [c for c in keep if c != out_col]
-        return docs.select(*cols, folded.alias(out_col))
-    # a chained replace composes: words 1..k, then the next k, and so on, each range shipped alone
-    for words_, repls in _ranges(valid, WORDS_RANGE):
-        docs = _apply_with_automaton(docs, text_col, words_, repls, out_col, keep)
-        text_col = out_col
-    return docs
-
-
-def _ranges(valid: DataFrame, size: int) -> Iterator[tuple[list[str], list[str]]]:
-    """The dictionary in priority order, ``size`` words at a time."""
-    words_, repls = [], []
-    for r in valid.orderBy("priority").select("original", "replacement").toLocalIterator():
-        words_.append(r["original"])
-        repls.append(r["replacement"])
-        if len(words_) == size:
-            yield words_, repls
-            words_, repls = [], []
-    if words_:
-        yield words_, repls
-
-
-def _apply_with_automaton(docs: DataFrame, text_col: str, words_: list[str], repls_: list[str], out_col: str, keep: list[str]) -> DataFrame:
-    spark = docs.sparkSession
-    bc = spark.sparkContext.broadcast((words_, repls_))
-    cols = [c for c in keep if c != out_col]
-    schema = docs.select(*cols, F.col(text_col).alias(out_col)).schema
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import heapq
-
-        import ahocorasick
-
-        originals, repls = bc.value
-        auto = ahocorasick.Automaton()
-        for i, w in enumerate(originals):
-            auto.add_word(w, i)
-        auto.make_automaton()
-
-        def found(s: str, after: int) -> list[int]:
-            return [i for _, i in auto.iter(s) if i > after] if s else []
-
-        def apply(t):
-            # Exact chained replace: visit words in dictionary order, but only
-            # those present in the current text; after every replacement that
-            # changed the text, rescan it for later words it may have created
-            # (also across the boundary of the inserted replacement).
-            if t is None:
-                return None
-            heap = sorted(set(found(t, -1)))
-            heapq.heapify(heap)
-            seen = set(heap)
-            last = -1
-            while heap:
-                i = heapq.heappop(heap)
-                if i <= last:
-                    continue
-                last = i
-                new = t.replace(originals[i], repls[i])
-                if new != t:
-                    t = new
-                    for j in found(t, i):
-                        if j not in seen:
-                            seen.add(j)
-                            heapq.heappush(heap, j)
-            return t
-
-        for pdf in batches:
-            out = pdf[cols].copy()
-            out[out_col] = [apply(t) for t in pdf[text_col]]
-            yield out
-
-    src = docs.select(*cols, F.col(text_col))
-    return src.mapInPandas(run, schema)
+    keep = [c for c in (list(docs.columns) if keep_cols is None else keep_cols) if c != out_col]
+    dictionary = stored(anchored_words(words), "words")
+    anchors = _Anchors(dictionary)
+    if not anchors.sizes:
+        return docs.select(*keep, F.col(text_col).alias(out_col))
+    text = F.col("t")
+    row = F.struct(*[F.col(c) for c in keep], F.lit(0).alias("_"))
+    placed = docs.select(row.alias("row"), F.col(text_col).alias("t")).withColumn("hits", anchors(text))
+    first = stored(placed.withColumn("place", F.monotonically_increasing_id()).withColumn("last", F.lit(None).cast(_WORD)), "words_round")
+    rounds, todo = [first.where(F.size("hits") == 0)], first.where(F.size("hits") > 0)
+    while not todo.isEmpty():
+        met = C.explode_rows(todo, ["place", "last"], F.col("hits"), "anchor").join(dictionary, "anchor")
+        word = F.struct("priority", "original", "replacement")
+        lists = met.where(F.col("last").isNull() | (word > F.col("last"))).groupBy("place").agg(F.sort_array(F.collect_list(word)).alias("found"))
+        chained = todo.join(lists, "place", "left").withColumn("c", _chain(text, F.coalesce("found", F.array().cast(f"array<{_WORD}>")), F.col("hits"), anchors))
+        moved = chained.select("row", F.col("c.t").alias("t"), "place", F.col("c.last").alias("last"), F.col("c.stop").alias("stop"))
+        again = stored(moved.withColumn("hits", F.when(F.col("stop"), anchors(text)).otherwise(F.array().cast("array<string>"))), "words_round")
+        rounds.append(again.where(~F.col("stop")))
+        todo = again.where("stop").drop("stop")
+    done = reduce(DataFrame.unionByName, [r.select("row", "t") for r in rounds])
+    return done.select(*[F.col("row")[c].alias(c) for c in keep], F.col("t").alias(out_col))
 
 
 def remask_incremental(docs: DataFrame, text_col: str, id_cols: Sequence[str], previous: DataFrame,

@@ -624,6 +624,26 @@ def q_mask_document(spark, sf):
     return m
 
 
+_DUCK_DOC_RANK = "CASE ty " + " ".join(f"WHEN {D.q(t)} THEN {i}" for i, t in enumerate(REGEX_REGISTRY)) + " END"
+_DUCK_DOC_FOUND = f"""SELECT doc_id, s, ty, min(({_DUCK_DOC_RANK}, item_idx, field, seq)) AS place FROM (
+    SELECT doc_id, item_idx, field, unnest(range(0, len(l))) AS seq, unnest(list_transform(l, lambda e: e.s)) AS s, unnest(list_transform(l, lambda e: e.ty)) AS ty
+    FROM (SELECT doc_id, item_idx, 0 AS field, {D.entity_list('text')} AS l FROM {DUCK_ITEMS} a WHERE text IS NOT NULL
+      UNION ALL SELECT doc_id, item_idx, 1, {D.entity_list('title')} FROM {DUCK_ITEMS} b WHERE title IS NOT NULL) u) w GROUP BY doc_id, s, ty"""
+_DUCK_DOC_LISTS = f"""SELECT doc_id, list({{'s': s, 'r': {D.token('ty', 's', SALT)}}} ORDER BY place) AS pairs FROM ({_DUCK_DOC_FOUND}) f GROUP BY doc_id"""
+
+
+@register(
+    "mask_document_scope",
+    f"""SELECT i.doc_id, item_idx, type, CASE WHEN pairs IS NULL THEN text ELSE {D.placeholder_fold('text', 'pairs')} END AS text,
+      CASE WHEN pairs IS NULL THEN title ELSE {D.placeholder_fold('title', 'pairs')} END AS title, page
+    FROM {DUCK_ITEMS} i LEFT JOIN ({_DUCK_DOC_LISTS}) l ON l.doc_id = i.doc_id""",
+)
+def q_mask_document_scope(spark, sf):
+    """An entity found in one item of a document is masked in all its items."""
+    masked, _ = jobs.mask_items_job(content_items(spark, sf), ITEM_KEYS, SALT, scope="document")
+    return masked
+
+
 @register(
     "document_text",
     f"""SELECT doc_id, string_agg(
@@ -780,12 +800,7 @@ def q_rebuild_counters(spark, sf):
     return S.rebuild_counters(stored(mapping.select("original", "entity_type", "mask_text"), "context_mapping"))
 
 
-@register(
-    "strategy_custom",
-    f"""SELECT o.src, o.doc_id, o.seq, o.span, o.type,
-      coalesce(cw.replacement, '__CUSTOM_' || substr(sha256(o.span), 1, 8) || '__') AS masked
-    FROM {DUCK_OCC} o LEFT JOIN {DUCK_CW} cw ON cw.original = o.span""",
-)
+@register("strategy_custom")
 def q_strategy_custom(spark, sf):
     return S.custom_masks(corpus_occurrences(spark, sf), custom_dictionary(spark, sf)).select(
         *CORPUS_KEYS, "seq", "span", "type", "masked"
@@ -864,15 +879,44 @@ def q_strategy_hybrid_incremental(spark, sf):
     return S.hybrid_mapping(occ, CORPUS_KEYS, words, prior=prior).select("original", "entity_type", "ordinal", "mask_text")
 
 
-@register(
-    "strategy_custom_delta",
-    f"""SELECT DISTINCT span AS original, '__CUSTOM_' || substr(sha256({D.q(SALT)} || '|' || span), 1, 8) || '__' AS replacement
-    FROM {DUCK_OCC} o WHERE span NOT IN (SELECT original FROM {DUCK_CW} c)""",
-)
+@register("strategy_custom_delta")
 def q_strategy_custom_delta(spark, sf):
     return S.custom_delta(corpus_occurrences(spark, sf), custom_dictionary(spark, sf), SALT)
 
 
+def _duck_custom_rounds(rounds: int, salt: str | None, hex_len: int) -> str:
+    """The rounds of :func:`strategies.custom_delta`, unrolled."""
+    salted = "" if salt is None else f"{D.q(salt)} || '|' || "
+    mask = lambda k: f"'__CUSTOM_' || substr(sha256({salted}original{'' if k is None else f" || '#{k}'"}), 1, {hex_len}) || '__'"
+    ctes = [
+        f"new AS MATERIALIZED (SELECT original, {mask(None)} AS token FROM (SELECT DISTINCT span AS original FROM {DUCK_OCC} o WHERE span NOT IN (SELECT original FROM {DUCK_CW} c)) d)",
+        f"held AS MATERIALIZED (SELECT replacement AS token FROM {DUCK_CW} c)",
+        "contested AS MATERIALIZED (SELECT token FROM new GROUP BY token HAVING count(*) > 1 UNION SELECT new.token FROM new SEMI JOIN held ON new.token = held.token)",
+        "win0 AS MATERIALIZED (SELECT token, original FROM new ANTI JOIN contested ON new.token = contested.token)",
+        "todo1 AS MATERIALIZED (SELECT token, original FROM new SEMI JOIN contested ON new.token = contested.token)",
+        "taken1 AS MATERIALIZED (SELECT token FROM held UNION ALL SELECT token FROM win0)",
+    ]
+    for k in range(1, rounds + 1):
+        ctes += [
+            f"win{k} AS MATERIALIZED (SELECT * FROM todo{k} ANTI JOIN taken{k} ON todo{k}.token = taken{k}.token QUALIFY row_number() OVER (PARTITION BY token ORDER BY original) = 1)",
+            f"todo{k + 1} AS MATERIALIZED (SELECT {mask(k)} AS token, original FROM todo{k} ANTI JOIN win{k} ON todo{k}.original = win{k}.original)",
+            f"taken{k + 1} AS MATERIALIZED (SELECT token FROM taken{k} UNION ALL SELECT token FROM win{k})",
+        ]
+    wins = " UNION ALL ".join(f"SELECT original, token AS replacement FROM win{k}" for k in range(rounds + 1))
+    return "WITH " + ", ".join(ctes) + " " + wins
+
+
+ORACLE["strategy_custom"] = f"""SELECT o.src, o.doc_id, o.seq, o.span, o.type, m.replacement AS masked
+  FROM {DUCK_OCC} o JOIN (SELECT original, replacement FROM {DUCK_CW} c UNION ALL SELECT * FROM ({_duck_custom_rounds(3, None, 8)}) d) m ON m.original = o.span"""
+ORACLE["strategy_custom_delta"] = _duck_custom_rounds(3, SALT, 8)
+
+
+@register("strategy_custom_short", _duck_custom_rounds(8, SALT, SHORT_HEX))
+def q_strategy_custom_short(spark, sf):
+    """Masks of five digits, which do collide: no two words share one."""
+    return S.custom_delta(corpus_occurrences(spark, sf), custom_dictionary(spark, sf), SALT, SHORT_HEX)
+
+
 @register(
     "reverse_mapping",
     f"""SELECT mask_text, arg_max(original, (k1, k3)) AS original, count(DISTINCT original)::BIGINT AS n_originals
@@ -1285,6 +1329,17 @@ def q_save_vault(spark, sf):
     return vault.load_vault(spark, path)
 
 
+@register("vault_commit", f"SELECT token, original, entity_type FROM {DUCK_VAULT} v")
+def q_vault_commit(spark, sf):
+    """Two jobs commit to one vault; the second runs again in full, as after a lost acknowledgement."""
+    committed = vault.CommittedVault(spark, scratch_path(spark, "vault_committed"))
+    runs = [("documents", documents(spark, sf), ["doc_id"]), ("corpus", corpus(spark, sf), CORPUS_KEYS), ("corpus", corpus(spark, sf), CORPUS_KEYS)]
+    for job, docs, keys in runs:
+        _, delta = mask_job(docs, keys, prior_vault=committed)
+        committed.commit(delta, job, SALT)
+    return committed.rows()
+
+
 @register("clear_vault", f"SELECT token, original, entity_type FROM {DUCK_VAULT} v WHERE 1 = 0")
 def q_clear_vault(spark, sf):
     _, v = mask_run(spark, sf)
@@ -1358,3 +1413,30 @@ _DUCK_HYB_EXPECT = f"""(SELECT o.src, o.doc_id, list({{'s': o.span,
 def q_unmask_hybrid(spark, sf):
     masked, reverse = hybrid_run(spark, sf)
     return S.unmask_hybrid(masked, "masked", CORPUS_KEYS, reverse, custom_dictionary(spark, sf))
+
+
+# ---------------------------------------------------------------------------
+# U2 with M8 before it: strategy masks and tokens in one text
+# ---------------------------------------------------------------------------
+
+
+def mixed_run(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(stored corpus, stored vault, reverse mapping): custom words and numbered
+    types carry the masks of the hybrid strategy, all other entities tokens."""
+    occ = corpus_occurrences(spark, sf)
+    named = stored(
+        S.hybrid_mapping(occ, CORPUS_KEYS, custom_dictionary(spark, sf)).where("is_custom or ordinal is not null").select("original", "mask_text"), "mixed_mapping"
+    )
+    rest = occ.join(named.select(F.col("original").alias("span")), "span", "left_anti").groupBy("span").agg(F.min("type").alias("type"))
+    _, tokens = vault.plan_tokens(rest, SALT)
+    mapping = named.unionByName(tokens.select("original", F.col("token").alias("mask_text")))
+    masked = stored(S.mask_with_mapping(corpus(spark, sf), "text", CORPUS_KEYS, occ, mapping), "mixed_masked")
+    reverse = named.groupBy("mask_text").agg(F.max("original").alias("original"), F.countDistinct("original").cast("long").alias("n_originals"))
+    return masked, tokens, stored(reverse, "mixed_reverse")
+
+
+@register("unmask_text_strategy", f"SELECT src, doc_id, text AS restored FROM {DUCK_CORPUS} c")
+def q_unmask_text_strategy(spark, sf):
+    """The strategy's masks are restored first, then the tokens."""
+    masked, tokens, reverse = mixed_run(spark, sf)
+    return restore.unmask_text(masked, "masked", CORPUS_KEYS, tokens, reverse=reverse, custom_words=custom_dictionary(spark, sf))

@@ -3,10 +3,10 @@
 Texts arriving in micro-batches are masked with the same tokens a batch run
 would give, and the vault grows by each batch's new entities.  Masking is
 stateless per row; the only cross-batch state is the vault table, so
-``foreachBatch`` does, per epoch: plan tokens against the vault written by
-earlier epochs → write this epoch's vault rows → mask the texts → write them.
-Both writes replace the epoch's own partition (dynamic overwrite), so a
-retried epoch rewrites the same rows instead of appending duplicates.
+``foreachBatch`` does, per epoch: plan tokens against the vault that earlier
+epochs have committed → commit this epoch's vault rows → write its masked texts.
+The commit is once per epoch and the texts replace the epoch's own partition
+(dynamic overwrite), so an epoch that runs again adds nothing twice.
 """
 
 from __future__ import annotations
@@ -19,24 +19,15 @@ from pyspark.sql import functions as F
 from ..operators import jobs, vault
 
 
-def _prior_vault(spark: SparkSession, vault_dir: str, epoch: int) -> DataFrame:
-    try:
-        v = spark.read.parquet(vault_dir)
-    except Exception as exc:  # first epoch: nothing written yet
-        if "PATH_NOT_FOUND" in str(exc) or "does not exist" in str(exc) or "UNABLE_TO_INFER_SCHEMA" in str(exc):
-            return vault.empty_vault(spark)
-        raise
-    return v.filter(F.col("epoch") < epoch).select("token", "original", "entity_type")
-
-
 def mask_batch(spark: SparkSession, batch: DataFrame, epoch: int, text_col: str, id_cols: Sequence[str],
                salt: str, out_dir: str, vault_dir: str) -> None:
-    """One micro-batch of the streaming mask job (idempotent per epoch)."""
-    prior = _prior_vault(spark, vault_dir, epoch)
-    masked, delta = jobs.mask_job(batch, list(id_cols), salt, text_col, prior)
-    delta.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic"
-    ).partitionBy("epoch").parquet(vault_dir)
+    """One micro-batch of the streaming mask job (idempotent per epoch).
+
+    It reads the vault partitions of its own values only.  An epoch that runs
+    again after its commit finds its values known, with the same tokens."""
+    committed = vault.CommittedVault(spark, vault_dir)
+    masked, delta = jobs.mask_job(batch, list(id_cols), salt, text_col, committed)
+    committed.commit(delta, f"epoch-{epoch}", salt)
     masked.select(*id_cols, "masked", "n_entities").withColumn("epoch", F.lit(epoch)).write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic"
     ).partitionBy("epoch").parquet(out_dir)

@@ -108,7 +108,7 @@ def test_chained_words_both_paths(spark):
     df = spark.createDataFrame([(1, "abab")], "doc_id long, text string")
     small = spark.createDataFrame([("a", "b", 0), ("b", "c", 1)], W.WORDS_SCHEMA)
     assert W.apply_custom_words(df, "text", small).first().text == "cccc"
-    filler = [(f"zz{i}q", "y", 10 + i) for i in range(W.WORDS_LITERAL_MAX + 5)]
+    filler = [(f"zz{i}q", "y", 10 + i) for i in range(261)]
     big = spark.createDataFrame([("a", "b", 0), ("b", "c", 1)] + filler, W.WORDS_SCHEMA)
     assert W.apply_custom_words(df, "text", big).first().text == "cccc"
 

@@ -35,10 +35,10 @@ def test_types_that_a_token_cannot_hold(spark):
     assert list(detect.registry_with({"ORDERNO": r"\d+"}))[-1] == "ORDERNO"
 
 
-@pytest.mark.parametrize("size", [1, 7, 1000])
-def test_dictionary_ranges_compose(spark, monkeypatch, size):
-    monkeypatch.setattr(words, "WORDS_LITERAL_MAX", 0)
-    monkeypatch.setattr(words, "WORDS_RANGE", size)
+@pytest.mark.parametrize("bits, segment", [(6, 3), (20, 4096)])
+def test_dictionary_rounds_compose(spark, monkeypatch, bits, segment):
+    monkeypatch.setattr(words, "MARK_BITS_LOG2", bits)
+    monkeypatch.setattr(words, "SEGMENT", segment)
     pairs = [(f"w{i}", f"w{i + 1}", i) for i in range(20)] + [("w20x", "end", 99)]
     d = spark.createDataFrame(pairs, "original string, replacement string, priority long")
     docs = spark.createDataFrame([(1, "w0x w5 w19"), (2, None)], "doc_id long, text string")
