@@ -18,7 +18,8 @@ character whose class could differ between Unicode versions is given to the
 library as a whole.
 
 Nulls: a null text is empty (the end id alone); rows with a null doc_id come
-first; rows with equal doc_id are ordered by their text.
+first; rows with equal doc_id are ordered by the first ``ORDER_CHARS`` characters
+of their text, then as they are stored.
 """
 
 from __future__ import annotations
@@ -27,7 +28,6 @@ import os
 import unicodedata
 import zlib
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +39,9 @@ from .common import SpanHash, pieces, text_bytes, text_codes
 
 END_ID = 2
 #: Pieces a worker remembers; beyond them it starts anew (ids do not depend on it).
-MEMORY = 1_000_000
+MEMORY = 3_000_000
 ROW_INDEX_STRIDE = 1000
+ORDER_CHARS = 32
 _OTHER, _LETTER, _NUMBER, _SPACE, _UNSURE = range(5)
 # White_Space property (fixed values)
 _WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -56,6 +57,7 @@ def _byte_chars() -> dict[int, str]:
 
 
 _BYTE_CHARS = _byte_chars()
+_BYTE_CODES = np.array([ord(_BYTE_CHARS.get(b, chr(b))) for b in range(256)], np.uint32)
 
 
 def _classes() -> np.ndarray:
@@ -107,6 +109,49 @@ def cut(codes: np.ndarray, kind: np.ndarray, borders: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
+class PieceTable:
+    """Numbers of 64-bit hashes, in order of their first put: open addressing,
+    looked up and filled for many hashes at once."""
+
+    def __init__(self) -> None:
+        self.keys, self.values, self.n = np.zeros(1 << 17, np.uint64), np.zeros(1 << 17, np.int32), 0  # key 0: free
+
+    def get(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each hash, -1 where there is none."""
+        mask, out = np.uint64(len(self.keys) - 1), np.full(len(hashes), -1, np.int64)
+        at = hashes & mask
+        key = self.keys[at]
+        hit = key == hashes
+        out[hit] = self.values[at[hit]]
+        open_ = np.flatnonzero(~hit & (key != 0))
+        while len(open_):
+            at[open_] = (at[open_] + np.uint64(1)) & mask
+            slot, want = at[open_], hashes[open_]
+            key = self.keys[slot]
+            hit = key == want
+            out[open_[hit]] = self.values[slot[hit]]
+            open_ = open_[~hit & (key != 0)]
+        return out
+
+    def put(self, hashes: np.ndarray) -> None:
+        """Add distinct hashes that are not in the table yet."""
+        numbers = np.arange(self.n, self.n + len(hashes), dtype=np.int32)
+        self.n += len(hashes)
+        if 2 * self.n > len(self.keys):
+            held = self.keys != 0
+            hashes, numbers = np.r_[self.keys[held], hashes], np.r_[self.values[held], numbers]
+            size = 1 << (4 * self.n).bit_length()
+            self.keys, self.values = np.zeros(size, np.uint64), np.zeros(size, np.int32)
+        mask = np.uint64(len(self.keys) - 1)
+        at = hashes & mask
+        while len(hashes):
+            free = self.keys[at] == 0
+            self.keys[at[free]] = hashes[free]  # of several for one slot the last stays
+            mine = free & (self.keys[at] == hashes)
+            self.values[at[mine]] = numbers[mine]
+            hashes, numbers, at = hashes[~mine], numbers[~mine], (at[~mine] + np.uint64(1)) & mask
+
+
 class Encoder:
     """Ids of whole texts, through a memory of pieces."""
 
@@ -119,17 +164,21 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[int, int] = {}
+        self.places = PieceTable()
         self.begin, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
         self.flat, self.used = np.zeros(1 << 18, np.int32), 0
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch(texts, add_special_tokens=False)]
 
-    def learn(self, hashes: np.ndarray, texts: list[str]) -> None:
-        """Ids of single pieces, from the library's vocabulary model."""
-        k, model = len(self.place), self.library.model
-        ids = [[x.id for x in model.tokenize(t.encode().decode("latin-1").translate(_BYTE_CHARS))] for t in texts]
+    def learn(self, hashes: np.ndarray, codes: np.ndarray, sizes: np.ndarray) -> None:
+        """Ids of single pieces, laid end to end in ``codes``, from the library's vocabulary model."""
+        k, tokenize = self.places.n, self.library.model.tokenize
+        utf8 = np.frombuffer(codes.tobytes().decode("utf-32-le").encode(), np.uint8)
+        letters = _BYTE_CODES[utf8].tobytes().decode("utf-32-le")
+        first = np.r_[np.flatnonzero((utf8 & 0xC0) != 0x80), len(utf8)]
+        border = first[np.r_[0, np.cumsum(sizes)]].tolist()
+        ids = [[x.id for x in tokenize(letters[a:b])] for a, b in zip(border, border[1:])]
         sizes = np.fromiter(map(len, ids), np.int32, len(ids))
         new = np.fromiter((x for i in ids for x in i), np.int32, int(sizes.sum()))
         while k + len(ids) > len(self.begin):
@@ -140,7 +189,7 @@ class Encoder:
         self.size[k : k + len(ids)] = sizes
         self.flat[self.used : self.used + len(new)] = new
         self.used += len(new)
-        self.place.update(zip(hashes.tolist(), range(k, k + len(ids))))
+        self.places.put(hashes)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts laid end to end, each closed by ``end_id``, and the ids per text."""
@@ -150,16 +199,17 @@ class Encoder:
         odd = np.unique(np.searchsorted(chars, unsure, side="right") - 1)
         starts = cut(codes, kind, chars[:-1])
         ends = np.r_[starts[1:], len(codes)]
-        h = SpanHash(codes)(starts, ends)
-        if len(self.place) > MEMORY:
+        h = np.maximum(SpanHash(codes)(starts, ends), np.uint64(1))
+        if self.places.n > MEMORY:
             self.clear()
-        at = np.fromiter(map(self.place.get, h.tolist(), repeat(-1)), np.int64, len(h))
+        at = self.places.get(h)
         miss = np.flatnonzero(at < 0)
         if len(miss):
             new, i = np.unique(h[miss], return_index=True)
             i = miss[i]
-            self.learn(new, [codes[s:e].tobytes().decode("utf-32-le") for s, e in zip(starts[i], ends[i])])
-            at[miss] = np.fromiter(map(self.place.__getitem__, h[miss].tolist()), np.int64, len(miss))
+            sizes = ends[i] - starts[i]
+            self.learn(new, codes[np.repeat(starts[i] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())], sizes)
+            at[miss] = self.places.get(h[miss])
         size = self.size[at].astype(np.int64)
         total = int(size.sum())
         ids = self.flat[np.repeat(self.begin[at] - (np.cumsum(size) - size), size) + np.arange(total)]
@@ -198,7 +248,10 @@ def _encode_batches(path: str, end_id: int):
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> None:
     """Encode ``text`` and write ORC files to ``path`` in ascending ``doc_id`` order."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    d = d.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # the beginning of the text and the place let a range end inside the rows of one id
+    order = ["doc_id", "begin", "place"]
+    d = d.withColumns({"begin": F.substring("text", 1, ORDER_CHARS), "place": F.monotonically_increasing_id()})
+    d = d.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     rows = d.mapInArrow(_encode_batches(tokenizer, end_id), "doc_id long, start_in_part long, n_tokens long, ids array<int>")
     (
         rows.select("doc_id", F.spark_partition_id().alias("part"), "start_in_part", "n_tokens", "ids")

@@ -86,3 +86,47 @@ def test_urls_in_long_texts_take_one_pass():
     urls = lambda t: [(a, e) for k, a, e in pii.find_spans(t, automaton) if k == "url"]
     assert urls("see http://a.b/c. And x://nodot/ftp://b.c), ://none.of ") == [(4, 16), (32, 41)]
     assert urls("x://y://z.org/w") == [(4, 15)]
+
+
+# -- token ids: the piece table, and one id on many rows --------------------------
+
+
+def test_piece_table_equals_a_dictionary():
+    import numpy as np
+
+    from maskloom.llm.token_ids import PieceTable
+
+    rng = np.random.default_rng(2)
+    table, plain = PieceTable(), {}
+    for n in (10, 5000, 100_000, 300_000):
+        # many hashes share their low bits, so probes run on
+        fresh = np.unique(rng.integers(1, 1 << 40, n, dtype=np.uint64) << np.uint64(8) | rng.integers(0, 3, n, dtype=np.uint64))
+        fresh = fresh[table.get(fresh) < 0]
+        table.put(fresh)
+        plain.update({int(h): len(plain) + k for k, h in enumerate(fresh)})
+        known = np.fromiter(plain, np.uint64, len(plain))
+        assert (table.get(known) == np.fromiter(plain.values(), np.int64, len(plain))).all()
+        assert (table.get(known + np.uint64(64)) == [plain.get(int(h) + 64, -1) for h in known]).all()
+
+
+def test_one_id_on_many_rows_is_dealt_to_many_parts(spark, tmp_path):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from maskloom.llm import token_ids
+
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    path = str(tmp_path / "tokens")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # the rows are few
+    try:
+        token_ids.write_tokens(rows, path, public_tokenizers.path("byte_bpe_50k.json"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    out = token_ids.read_tokens(spark, path)
+    assert out.where("doc_id = 7").select("part").distinct().count() > 1
+    most = out.groupBy("part").count().agg(F.max("count")).first()[0]
+    assert out.count() == 3000 and most < 900
+    upto = 0
+    for r in sorted(out.select("start", "n_tokens", "doc_id").collect()):
+        assert r.start == upto
+        upto += r.n_tokens
+    ids = [r.doc_id for r in out.orderBy("start").collect()]
+    assert ids == sorted(ids)
