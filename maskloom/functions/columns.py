@@ -20,7 +20,6 @@ from .patterns import (
     TOKEN_PREFIX,
     TOKEN_RE,
     TOKEN_SUFFIX,
-    WIDE_DIGIT,
     java_pattern,
 )
 
@@ -156,8 +155,8 @@ def exclusive_sums(lens: Column) -> Column:
 #: EMAIL, any decimal digit, separators of IP, DATE and TIME, and the units of MONEY.
 _SPAN_CHARS = r"a-zA-Z_.+@\-\p{Nd}/年月日:元万亿美欧"
 _SPAN_CHARS_PLAIN = r"a-zA-Z_.+\-/年月日:元万亿美欧"  # without '@' and digits, of which every match holds one
-#: Where a run of such characters with an '@' or a digit begins (the wide digit as in ``java_pattern``).
-RUN_START_RE = rf"(?<![{_SPAN_CHARS}{WIDE_DIGIT}])(?=[{_SPAN_CHARS_PLAIN}]*+[@\p{{Nd}}])"
+#: A piece of a text: a run of such characters, then everything up to the next run with an '@' or a digit.
+PIECE_RE = rf"[{_SPAN_CHARS}]*+(?:[^{_SPAN_CHARS}]++(?:[{_SPAN_CHARS_PLAIN}]++(?![@\p{{Nd}}]))?+)*+"
 RUN_RE = rf"\A[{_SPAN_CHARS}]*+"
 #: Characters that every match of a type holds, one of each string, and its least length in bytes.
 _RUN_NEEDS: dict[str, tuple[tuple[str, ...], int]] = {
@@ -176,13 +175,19 @@ def is_builtin(entity_type: str, pattern: str) -> bool:
     return entity_type in _RUN_NEEDS and REGEX_REGISTRY.get(entity_type) == pattern
 
 
+def _pieces(text) -> Column:
+    """The pieces of a text, which make up the text (a last one may be empty).
+    Spark compiles the pattern of ``split`` anew for every row, that of an extraction once."""
+    return F.regexp_extract_all(_col(text), F.lit(PIECE_RE), 0)
+
+
 def text_runs(text) -> Column:
     """array<struct<start, s>>: the runs of a text that can hold matches, from one scan.
 
     A match of a built-in pattern holds characters of one class only, among
     them an '@' or a digit, and its look-around asks for digits only.  So the
     matches of a text are those of its runs of that class, and only runs with
-    an '@' or a digit need a look.  The text is split where such a run begins;
+    an '@' or a digit need a look.  The text is cut where such a run begins;
     each piece holds its run in front.
     """
     def runs(pieces: Column) -> Column:
@@ -190,15 +195,20 @@ def text_runs(text) -> Column:
         cut = lambda p, at: F.struct(at.alias("start"), F.regexp_extract(p, RUN_RE, 0).alias("s"))
         return F.filter(F.zip_with(pieces, starts, cut), lambda r: F.octet_length(r["s"]) > 0)
 
-    return let(F.split(_col(text), RUN_START_RE, -1), runs)
+    return let(_pieces(text), runs)
 
 
 def run_texts(text) -> Column:
     """array<string>: the runs of :func:`text_runs` without their places."""
-    cut = F.transform(F.split(_col(text), RUN_START_RE, -1), lambda p: F.regexp_extract(p, RUN_RE, 0))
+    cut = F.transform(_pieces(text), lambda p: F.regexp_extract(p, RUN_RE, 0))
     return F.filter(cut, lambda r: F.octet_length(r) > 0)
 
 
+def gaps_before(text, pattern: str) -> Column:
+    """What stands before each match of a Java pattern, since the match before it."""
+    return F.regexp_extract_all(_col(text), F.lit(rf"([\s\S]*?)(?:{pattern})"), 1)
+
+
 def run_spans(runs: Column, entity_type: str, pattern: str, tag: Callable[[Column], Column]) -> Column:
     """``tag(span)`` of every match of a built-in type in the runs, in order."""
     java = F.lit(java_pattern(pattern))
@@ -221,12 +231,16 @@ def run_matches(runs: Column, entity_type: str, pattern: str, match: Callable[[C
 
     def of_run(r: Column) -> Column:
         def placed(spans: Column) -> Column:
-            one = F.array(match(spans[0], r["start"] + F.char_length(F.split(r["s"], java, 2)[0])))
-            gaps = F.transform(F.split(r["s"], java, -1), F.char_length)
-            steps = F.zip_with(F.transform(spans, F.char_length), F.slice(gaps, 1, F.size(spans)), lambda m, g: m + g)
-            ends = F.zip_with(exclusive_sums(steps), steps, lambda before, step: before + step)
-            many = F.zip_with(spans, ends, lambda x, e: match(x, r["start"] + e - F.char_length(x)))
-            return F.when(F.size(spans) == 0, F.array().cast(f"array<{elem_type}>")).when(F.size(spans) == 1, one).otherwise(many)
+            def many(steps: Column) -> Column:
+                ends = F.zip_with(exclusive_sums(steps), steps, lambda before, step: before + step)
+                return F.zip_with(spans, ends, lambda x, e: match(x, r["start"] + e - F.char_length(x)))
+
+            def behind(gaps: Column) -> Column:
+                steps = F.zip_with(F.transform(spans, F.char_length), gaps, lambda m, g: m + g)
+                return F.when(F.size(spans) == 1, F.array(match(spans[0], r["start"] + gaps[0]))).otherwise(let(steps, many))
+
+            none = F.array().cast(f"array<{elem_type}>")
+            return F.when(F.size(spans) == 0, none).otherwise(let(F.transform(gaps_before(r["s"], java), F.char_length), behind))
 
         return let(F.regexp_extract_all(r["s"], F.lit(java), 0), placed)
 

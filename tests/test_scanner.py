@@ -57,7 +57,7 @@ def test_the_text_is_scanned_once(spark):
     for df in (detect.detect_regex_entities(docs, "text", ["doc_id"]), mask.mask_spans(docs, "text", ["doc_id"], "s")):
         plan = df._jdf.queryExecution().executedPlan().toString()
         # every pattern sees runs (lambda variables); the column itself is cut once
-        assert len(re.findall(r"(?:split|regexp_extract_all|rlike|RLIKE)\(_?text#", plan)) == 1 and plan.count(C.RUN_START_RE) == 1
+        assert len(re.findall(r"(?:split|regexp_extract_all|rlike|RLIKE)\(_?text#", plan)) == 1 and plan.count(C.PIECE_RE) == 1
 
 
 def test_runs_of_a_text(spark):
