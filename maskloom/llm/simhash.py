@@ -6,18 +6,21 @@ differ in at most 3 of their 8 bytes, so they share at least ``MIN_SHARED``
 (5) positional bytes: that is the guaranteed minimum of the count filter.
 
 Postings of one (position, byte) alone hold 1/256 of all fingerprints, and
-tallying their pairs is quadratic.  The index therefore intersects postings in
-sets of the guaranteed minimum size: its keys are the values at 5 of the 8
-positions (56 sets).  A pair reaches the minimum tally exactly if it meets
-under some key.  Pairs that meet are tallied over all 8 positions, kept from 5
-matches, and verified by their Hamming distance.
+tallying their pairs is quadratic.  The index therefore intersects postings
+four at a time: its keys are the values at 4 of the 8 positions (70 sets).  A
+pair that meets under a key has a tally of at least four; its bytes at the other
+positions are tallied too, pairs that stay at four are dropped, and the others
+are verified by their Hamming distance.  A linked pair meets under five keys or more.
 
 Only *distinct* fingerprints are indexed, so a group of copies, however
 large, is one entry.  Inside a key's posting list no pair is ever emitted:
-the list is reduced to a spanning forest of its verified links (its members
-differ in 24 bits only, so a long list is solved exactly over that 24-bit
-cube, in memory that does not depend on its length).  Components of the forests
-are found by alternating large-star / small-star rounds on the edge table.
+the list is reduced to a spanning forest of its verified links.  A list of more
+than ``direct`` members is not solved as it stands but handed on, row by row,
+to be split by the byte at each of the other positions: a part shares five
+bytes, so its members differ in 24 bits only and any length of it is solved
+exactly over that 24-bit cube, in memory that does not depend on its length.
+Components of the forests are found by alternating large-star / small-star
+rounds on the edge table.
 
 Nulls: a null text has no words and the fingerprint zero, linked like any
 other; a null doc_id takes part in linking but is never a component's id (a
@@ -42,11 +45,15 @@ SHINGLE = 3
 MAX_BITS = 3
 BYTES = 8
 MIN_SHARED = BYTES - MAX_BITS
+#: Positional bytes in a key of the index, one less than the tally asks for.
+INDEXED = MIN_SHARED - 1
 SEED = 42
 #: Hashes whose bits are counted at a time.
 _VOTES = 1 << 16
-#: Posting lists up to here are compared directly, longer ones over the 24-bit cube.
+#: Posting lists up to here are compared directly, longer ones split by one more byte.
 _DIRECT = 8192
+#: Lists up to here are first looked through for any link, many lists at a time.
+_SMALL = 64
 
 
 # ---------------------------------------------------------------------------
@@ -166,7 +173,8 @@ def _forest_cube(fps: np.ndarray, free: tuple[int, ...]) -> list[tuple[int, int]
     return [(int(fps[r]), int(fps[i])) for r, i in zip(root, me) if r != i]
 
 
-_SETS = list(combinations(range(BYTES), MIN_SHARED))
+#: Sets of positions: the keys of the index, and those that reach the tally.
+_SETS = {n: list(combinations(range(BYTES), n)) for n in (INDEXED, MIN_SHARED)}
 
 
 def _mask(positions) -> int:
@@ -174,49 +182,101 @@ def _mask(positions) -> int:
     return m - (1 << 64) if m >= 1 << 63 else m
 
 
-def _forest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted ``(positions, bytes, fp)`` rows in, forest edges ``(a, b)`` out."""
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+def _with_links(fp: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Which of the posting lists hold a linked pair (members ``step`` apart are compared, for all lists at once)."""
+    list_of = np.repeat(np.arange(len(sizes)), sizes)
+    at = np.arange(len(list_of)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    member = np.repeat(starts, sizes) + at
+    found = np.zeros(len(sizes), bool)
+    for step in range(1, int(sizes.max(initial=0))):
+        i = at + step < sizes[list_of]
+        list_of, at, member = list_of[i], at[i], member[i]
+        found[list_of[_linked(fp[member] ^ fp[member + step])]] = True
+    return found
 
-    def solve(s, key, fp):
+
+def _forest_batches(width: int, direct: int):
+    """Sorted ``(positions, bytes, fp)`` rows of an index with ``width`` bytes a key in; forest edges ``(-1, a, b)``
+    out, and the members of lists that are too long for this width as ``(positions, fp, null)``."""
+    split = width < MIN_SHARED
+    sets = _SETS[width]
+
+    def rows(s, a, b=None) -> pa.RecordBatch:
+        b = pa.nulls(len(a), pa.int64()) if b is None else pa.array(b)
+        return pa.RecordBatch.from_arrays([pa.array(s), pa.array(a), b], ["s", "a", "b"])
+
+    def solve(s, key, fp) -> Iterator[pa.RecordBatch]:
         cut = np.r_[np.flatnonzero(np.r_[True, (s[1:] != s[:-1]) | (key[1:] != key[:-1])]), len(s)]
-        size = np.diff(cut)
-        pair = cut[:-1][size == 2]
-        ok = pair[_linked(fp[pair] ^ fp[pair + 1])]
-        edges = list(zip(fp[ok].tolist(), fp[ok + 1].tolist()))
-        for i in np.flatnonzero(size > 2):
+        start, size = cut[:-1], np.diff(cut)
+        small = (size > 1) & (size <= _SMALL)
+        todo = size > _SMALL
+        todo[np.flatnonzero(small)[_with_links(fp, start[small], size[small])]] = True
+        edges = []
+        for i in np.flatnonzero(todo):
             run = fp[cut[i] : cut[i + 1]]
-            if len(run) <= _DIRECT:
+            if len(run) <= direct:
                 edges += _forest_direct(run)
+            elif split:
+                yield rows(s[cut[i] : cut[i + 1]], run.view(np.int64))
             else:
-                edges += _forest_cube(run, tuple(p for p in range(BYTES) if p not in _SETS[int(s[cut[i]])]))
+                edges += _forest_cube(run, tuple(p for p in range(BYTES) if p not in sets[int(s[cut[i]])]))
         e = np.array(edges, np.uint64).reshape(-1, 2).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(e[:, 0].copy()), pa.array(e[:, 1].copy())], ["a", "b"])
-
-    for batch in batches:
-        s, key, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        if not len(s):
-            continue
-        held.append((s, key, fp.view(np.uint64)))
-        if (s[0], key[0]) == (s[-1], key[-1]):  # still inside one posting list
-            continue
-        s, key, fp = (np.concatenate(x) for x in zip(*held))
-        last = int(np.flatnonzero((s != s[-1]) | (key != key[-1]))[-1]) + 1
-        held = [(s[last:], key[last:], fp[last:])]
-        out = solve(s[:last], key[:last], fp[:last])
-        if out.num_rows:
-            yield out
-    if held:
-        out = solve(*(np.concatenate(x) for x in zip(*held)))
-        if out.num_rows:
-            yield out
-
-
-def links(distinct: DataFrame) -> DataFrame:
-    """``a, b``: a spanning forest of the links between distinct fingerprints ``fp``."""
-    entries = F.array(*[F.struct(F.lit(i).cast("byte").alias("s"), F.col("fp").bitwiseAND(F.lit(_mask(p))).alias("key")) for i, p in enumerate(_SETS)])
+        if len(e):
+            yield rows(np.full(len(e), -1, np.int8), e[:, 0].copy(), e[:, 1].copy())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        long_list = None  # the list whose members are handed on as they come
+        for batch in batches:
+            s, key, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            fp = fp.view(np.uint64)
+            if long_list is not None:
+                n = int(np.argmin(np.r_[(s == long_list[0]) & (key == long_list[1]), False]))
+                if n:
+                    yield rows(s[:n], fp[:n].view(np.int64))
+                s, key, fp = s[n:], key[n:], fp[n:]
+            if not len(s):
+                continue
+            long_list = None
+            held.append((s, key, fp))
+            if (held[0][0][0], held[0][1][0]) == (s[-1], key[-1]):  # still inside one posting list
+                if split and sum(len(x[0]) for x in held) > direct:
+                    long_list = (s[-1], key[-1])
+                    for x, _, f in held:
+                        yield rows(x, f.view(np.int64))
+                    held = []
+                continue
+            s, key, fp = (np.concatenate(x) for x in zip(*held))
+            last = int(np.flatnonzero((s != s[-1]) | (key != key[-1]))[-1]) + 1
+            held = [(s[last:], key[last:], fp[last:])]
+            yield from solve(s[:last], key[:last], fp[:last])
+        if held:
+            yield from solve(*(np.concatenate(x) for x in zip(*held)))
+
+    return run
+
+
+def _solved(postings: DataFrame, width: int, direct: int) -> DataFrame:
+    """``s, a, b`` of the posting lists of ``s, key, fp``."""
+    return postings.repartition("s", "key").sortWithinPartitions("s", "key").mapInArrow(_forest_batches(width, direct), "s byte, a long, b long")
+
+
+def _posting(width: int, i: int) -> Column:
+    return F.struct(F.lit(i).cast("byte").alias("s"), F.col("fp").bitwiseAND(F.lit(_mask(_SETS[width][i]))).alias("key"))
+
+
+def links(distinct: DataFrame, direct: int = _DIRECT) -> DataFrame:
+    """``a, b``: a spanning forest of the links between distinct fingerprints ``fp``;
+    posting lists of more than ``direct`` members are split before they are solved."""
+    entries = F.array(*[_posting(INDEXED, i) for i in range(len(_SETS[INDEXED]))])
     index = distinct.select("fp", F.explode(entries).alias("e")).select("e.s", "e.key", "fp")
-    return index.repartition("s", "key").sortWithinPartitions("s", "key").mapInArrow(_forest_batches, "a long, b long")
+    first = stored(_solved(index, INDEXED, direct), "posting_lists")
+    edges, long_lists = first.where("s < 0"), first.where("s >= 0").select("s", F.col("a").alias("fp"))
+    # a member of a long list goes under every set of one more position
+    wider = [F.array(*[_posting(MIN_SHARED, j) for j, big in enumerate(_SETS[MIN_SHARED]) if set(few) < set(big)]) for few in _SETS[INDEXED]]
+    parts = long_lists.select("fp", F.explode(F.element_at(F.array(*wider), F.col("s").cast("int") + 1)).alias("e"))
+    parts = parts.select("e.s", "e.key", "fp").distinct()
+    return edges.unionByName(_solved(parts, MIN_SHARED, _DIRECT)).select("a", "b")
 
 
 # ---------------------------------------------------------------------------

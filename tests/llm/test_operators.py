@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -289,14 +290,36 @@ def test_links_of_random_fingerprints(spark):
     base = [rng.getrandbits(64) for _ in range(40)] + [0, (1 << 64) - 1]
     fps = [(i, v) for i, v in enumerate(flip(b, rng.randint(0, 5)) for b in base for _ in range(12))]
     df = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in {v for _, v in fps}], "fp long")
-    root = {r.node % (1 << 64): r.root for r in simhash.components(simhash.links(df)).collect()}
-    groups = defaultdict(set)
-    for i, v in fps:
-        groups[root.get(v, v - (1 << 64) if v >> 63 else v)].add(v)
     want = defaultdict(set)
     for (_, f, low), _ in naive_components(fps).items():
         want[low].add(f)
-    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
+    for direct in (simhash._DIRECT, 3):  # also with nearly every posting list split by one more byte
+        root = {r.node % (1 << 64): r.root for r in simhash.components(simhash.links(df, direct)).collect()}
+        groups = defaultdict(set)
+        for i, v in fps:
+            groups[root.get(v, v - (1 << 64) if v >> 63 else v)].add(v)
+        assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
+
+
+def test_tally_of_shared_bytes_decides():
+    """Four shared bytes bring a pair under one key only; it is dropped by its tally, whatever its distance."""
+    a, four, five = 0, 0x01010101_00000000, 0x00010101_00000000
+    x = np.array([a ^ four, a ^ five], np.uint64)
+    assert simhash._shared_bytes(x).tolist() == [4, 5] and simhash._linked(x).tolist() == [False, True]
+    under = [sum(v & simhash._mask(p) == 0 for p in simhash._SETS[simhash.INDEXED]) for v in (four, five)]
+    assert under == [1, 5]
+
+
+def test_members_of_long_lists_are_handed_on_whole():
+    """A list over any number of batches comes out as it is or as a forest, and none of its members twice."""
+    keys = [1] * 5 + [2] * 40 + [3] * 3 + [4] * 20
+    fps = [i % 7 for i in range(len(keys))]
+    cols = [np.zeros(len(keys), np.int8), np.array(keys), np.array(fps)]
+    for size in (1, 4, 9, 100):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c[i : i + size]) for c in cols], ["s", "key", "fp"]) for i in range(0, len(keys), size)]
+        out = [r for b in simhash._forest_batches(simhash.INDEXED, 10)(iter(batches)) for r in b.to_pylist()]
+        assert Counter(r["a"] for r in out if r["s"] == 0) == Counter(f for k, f in zip(keys, fps) if k in (2, 4))
+        assert sum(r["s"] < 0 for r in out) == 4 + 2  # the forests of the lists 1 and 3
 
 
 def test_long_posting_list_over_the_cube():
