@@ -10,8 +10,9 @@ split by them, which spreads a hot key over as many as four million shards.
 
 Sizes are aggregated per address prefix (combined before the shuffle), several
 bits at a time: a round sums the bytes of all prefixes of its bits, and a
-bucket is the shortest prefix that fits.  Only rows of prefixes that still do
-not fit take part in the next round.  A single row above ``limit`` cannot be
+bucket is a prefix that fits below one that does not.  The stored directory
+has one row a bucket.  Only rows of prefixes that still do not fit take part
+in the next round.  A single row above ``limit`` cannot be
 split; its shard reaches the full address and is marked ``oversize``.
 
 Nulls: a null key is the key ``''``; a null text has no bytes.  Repeated rows
@@ -49,55 +50,45 @@ def bits(value: Column, depth: Column) -> Column:
 
 
 def directory(rows: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """Buckets ``cell_depth, cell, depth, shard, shard_bytes, shard_rows, oversize`` of rows ``address, bytes``.
+    """One row a bucket of rows ``address, bytes``: ``depth, prefix, shard, shard_bytes, shard_rows, oversize``.
 
-    ``cell`` is the address prefix of ``cell_depth`` bits; all cells of a bucket carry its ``depth`` and name.
+    ``prefix`` holds the first ``depth`` bits of the addresses of the bucket, ``shard`` the same as text.
     """
-    found, base, left = [], 0, rows
+    out, base, left = None, 0, rows
     while True:
         top = min(base + ROUND, BITS)
-        cells = stored(
-            left.groupBy(prefix(F.lit(top)).alias("cell")).agg(F.sum("bytes").alias("b"), F.count("*").alias("n")), "shard_cells"
-        )
+        cells = left.groupBy(prefix(F.lit(top)).alias("cell")).agg(F.sum("bytes").alias("b"), F.count("*").alias("n"))
         # the bytes of every prefix from this round's first bit on
         depth = F.explode(F.sequence(F.lit(base if base == 0 else base + 1), F.lit(top))).alias("depth")
-        up = lambda d: F.call_function("shiftright", F.col("cell"), (F.lit(top) - d).cast("int"))
-        sums = cells.select("cell", "b", "n", depth).groupBy("depth", up(F.col("depth")).alias("p")).agg(F.sum("b").alias("b"), F.sum("n").alias("n"))
-        per_cell = (
-            cells.select("cell", depth).withColumn("p", up(F.col("depth"))).join(sums, ["depth", "p"])
-            .where((F.col("b") <= limit) | ((F.col("depth") == top) & (F.lit(top == BITS) | (F.col("n") == 1))))
-            .groupBy("cell").agg(F.min(F.struct("depth", "p", "b", "n")).alias("s"))
-        )
-        done = stored(
-            per_cell.select(
-                F.lit(top).alias("cell_depth"), "cell", F.col("s.depth").alias("depth"), bits(F.col("s.p"), F.col("s.depth")).alias("shard"),
-                F.col("s.b").alias("shard_bytes"), F.col("s.n").alias("shard_rows"), (F.col("s.b") > limit).alias("oversize"),
-            ),
-            "shard_directory",
+        up = F.call_function("shiftright", F.col("cell"), (F.lit(top) - F.col("depth")).cast("int"))
+        sums = cells.select("cell", "b", "n", depth).groupBy("depth", up.alias("prefix")).agg(F.sum("b").alias("b"), F.sum("n").alias("n"))
+        fits = (F.col("b") <= limit) | ((F.col("depth") == top) & (F.lit(top == BITS) | (F.col("n") == 1)))
+        sums = stored(sums.withColumn("fits", fits), "shard_prefixes")
+        # a bucket is a prefix that fits below one that does not
+        halved = sums.where(~F.col("fits")).select((F.col("depth") + 1).alias("depth"), F.col("prefix").alias("above"))
+        found = sums.where("fits").withColumn("above", F.call_function("shiftright", F.col("prefix"), F.lit(1)))
+        first = F.col("depth") == (base if base == 0 else base + 1)  # what stands above is known not to fit
+        found = found.where(first).unionByName(found.where(~first).join(halved, ["depth", "above"], "left_semi"))
+        found = found.select(
+            "depth", "prefix", bits(F.col("prefix"), F.col("depth")).alias("shard"),
+            F.col("b").alias("shard_bytes"), F.col("n").alias("shard_rows"), (F.col("b") > limit).alias("oversize"),
         )
-        found.append(done)
-        open_ = cells.join(done, "cell", "left_anti")
-        if top == BITS or open_.isEmpty():
-            break
-        cut = open_.select(F.col("cell").alias("__cell"))
+        out = found if out is None else out.unionByName(found)
+        cut = sums.where((F.col("depth") == top) & ~F.col("fits")).select(F.col("prefix").alias("__cell"))
+        if top == BITS or cut.isEmpty():
+            return stored(out, "shard_directory")
         left = left.join(cut, prefix(F.lit(top)) == F.col("__cell"), "left_semi")
         base = top
-    out = found[0]
-    for d in found[1:]:
-        out = out.unionByName(d)
-    return out
 
 
 def _bucketed(rows: DataFrame, limit: int) -> DataFrame:
-    """``rows`` with the columns of their buckets; each row meets the directory in its one cell."""
+    """``rows`` with the columns of their buckets; each row meets the buckets of a depth by its prefix of that depth."""
     buckets = directory(rows, limit)
     out = None
-    for top in sorted(r.cell_depth for r in buckets.select("cell_depth").distinct().collect()):
-        some = buckets.where(F.col("cell_depth") == top)
-        part = rows.withColumn("cell", prefix(F.lit(top))).join(some.drop("cell_depth"), "cell")
+    for depth in sorted(r.depth for r in buckets.select("depth").distinct().collect()) or [0]:  # BITS + 1 at most
+        some = buckets.where(F.col("depth") == depth)
+        part = rows.withColumn("prefix", prefix(F.lit(depth))).join(some, "prefix")
         out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = rows.withColumn("cell", F.lit(0).cast("long")).join(buckets.drop("cell_depth"), "cell")
     return out
 
 

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from maskloom.llm import decontaminate, hmm_lm, line_dedup, packing, pii, quality, sharding, simhash, token_ids, toxicity
@@ -479,6 +480,16 @@ def test_sharding_splits_a_hot_key(spark, odd, none):
     assert sharding.assign_shards(none).count() == 0
 
 
+def test_directory_has_one_row_a_bucket(docs):
+    """Its prefixes cover every address once."""
+    rows = docs.select(F.octet_length("text").cast("long").alias("bytes"), sharding.address(F.col("doc_id"), F.monotonically_increasing_id()).alias("address"))
+    for limit in (1 << 40, 20_000, 2_000):
+        found = sharding.directory(rows.fillna(0), limit).collect()
+        assert len({r.shard for r in found}) == len(found) and sum(r.shard_rows for r in found) == docs.count()
+        spans = sorted((r.prefix << (sharding.BITS - r.depth), (r.prefix + 1) << (sharding.BITS - r.depth)) for r in found)
+        assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:])) and all(r.shard == (f"{r.prefix:0{r.depth}b}" if r.depth else "") for r in found)
+
+
 def test_written_shards_hold_every_row_once(spark, odd, tmp_path):
     hot = spark.range(300).selectExpr("7L doc_id", "lpad(id, 100, 'x') text")
     plain = odd.select("doc_id", "text").where("length(text) < 1000 or text is null").unionByName(hot)
