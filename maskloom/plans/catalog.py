@@ -375,7 +375,7 @@ def q_token_coverage(spark, sf):
 # ---------------------------------------------------------------------------
 
 from ..functions.patterns import chunk_pattern  # noqa: E402
-from ..operators import ner  # noqa: E402
+from ..operators import ner, scoring  # noqa: E402
 from . import standin  # noqa: E402
 
 NER_ALLOWED = ["PER", "LOC", "ORG", "PHONE", "ID", "BANK", "EMAIL", "IP", "TIME"]
@@ -463,6 +463,14 @@ def q_score_chunks(spark, sf):
     return ner.score_chunks(doc_chunks(spark, sf), standin.python_model, ["doc_id", "chunk_idx"])
 
 
+@register("score_chunks_stored", f'SELECT doc_id, chunk_idx, "offset", chunk, response, NULL::VARCHAR AS error FROM {DUCK_RESPONSES} r')
+def q_score_chunks_stored(spark, sf):
+    """Scoring over a store that an earlier job left with the results of the first chunk of each document."""
+    chunks, store = doc_chunks(spark, sf), scratch_path(spark, "scores")
+    scoring.score_missing(chunks.where("chunk_idx = 0"), standin.python_model, store, "standin")
+    return scoring.score_chunks_stored(chunks, standin.python_model, ["doc_id", "chunk_idx"], store, "standin")
+
+
 @register(
     "parse_responses",
     f"""SELECT doc_id, chunk_idx, ent_idx, span, type, start, "end", prob, has_prob FROM {DUCK_FIELDS} f""",
