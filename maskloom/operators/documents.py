@@ -9,7 +9,7 @@ document's items, and a document's items are exactly one source document.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 from operator import or_
 
@@ -105,12 +105,16 @@ def document_text(items: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFr
     return _gather(items, keys, piece, "all_text")
 
 
+def markdown_piece(of: Callable[[str], Column] = F.col) -> Column:
+    """K1 of one item; ``of``: a column of the item by its name."""
+    return F.when(
+        of("type") == "title", F.concat(F.lit("# "), F.coalesce(of("title"), F.lit("")), F.lit("\n\n"))
+    ).otherwise(F.concat(F.coalesce(of("text"), F.lit("")), F.lit("\n\n")))
+
+
 def render_markdown(items: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
     """K1: ``# {title}\\n\\n`` for title items, else ``{text}\\n\\n`` (null → empty)."""
-    piece = F.when(
-        F.col("type") == "title", F.concat(F.lit("# "), F.coalesce(F.col("title"), F.lit("")), F.lit("\n\n"))
-    ).otherwise(F.concat(F.coalesce(F.col("text"), F.lit("")), F.lit("\n\n")))
-    return _gather(items, keys, piece, "markdown")
+    return _gather(items, keys, markdown_piece(), "markdown")
 
 
 def _gather(items: DataFrame, keys: Sequence[str], piece: Column, out: str) -> DataFrame:

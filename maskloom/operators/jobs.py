@@ -136,7 +136,7 @@ def mask_files(items: DataFrame, salt: str, out_dir: str, prior_vault: DataFrame
     """Mask the items of files or saved content lists (:mod:`..sources.files`)
     and write their Markdown and content lists; ``(masked items, new vault rows)``."""
     masked, delta = mask_items_job(items, files.ITEM_KEYS, salt, prior_vault=prior_vault)
-    files.write_outputs(masked, out_dir, "masked")
+    files.write_outputs(files.gather_items(masked), out_dir, "masked")
     return masked, delta
 
 
@@ -144,9 +144,9 @@ def unmask_files(originals: DataFrame, saved: DataFrame, vault_rows: DataFrame,
     """Restore the saved masked items, or the original ones of a document
     without, and write Markdown and content lists; the restored items."""
     chosen = files.choose_unmask_source(originals, saved, ["path"]).drop("source")
-    restored = stored(docops.unmask_document(chosen, vault_rows, keys=files.ITEM_KEYS), "unmasked_items")
-    files.write_outputs(restored, out_dir, "unmasked")
-    return restored
+    gathered = files.gather_items(docops.unmask_document(chosen, vault_rows, keys=files.ITEM_KEYS))
+    files.write_outputs(gathered, out_dir, "unmasked")
+    return files.gathered_rows(gathered).select(*chosen.columns)
 
 
 def _settle(

@@ -13,12 +13,13 @@ out_name, content``, written in parallel by every task.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import columns as C
 from ..functions.patterns import (
     ADMITTED_EXTENSIONS,
     OFFICE_EXTENSIONS,
@@ -26,6 +27,7 @@ from ..functions.patterns import (
     ROUTE_PROBE_ORDER,
     TEXT_EXTENSIONS,
 )
+from ..session import stored
 
 OUTPUT_SCHEMA = "path string, out_name string, content string"
 ITEM_KEYS = ("path", "item_idx")
@@ -203,10 +205,11 @@ def scan_content_list(lists: DataFrame) -> DataFrame:
 
 def choose_unmask_source(originals: DataFrame, masked_lists: DataFrame, key: Sequence[str]) -> DataFrame:
     """Per document, the saved masked content list when there is one,
-    else the original items."""
+    else the original items.  Only keys are compared; the items of the documents without follow their keys."""
     have = masked_lists.select(*key).distinct()
+    without = stored(originals.select(*key).distinct().join(have, list(key), "left_anti"), "no_saved_list")
     from_masked = masked_lists.withColumn("source", F.lit("masked_list"))
-    from_orig = originals.join(have, list(key), "left_anti").withColumn("source", F.lit("original"))
+    from_orig = C.join_keys(originals, without, list(key), "left_semi").withColumn("source", F.lit("original"))
     return from_masked.unionByName(from_orig, allowMissingColumns=True)
 
 
@@ -214,36 +217,47 @@ def choose_unmask_source(originals: DataFrame, masked_lists: DataFrame, key: Seq
 # K3, K4: writers
 # ---------------------------------------------------------------------------
 
-def item_json(items: DataFrame) -> Column:
-    """An item as it was read, with the ``text`` and ``title`` of its row."""
+def item_json(of: Callable[[str], Column] = F.col) -> Column:
+    """An item as it was read, with the ``text`` and ``title`` of its row; ``of``: a column of the item by its name."""
 
     def value(k: Column) -> Column:
         return (
-            F.when((k == "text") & F.col("text").isNotNull(), F.col("text").cast("variant"))
-            .when((k == "title") & F.col("title").isNotNull(), F.col("title").cast("variant"))
-            .otherwise(F.element_at("extra", k))
+            F.when((k == "text") & of("text").isNotNull(), of("text").cast("variant"))
+            .when((k == "title") & of("title").isNotNull(), of("title").cast("variant"))
+            .otherwise(F.element_at(of("extra"), k))
         )
 
-    return F.coalesce(F.to_json(F.map_from_arrays("keys", F.transform("keys", value))), F.lit("null"))
+    return F.coalesce(F.to_json(F.map_from_arrays(of("keys"), F.transform(of("keys"), value))), F.lit("null"))
 
 
-def content_lists(items: DataFrame, key: Sequence[str] = ("path",)) -> DataFrame:
-    """K3 body: per document the JSON array of its items in order (a document's
-    items are one source document)."""
-    rows = items.select(*key, F.struct("item_idx", item_json(items).alias("j")).alias("_s"))
-    agg = rows.groupBy(*key).agg(F.array_sort(F.collect_list("_s")).alias("_a"))
-    return agg.select(*key, F.concat(F.lit("["), F.array_join("_a.j", ","), F.lit("]")).alias("content"))
+def gather_items(items: DataFrame) -> DataFrame:
+    """``path, items``, stored: the items of each document in one row (a document's items are one
+    source document), from which both outputs are rendered."""
+    item = F.struct(*[c for c in items.columns if c != "path"])
+    return stored(items.groupBy("path").agg(F.collect_list(item).alias("items")), "gathered_items")
 
 
-def write_outputs(items: DataFrame, folder: str, operation: str) -> None:
-    """K2/K3: ``folder/lists`` and ``folder/markdown`` of ``path, out_name, content``;
-    ``operation`` is ``masked`` or ``unmasked``."""
-    from ..operators.documents import render_markdown
+def gathered_rows(gathered: DataFrame) -> DataFrame:
+    """The items of :func:`gather_items`, one a row."""
+    return gathered.select("path", F.explode("items").alias("i")).select("path", "i.*")
 
-    markdown = render_markdown(items, ["path"]).withColumnRenamed("markdown", "content")
-    for kind, rows, end in (("lists", content_lists(items), "_content_list.json"), ("markdown", markdown, ".md")):
+
+def _rendered(piece: Callable[[Callable[[str], Column]], Column]) -> Column:
+    """``piece`` of every item, in the order of items."""
+    rows = F.transform("items", lambda i: F.struct(i["item_idx"].alias("item_idx"), piece(lambda c: i[c]).alias("p")))
+    return F.transform(F.array_sort(rows), lambda r: r["p"])
+
+
+def write_outputs(gathered: DataFrame, folder: str, operation: str) -> None:
+    """K2/K3: ``folder/lists`` (the JSON array of a document's items) and ``folder/markdown`` of ``path, out_name,
+    content``, from :func:`gather_items`; ``operation`` is ``masked`` or ``unmasked``."""
+    from ..operators.documents import markdown_piece
+
+    lists = F.concat(F.lit("["), F.array_join(_rendered(item_json), ","), F.lit("]"))
+    markdown = F.array_join(_rendered(markdown_piece), "")
+    for kind, content, end in (("lists", lists, "_content_list.json"), ("markdown", markdown, ".md")):
         out_name = F.concat(stem(F.col("path")), F.lit(f"_{operation}{end}"))
-        write_named(rows.select("path", out_name.alias("out_name"), "content"), f"{folder}/{kind}")
+        write_named(gathered.select("path", out_name.alias("out_name"), content.alias("content")), f"{folder}/{kind}")
 
 
 def read_outputs(spark: SparkSession, folder: str, kind: str) -> DataFrame:
@@ -252,9 +266,9 @@ def read_outputs(spark: SparkSession, folder: str, kind: str) -> DataFrame:
 
 
 def write_named(df: DataFrame, path: str) -> None:
-    """K2/K3 sink: one JSON-Lines dataset, one row per output name.  Spark's
+    """K2/K3 sink: one JSON-Lines dataset (gzip files), one row per output name.  Spark's
     JSON writer keeps non-ASCII text unescaped (UTF-8)."""
-    df.write.mode("overwrite").json(path)
+    df.write.mode("overwrite").option("compression", "gzip").json(path)
 
 
 def write_entities(entities: DataFrame, path: str, key: str = "doc_id") -> None:
