@@ -544,13 +544,24 @@ CONTRACT = {
 }
 
 
-@pytest.mark.parametrize("name", [q for q in QUERIES if q != "pipeline"])
+@pytest.mark.parametrize("name", [q for q in QUERIES if q not in ("pipeline", "op11_embedding_whitening", "op13_spelling_variants")])
 def test_query_covers_its_table(spark, docs, name):
     rows = QUERIES[name](spark, SF).collect()
     assert {r.doc_id for r in rows} == {r.doc_id for r in docs.select("doc_id").collect()}
     assert name not in CONTRACT or rows[0].__fields__ == CONTRACT[name].split()
 
 
+def test_queries_without_documents_rows(spark, docs):
+    """Contracts without doc_id: a row for each vector and component, a row for each word."""
+    rows = QUERIES["op11_embedding_whitening"](spark, SF).collect()
+    assert {r.vec_id for r in rows} == {r.vec_id for r in table(spark, SF, "embeddings").select("vec_id").collect()}
+    assert len({(r.vec_id, r.component) for r in rows}) == len(rows) and {r.component for r in rows} == set(range(1, 9))
+    words = [r.word for r in QUERIES["op13_spelling_variants"](spark, SF).collect()]
+    texts = "\n".join(r.text or "" for r in docs.select("text").collect())
+    runs = {re.sub("[A-Z]", lambda m: m.group().lower(), x) for x in re.findall("[A-Za-z\u00c0-\u00ff]+", texts)}
+    assert words and len(set(words)) == len(words) and sum(w in runs for w in words) > 0.5 * len(words)
+
+
 def test_pipeline_equals_brute_force(spark, docs):
     """The classifier's own verdicts, then each further stage by its brute-force version."""
     labels = table(spark, SF, "labels")
