@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from maskloom.functions import columns as C
 from maskloom.functions.patterns import REGEX_REGISTRY
 from maskloom.operators import detect, restore, strategies
-from maskloom.plans import inputs
+from maskloom.plans import catalog, inputs
 from maskloom.sources import files
 
 
@@ -49,6 +49,23 @@ def test_rows_of_a_task_are_bounded(spark, tmp_path, monkeypatch):
         assert df.rdd.getNumPartitions() == n // 100 and df.count() == n
 
 
+def test_consistency_scans_bounded_tasks(spark, tmp_path, monkeypatch):
+    for bound in ("RECORDS_A_TASK", "TEXTS_A_TASK"):
+        monkeypatch.setattr(inputs, bound, 100, raising=False)
+    n = 200 * max(8, spark.sparkContext.defaultParallelism)
+    ids = spark.range(n).coalesce(1)  # one row group each
+    ids.selectExpr("id as o_orderkey", "id % 7 as o_custkey", "1.5D as o_totalprice", "timestamp'2024-01-02 03:04:05' as o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    ids.selectExpr("id as doc_id", "concat('mail a', id % 5, '@b.cd or 13800138000') as text").write.parquet(f"{tmp_path}/documents.parquet")
+    occ = catalog.q_strategy_token(spark, str(tmp_path))
+    held = occ.groupBy("src", F.spark_partition_id()).agg(F.count_distinct("doc_id").alias("texts")).collect()
+    assert max(r.texts for r in held) <= 100 and sum(r.texts for r in held) == 2 * n
+    tokens = {}
+    for r in occ.collect():
+        tokens.setdefault((r.type, r.span), set()).add(r.token)
+    got = catalog.QUERIES["token_consistency"](spark, str(tmp_path)).collect()
+    assert sorted((r.entity_type, r.original, r.n_tokens) for r in got) == sorted((*k, len(v)) for k, v in tokens.items())
+
+
 def test_first_occurrences_of_a_frequent_text(spark):
     occ = spark.range(3000).select(
         (F.lit(2999) - F.col("id")).alias("doc_id"), F.lit(0).alias("seq"),
